@@ -215,9 +215,10 @@ def _flow(root: Node, out: _Layout, pre: bool = False) -> None:
             out.lay(_table(x))
             out.block(True)
         elif x.tag in ("ul", "ol", "menu"):
-            out.block(True)
+            spaced = x.parent is None or x.parent.tag != "li"
+            out.block(spaced)
             _list(x, out)
-            out.block(True)
+            out.block(spaced)
         elif x.tag in BLOCK:
             spaced = x.tag in SPACED
             out.block(spaced)

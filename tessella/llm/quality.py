@@ -125,8 +125,10 @@ def learn(labelled: DataFrame, *, bad: str = "bad", fold: str = "fold") -> list[
     if not total[0] or not total[1]:
         return []
     names = list(FEATURES)
-    values = labelled.agg(*(F.percentile_approx(F.expr(FEATURES[n]), [i / BINS for i in range(1, BINS)], 2000).alias(n) for n in names)).first()
-    grids = {n: sorted(set(values[n] or [])) for n in names}
+    # Thresholds: 0, and quantiles of what is above it, as most statistics are 0 for most texts.
+    above = lambda n: F.when(F.expr(FEATURES[n]) > 0, F.expr(FEATURES[n]))
+    values = labelled.agg(*(F.percentile_approx(above(n), [i / BINS for i in range(1, BINS)], 2000).alias(n) for n in names)).first()
+    grids = {n: sorted({0.0, *(values[n] or [])}) for n in names}
 
     def bin_of(n: str) -> Column:
         out = F.lit(0)
