@@ -11,9 +11,11 @@ documents share, one of the first d + 1 is equal in B and among B's first d + 1
 have, as counted over all documents in a table of fixed size, last: passages
 that many documents share then make no candidates.
 
-Candidates are verified on the words themselves.  A key's group gives all pairs
-if small; else pairs with its first member, and when the links found leave such
-a group in several components, the pairs across them.
+Candidates are rejected by the Hamming distance of whole bit sketches, one bit a
+hash, and the rest verified on the words themselves.  A key's group gives all
+pairs if small; else pairs with one member, the one that most groups have; when
+the links found leave such a group in several components, the sketches of its
+members are compared across them, block by block.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessella.llm import common, graph
 
-#: Counters of the parts' order (2 bytes each in every task), in so many chunks.
-COUNTERS, CHUNKS = 1 << 20, 16
+#: Counters of the parts' order (2 bytes each in every task), by the top bits of a key, in so many chunks.
+COUNTER_BITS, CHUNKS = 21, 16
+COUNTERS, SHIFT = 1 << COUNTER_BITS, np.uint64(64 - COUNTER_BITS)
 #: Parts of the smallest size band, as a power of two.
 LEAST_LEVEL = 6
 #: Groups up to this size give all pairs.
 SMALL = 8
-#: Partners that one task verifies against one document.
-PARTNERS = 400
+#: Members of a block of a large group; partners that one task verifies against one document.
+BLOCK, PARTNERS = 512, 400
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -117,6 +120,26 @@ def empty_key(level: int) -> int:
     return int(mix(np.array([level], np.uint64) * _ODD[1])[0])
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's hashes by bit: as many bits as the set's own band has parts."""
+    level = max(LEAST_LEVEL, (len(h) - 1).bit_length()) if len(h) else LEAST_LEVEL
+    place = mix(h ^ _ODD[1]) & np.uint64((1 << level) - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=1 << level) & 1, bitorder="little").tobytes()
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of `size` words from a longer one: places that agree in their low bits add up."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def difference(n: np.ndarray | int, m: np.ndarray | int, percent: int):
+    """The largest symmetric difference of two sets of these sizes that are similar enough."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if not len(a) or not len(b) or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -130,7 +153,7 @@ def _batch(schema: T.StructType, types: list[pa.DataType], rows: list[tuple]) ->
 
 def _sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """A row a document: id, n, digest of its set; and rows of counters: chunk, counts."""
-    out = common.schema_of(common.field(df, id_col), ("n", T.LongType()), ("digest", T.BinaryType()), ("chunk", T.LongType()), ("counts", T.BinaryType()))
+    out = common.schema_of(common.field(df, id_col), ("n", T.LongType()), ("digest", T.BinaryType()), ("sketch", T.BinaryType()), ("chunk", T.LongType()), ("counts", T.BinaryType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = np.zeros(COUNTERS, np.int64), None
@@ -138,18 +161,19 @@ def _sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) ->
             kind = whole.schema.field(0).type
             for part in common.text_slices(whole, 1):
                 h, at = shingles(part.column(1).cast(pa.binary()).to_pylist(), size)
-                n, keys, digests = np.diff(at), [], []
+                n, keys, digests, sketches = np.diff(at), [], [], []
                 for a, b in zip(at.tolist(), at[1:].tolist()):
+                    sketches.append(sketch(h[a:b]))
                     digests.append(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest())
                     if b > a:
                         keys += [part_keys(h[a:b], level) for level in levels(b - a, percent)]
                 if keys:
-                    counts += np.bincount((np.concatenate(keys) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                    counts += np.bincount((np.concatenate(keys) >> SHIFT).astype(np.int64), minlength=COUNTERS)
                 k = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=out.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=out.names)
         if kind is not None and counts.any():
-            parts = counts.reshape(CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=out.names)
+            parts = counts.astype(np.uint32).reshape(CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=out.names)
 
     return df.select(id_col, text_col).mapInArrow(work, out)
 
@@ -161,7 +185,7 @@ def _order(sets: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
@@ -191,7 +215,7 @@ def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: in
                     for level in levels(n, percent):
                         own, p = part_keys(h[a:b], level), prefix(n, percent)
                         if len(own) > p:
-                            place = (rank[own >> np.uint64(44)].astype(np.uint64) << np.uint64(48)) | (own >> np.uint64(16))
+                            place = (rank[own >> SHIFT].astype(np.uint64) << np.uint64(48)) | (own >> np.uint64(16))
                             own = own[place <= np.partition(place, p - 1)[p - 1]]
                         elif len(own) < p:
                             own = np.append(own, np.uint64(empty_key(level)))
@@ -208,7 +232,7 @@ def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: in
 
 
 def _candidates(keys: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs that a key's group gives; and key, a, n: the members of groups that gave not all their pairs."""
+    """a, b: the pairs of small groups; and key, a, n: the members of large ones."""
     id_type = keys.schema["id"].dataType
     out = common.schema_of(("a", id_type), ("b", id_type), ("key", T.LongType()), ("n", T.LongType()))
 
@@ -216,31 +240,19 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
         seen: set[tuple] = set()
         rows: list[tuple] = []
         kind = None
-        key, members, head, large = None, [], None, False
-
-        def pair(x, y) -> None:
-            if x[0] * 100 >= percent * y[0] and x[1] != y[1]:
-                p = (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
-                if p not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(p)
-                    rows.append((*p, None, None))
-
-        def add(m) -> None:
-            """m comes in ascending size, so the head compares until m outgrows it."""
-            nonlocal head
-            rows.append((m[1], None, key, m[0]))
-            if head is None or head[0] * 100 < percent * m[0]:
-                head = m
-            else:
-                pair(head, m)
+        key, members, large = None, [], False
 
         def finish() -> None:
-            if not large:
-                for j, y in enumerate(members):
-                    for x in members[:j]:
-                        pair(x, y)
+            """members come in ascending size."""
+            for j, (n, y) in enumerate(members):
+                for m, x in members[:j]:
+                    if m * 100 >= percent * n and x != y:
+                        p = (x, y) if x < y else (y, x)
+                        if p not in seen:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            seen.add(p)
+                            rows.append((*p, None, None))
 
         for batch in batches:
             kind = batch.schema.field(1).type
@@ -250,21 +262,18 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
             # Rows whose neighbours have other keys, and that do not go on from the last batch or into the next, have no partner.
             same = k[1:] == k[:-1]
             lone = ~(np.concatenate([[key is not None and k[0] == key], same]) | np.concatenate([same, [True]]))
-            take = np.flatnonzero(~lone)
-            part = batch.take(pa.array(take))
+            part = batch.take(pa.array(np.flatnonzero(~lone)))
             for now, m_id, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 if now != key:
                     finish()
-                    key, members, head, large = now, [], None, False
+                    key, members, large = now, [], False
                 if large:
-                    add((n, m_id))
+                    rows.append((m_id, None, key, n))
                 else:
                     members.append((n, m_id))
                     if len(members) > SMALL:
-                        large = True
-                        for m in members:
-                            add(m)
-                        members = []
+                        rows += [(x, None, key, m) for m, x in members]
+                        members, large = [], True
             if len(rows) > 20_000:
                 yield _batch(out, [kind, kind, pa.int64(), pa.int64()], rows)
                 rows.clear()
@@ -275,6 +284,94 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(work, out)
 
 
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: each large group's members with the one that most large groups have; ties go to the smallest id."""
+    often = members.groupBy("a").agg(F.count(F.lit(1)).alias("groups"))
+    centre = members.join(often, "a").groupBy("key").agg(F.max_by(F.struct("a", "n"), F.struct("groups", F.hash("a"), "a")).alias("c"))
+    pairs = members.join(centre, "key").where((F.col("a") != F.col("c.a")) & (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent))
+    return pairs.select(F.least("a", "c.a").alias("a"), F.greatest("a", "c.a").alias("b")).distinct()
+
+
+def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches' Hamming distance allows similarity."""
+    out = pairs.select("a", "b").schema
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, x, m, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_a", "s_a", "n_b", "s_b")))):
+                if min(n, m) * 100 >= percent * max(n, m):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    size = min(len(x), len(y))
+                    if int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= difference(n, m, percent):
+                        keep.append(i)
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(work, out).distinct()
+
+
+def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of a group's members in different components whose sketches are near; members: key, a, n, component.
+
+    A group is dealt to tasks by pairs of blocks of its members.
+    """
+    id_type = members.schema["a"].dataType
+    out = common.schema_of(("a", id_type), ("b", id_type))
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = members.join(blocks, "key").join(sketches.select(F.col("id").alias("a"), "sketch"), "a").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "n", F.xxhash64("component").alias("c"), "sketch")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, seen, kind = None, [], set(), None
+
+        def compare() -> list[tuple]:
+            found = []
+            if len(held) < 2 or len({r[3] for r in held}) < 2:
+                return found
+            own, ids, n, c = ([r[k] for r in held] for k in range(4))
+            own, n, c = np.array(own), np.array(n), np.array(c)
+            bits = [np.frombuffer(r[4], np.uint64) for r in held]
+            size = min(map(len, bits))
+            table = np.stack([fold(b, size) for b in bits])
+            cross = at[1] != at[2]
+            for k in range(len(held) - 1):
+                rest = slice(k + 1, None)
+                ok = (c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * 100 >= percent * np.maximum(n[rest], n[k]))
+                if cross:
+                    ok &= own[rest] != own[k]
+                where = np.flatnonzero(ok) + k + 1
+                if len(where):
+                    apart = np.bitwise_count(table[where] ^ table[k]).sum(axis=1)
+                    for w in where[apart <= difference(n[where], n[k], percent)].tolist():
+                        p = (ids[k], ids[w]) if ids[k] < ids[w] else (ids[w], ids[k])
+                        if p not in seen:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            seen.add(p)
+                            found.append(p)
+            return found
+
+        found: list[tuple] = []
+        for batch in batches:
+            kind = batch.schema.field(4).type
+            for key, i, j, own, a, n, c, s in zip(*(x.to_pylist() for x in batch.columns)):
+                if (key, i, j) != at:
+                    found += compare()
+                    at, held = (key, i, j), []
+                held.append((own, a, n, c, s))
+            if len(found) > 20_000:
+                yield _batch(out, [kind, kind], found)
+                found = []
+        found += compare()
+        if found:
+            yield _batch(out, [kind, kind], found)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(work, out).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs a, b whose texts' sets are similar; a document with many partners is dealt to several tasks."""
     out = pairs.select("a", "b").schema
@@ -315,7 +412,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     64-bit hashes, sets by 128-bit digests.
     """
     sets = common.written(_sets(df, id_col, text_col, size, percent), "sets")
-    rows = sets.where("chunk is null").select(F.col(id_col).alias("id"), "n", "digest")
+    rows = sets.where("chunk is null").select(F.col(id_col).alias("id"), "n", "digest", "sketch")
     full = rows.where("n > 0 and id is not null")
     groups = common.written(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")), "groups")
     # Members of large groups of equal sets, of which there are few, by broadcast; the rest by a shuffle.
@@ -332,8 +429,13 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         named = same.select(F.col("id").alias(column), F.col("rep").alias("__rep"))
         return table.join(named, column, "left").withColumn(column, F.coalesce("__rep", column)).drop("__rep")
 
-    pairs = to_reps(to_reps(found.where("b is not null").select("a", "b").distinct(), "a"), "b")
-    pairs = common.written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    sketches = full.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch")
+    members = common.written(to_reps(found.where("key is not null").select("key", "a", "n"), "a").distinct(), "members")
+    pairs = apart(to_reps(to_reps(found.where("b is not null").select("a", "b").distinct(), "a"), "b")).unionByName(_stars(members, percent)).distinct()
+    near = common.written(_near_sketches(common.written(pairs, "pairs"), sketches, percent), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -342,19 +444,15 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # An id that stands for several sets makes them one node.
     several = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
-    several = full.join(several, "id", "left_semi").join(groups, "digest").where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-    links = common.written(verified(pairs).unionByName(several).distinct(), "links")
+    several = apart(full.join(several, "id", "left_semi").join(groups, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    links = common.written(verified(near).unionByName(several).distinct(), "links")
     named = _components(links, same)
-    members = to_reps(found.where("key is not null").select("key", "a", "n"), "a").distinct()
-    members = members.join(named.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    members = common.written(members, "members")
-    open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = common.written(members.join(open_keys, "key", "left_semi"), "open")
+    placed = members.join(named.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    placed = common.written(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rest = common.written(placed.join(open_keys, "key", "left_semi"), "open")
     if not rest.isEmpty():
-        x, y = (rest.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("a", "n", "component"))) for i in (1, 2))
-        across = x.join(y, "key").where((F.col("component1") < F.col("component2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent))
-        across = across.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        across = common.written(across, "across")
+        across = common.written(_across(rest, sketches, percent).join(near, ["a", "b"], "left_anti"), "across")
         if not across.isEmpty():
             named = _components(links.unionByName(verified(across)), same)
     component = F.coalesce("component", "id")
