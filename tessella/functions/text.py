@@ -34,6 +34,11 @@ def _text(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space, line breaks too, at either end."""
+    return F.regexp_replace(_text(c), r"^\s+|\s+$", "")
+
+
 def tokenize(c: Column | str) -> Column:
     """Lower-case tokens of letters, digits and hyphens, of two characters or more, without stop words; underscores are hyphens."""
     plain = F.regexp_replace(F.translate(F.lower(_text(c)), "_", "-"), "[^a-z0-9-]", " ")
@@ -70,20 +75,20 @@ def snippet(content: Column, terms: Column, around: int = 200) -> Column:
     places = F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0)
     at = F.array_min(places) - 1
     start, end = F.greatest(F.lit(0), at - around), F.least(F.length(content), at + around)
-    cut = F.trim(F.substring(content, start + 1, end - start))
+    cut = strip(F.substring(content, start + 1, end - start))
     hit = F.concat(F.when(start > 0, "...").otherwise(""), cut, F.when(end < F.length(content), "...").otherwise(""))
-    head = F.trim(F.substring(content, 1, 2 * around))
+    head = strip(F.substring(content, 1, 2 * around))
     miss = F.concat(head, F.when(F.length(head) < F.length(content), "...").otherwise(""))
     return F.when(F.size(places) > 0, hit).otherwise(miss)
 
 
 def canonical_name(c: Column | str) -> Column:
-    return F.regexp_replace(F.lower(F.trim(_text(c))), r"[\s-]+", "-")
+    return F.regexp_replace(F.lower(strip(_text(c))), r"[\s-]+", "-")
 
 
 def slug(c: Column | str) -> Column:
     """Slug of a heading: word characters, blanks and hyphens stay, blanks become hyphens."""
-    kept = F.regexp_replace(F.lower(F.trim(_text(c))), r"[^\w\s-]", "")
+    kept = F.regexp_replace(F.lower(strip(_text(c))), r"[^\w\s-]", "")
     return F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-")
 
 
@@ -98,7 +103,7 @@ def token_estimate(c: Column | str) -> Column:
 
 def args_summary(c: Column | str, most: int = 120) -> Column:
     """White space collapsed, cut with an ellipsis beyond `most` characters."""
-    flat = F.trim(F.regexp_replace(_text(c), r"\s+", " "))
+    flat = strip(F.regexp_replace(_text(c), r"\s+", " "))
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
@@ -114,7 +119,7 @@ def cache_key(args: Column, volatile: tuple[str, ...] = ("force",)) -> Column:
 
 def string_or_list(c: Column | str) -> Column:
     """Trimmed non-empty members of a comma-separated text."""
-    return F.filter(F.transform(F.split(_text(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_text(c), ","), lambda x: strip(x)), lambda x: x != "")
 
 
 def overlap_tail(c: Column | str, most: int) -> Column:
@@ -123,7 +128,7 @@ def overlap_tail(c: Column | str, most: int) -> Column:
     at = lambda mark: F.position(F.lit(mark), tail) - 1
     early = lambda mark: (at(mark) >= 0) & (at(mark) < F.floor(F.length(tail) / 2))
     after = lambda mark: F.substring(tail, at(mark) + 2, F.length(tail))
-    return F.trim(F.when(early("\n"), after("\n")).when(early(" "), after(" ")).otherwise(tail))
+    return strip(F.when(early("\n"), after("\n")).when(early(" "), after(" ")).otherwise(tail))
 
 
 def byte_offset(content: Column, char_offset: Column) -> Column:
@@ -143,38 +148,63 @@ def de_dot(path: Column | str) -> Column:
 
 
 def status_of_line(line: Column | str) -> Column:
-    """done, active or pending of a checklist line; null for other lines."""
+    """done, active or pending of a milestone's line: its checkbox, else a marker, else pending."""
     c = _text(line)
-    box = F.lower(F.regexp_extract(c, r"^\s*[-*]\s*\[(.)\]", 1))
-    return F.when(box == "x", "done").when(box.isin("~", "/", "-", ">"), "active").when(box == " ", "pending")
+    # Checkbox marks and words of each state, in order.
+    tests = (
+        ("done", r"\[[xX]\]"),
+        ("active", r"\[[/~\-]\]"),
+        ("pending", r"\[ \]"),
+        ("done", r"✅|\b(SHIPPED|DONE|COMPLETE|LIVE)\b"),
+        ("active", r"🚧|(?i:\b(WIP|IN[\s-]?PROGRESS)\b)"),
+    )
+    out = F
+    for state, pattern in tests:
+        out = out.when(c.rlike(pattern), state)
+    return out.otherwise("pending")
 
 
 def status_rank(status: Column) -> Column:
     return F.when(status == "done", 2).when(status == "active", 1).when(status == "pending", 0)
 
 
-def backtick_ids(c: Column | str) -> Column:
-    """Milestone and spike ids that stand in backticks."""
-    return F.regexp_extract_all(_text(c), F.lit(r"`([a-z0-9-]*-(?:m\d+[a-z]?|spike-\d+))`"), F.lit(1))
+def backtick_id(c: Column | str) -> Column:
+    """M3, M3b or SP2 from the first slug in backticks that names a milestone or spike; null without one."""
+    slugs = F.regexp_extract_all(_text(c), F.lit("`([a-z0-9][a-z0-9-]*)`"), F.lit(1))
+    spike = lambda s: F.regexp_extract(s, r"-spike-(\d+)(?:-|$)", 1)
+    stone = lambda s: F.regexp_extract(s, r"-m(\d+[a-z]?)(?:-|$)", 1)
+    named = F.transform(slugs, lambda s: F.when(spike(s) != "", F.concat(F.lit("SP"), spike(s))).when(stone(s) != "", F.concat(F.lit("M"), stone(s))))
+    return F.get(F.array_compact(named), F.lit(0))
 
 
-#: Separators at which a semantic title is cut, in order.
-TITLE_SEPARATORS = (" — ", " – ", " -- ", " - ", ": ", " | ", " (", "; ", ". ", ", ", " / ")
+# Where a subject's planning metadata begins.
+TITLE_ENDS = (
+    r"\s+—\s+(?:milestone|spike)\s+ID\b",
+    r"\s+—\s+(?:Must|Should|Could|Won't)\b",
+    r"\s+Milestone\s+ID\b",
+    r"\s+Spike\s+ID\b",
+    r"\s+Verdict\b",
+    r"\s+RESOLVED\s+\d{4}-\d{2}-\d{2}\b",
+    r"\s+Outcome\s*:",
+    r"\s+Output\s*:",
+    r"\s+Decision\s+doc\s*→",
+    r"\s+Blocks\b",
+    r"\s+RICE\s*(?:\(|=|:)",
+)
 
 
 def semantic_title(c: Column | str) -> Column:
-    """The part before the first separator that leaves at least three characters."""
-    title = F.trim(F.regexp_replace(_text(c), r"[*_`]", ""))
-    out = title
-    for sep in reversed(TITLE_SEPARATORS):
-        at = F.position(F.lit(sep), title)
-        out = F.when(at > 3, F.trim(F.substring(title, F.lit(1), at - 1))).otherwise(out)
-    return out
+    """A subject without its planning metadata; the subject itself if nothing is left, untitled if that is empty."""
+    subject = strip(_text(c))
+    title = F.regexp_replace(F.regexp_replace(subject, r"(?i)^←\s*E\d+\s*:\s*", ""), r"(?i)^\(CLOSED[^)]*\)\s*:\s*", "")
+    title = F.regexp_replace(title, "(?is)(?:" + "|".join(TITLE_ENDS) + ").*$", "")
+    title = F.regexp_replace(title, "^[ :—\\-·.]+|[ :—\\-·.]+$", "")
+    return F.when(title != "", title).when(subject != "", subject).otherwise("untitled")
 
 
 def normalise_tags(tags: Column, add: str | None = None) -> Column:
     """Distinct trimmed lower-case tags in order, with one added."""
-    clean = F.filter(F.transform(tags, lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    clean = F.filter(F.transform(tags, lambda t: F.lower(strip(t))), lambda t: t != "")
     return F.array_distinct(F.concat(clean, F.array(F.lit(add))) if add else clean)
 
 
@@ -187,10 +217,10 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def scan_text(c: Column | str) -> Column:
     """Text as safety rules see it: NFKC, no zero-width characters, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(nfkc(_text(c)), ZERO_WIDTH, ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(nfkc(_text(c)), ZERO_WIDTH, ""), r"\s+", " "))
 
 
 def safe_query(c: Column | str) -> Column:
     """The normalised query, null unless it has 1 to 1000 characters and no NUL."""
-    q = F.trim(nfkc(_text(c)))
+    q = strip(nfkc(_text(c)))
     return F.when(F.length(q).between(1, 1000) & ~F.contains(q, F.lit("\x00")), q)

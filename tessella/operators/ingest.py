@@ -211,4 +211,4 @@ def resolve_links(links: DataFrame, files: DataFrame, *, target: str = "target",
 def broken_references(texts: DataFrame, targets: DataFrame, *, pattern: str, item: str, text: str, name: str) -> DataFrame:
     """item and reference: those that a text makes and no target has."""
     refs = texts.select(item, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("reference"))
-    return refs.join(targets.select(F.col(name).alias("reference")), "reference", "left_anti")
+    return refs.join(targets.select(F.col(name).alias("reference")), "reference", "left_anti").select(item, "reference")

@@ -81,16 +81,16 @@ def bm25_scores(rows: DataFrame, queries: DataFrame, columns: list[tuple[str, fl
     query_id and term, distinct.  Only the queries' terms are exploded.
     """
     length = sum((F.size(c) for c, _ in columns), F.lit(0))
-    sized = rows.select(F.col(id_col).alias("id"), length.alias("d"), *(F.col(c) for c, _ in columns))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d"))
+    sized = rows.select(F.col(id_col).alias("id"), length.alias("__len"), *(F.col(c) for c, _ in columns))
+    corpus = sized.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("__len").alias("avg_len"))
     weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
     entries = F.concat(*(F.transform(F.col(c), weighted(w)) for c, w in columns))
     terms = queries.select("term").distinct()
-    tf = sized.select("id", "d", F.explode(entries).alias("e")).select("id", "d", "e.term", "e.w").join(terms, "term", "left_semi").groupBy("id", "d", "term").agg(F.sum("w").alias("f"))
+    tf = sized.select("id", "__len", F.explode(entries).alias("e")).select("id", "__len", "e.term", "e.w").join(terms, "term", "left_semi").groupBy("id", "__len", "term").agg(F.sum("w").alias("f"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
-    part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
+    part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("__len") / F.col("avg_len")))
     hits = queries.join(tf, "term").join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     return hits.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"))
 

@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Candidates by channel, of the union, and for the reranker; fusion constant; results of an artifact; overlap of duplicates; weights of the blend.
 LEXICAL, VECTOR, UNION, RERANK, RRF_K, PER_ARTIFACT, IOU, CROSS_WEIGHT, FUSION_WEIGHT = 64, 64, 96, 24, 60, 2, 0.80, 0.75, 0.25
@@ -48,6 +49,8 @@ def knn(points: DataFrame, queries: DataFrame, *, k: int = VECTOR, id_col: str =
     named = rows.collect()  # bounded above
     q_type, p_type = rows.schema["q"].dataType, points.schema[id_col].dataType
     out = T.StructType([T.StructField("query_id", q_type), T.StructField("id", p_type), T.StructField("score", T.DoubleType())])
+    if not named:
+        return points.sparkSession.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
     matrix = np.array([r.v for r in named], np.float64).reshape(len(named), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(named) else matrix
     shared = points.sparkSession.sparkContext.broadcast(([r.q for r in named], matrix / np.where(norms == 0, 1, norms)))
@@ -72,8 +75,7 @@ def knn(points: DataFrame, queries: DataFrame, *, k: int = VECTOR, id_col: str =
                     best[i] = sorted(best[i])[:k]
         rows = [(q, n, -s) for q, found in zip(ids, best) for s, n in sorted(found)[:k]]
         if rows:
-            q_kind = pa.array([ids[0]]).type if not isinstance(q_type, T.LongType) else pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], q_kind), pa.array([r[1] for r in rows], kinds), pa.array([r[2] for r in rows], pa.float64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], to_arrow_type(q_type)), pa.array([r[1] for r in rows], kinds), pa.array([r[2] for r in rows], pa.float64())], names=out.names)
 
     found = points.select(id_col, vector).mapInArrow(search, out)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

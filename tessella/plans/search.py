@@ -39,8 +39,8 @@ def inverted_index_stats(spark, sf_dir):
 top as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 6) desc, title, doc_id) as rank from score join d using (doc_id) qualify rank <= 3),
 p as (select t.query_id, t.doc_id, t.rank, d.content, list_min(list_filter(list_transform(q.l, lambda x: instr(lower(d.content), x)), lambda i: i > 0)) - 1 as pos from top t join d using (doc_id) join q using (query_id)),
 s as (select *, greatest(0, pos - 200) as a, least(length(content), pos + 200) as b from p)
-select query_id, doc_id, rank, case when pos is null then trim(content[1:400], ' ') || case when length(trim(content[1:400], ' ')) < length(content) then '...' else '' end
-  else case when a > 0 then '...' else '' end || trim(content[a + 1:b], ' ') || case when b < length(content) then '...' else '' end end as snippet from s"""
+select query_id, doc_id, rank, case when pos is null then regexp_replace(content[1:400], '^\\s+|\\s+$', '', 'g') || case when length(regexp_replace(content[1:400], '^\\s+|\\s+$', '', 'g')) < length(content) then '...' else '' end
+  else case when a > 0 then '...' else '' end || regexp_replace(content[a + 1:b], '^\\s+|\\s+$', '', 'g') || case when b < length(content) then '...' else '' end end as snippet from s"""
 )
 def search_snippet(spark, sf_dir):
     docs, queries = titled(spark, sf_dir), benchmark(spark, sf_dir)

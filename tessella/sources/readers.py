@@ -59,7 +59,7 @@ def content_tier(spark: SparkSession, path: str, tier: str, *, pattern: str = "*
     """
     out = T.StructType([T.StructField(c, T.StringType()) for c in ("tier", "name", "title", "description", "content")])
     try:
-        files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+        files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     except Exception as e:  # a tier that was never set up is empty
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], out)

@@ -81,7 +81,7 @@ class Consumer:
 
 def receipt_stream(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantined) receipts of a directory of shards: a file's name is its event's hash."""
-    raw = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    raw = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     named = raw.select("value", F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{2})/([0-9a-f]{64})\.json$", 2).alias("named"))
     parsed = named.withColumn("r", F.from_json("value", schema)).withColumn("digest", F.sha2("value", 256))
     valid = (F.col("named") != "") & F.col("r").isNotNull() & (F.col("r.event_id") == F.col("named"))
