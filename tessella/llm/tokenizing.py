@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,13 +23,18 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 #: Anything but tab, line ends, ASCII print, Latin-1 and Latin Extended-A letters and marks, dashes, quotes and the euro sign.
 UNSAFE = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-įı-ſ‐-‧€]")
-PIECES = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
+#: Pre-tokens of such texts, lower-cased: letters, contractions, digits one by one, marks.
+_LETTERS = "a-zªµºß-öø-ſ"
+PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\r0-9{_LETTERS}]+")
+#: The printable stand-ins that byte-level models take for bytes, by a rule: print stays, the rest moves up from U+0100.
+_PRINT = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+_STAND_IN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINT)))}
 
 
 class Encoder:
     """encode(text) gives a text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path.endswith(".model"):
             import sentencepiece
@@ -39,6 +45,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.tok = tok = Tokenizer.from_file(path)
+            self.model = tok.model
             tok.no_padding()
             tok.no_truncation()
             self.library = lambda text: tok.encode(text, add_special_tokens=False).ids
@@ -49,7 +56,7 @@ class Encoder:
             self.specials = re.compile("|".join(re.escape(x["content"]) for x in form["added_tokens"]) or r"(?!)")
             #: The only checks that cost something run after this one.
             self.hint = "<|" if all("<|" in x["content"] for x in form["added_tokens"]) else ""
-        self.memo = _Memo(self.library, memo)
+        self.memo = _Memo(self._piece if self.by_piece else self.library, memo)
 
     def plain(self, text: str) -> bool:
         """Whether the text's pre-tokens, found here, are the library's."""
@@ -77,8 +84,13 @@ class Encoder:
         text = self.tok.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token, from the library's model itself."""
+        stood = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_STAND_IN)
+        return [t.id for t in self.model.tokenize(stood)]
+
     def count(self, piece: str) -> int:
-        return len(self.library(piece))
+        return len(self._piece(piece) if self.by_piece else self.library(piece))
 
 
 class _Memo(dict):
@@ -90,7 +102,8 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        self[piece] = ids = np.asarray(self.library(piece), "<u4").tobytes()
+        found = self.library(piece)
+        self[piece] = ids = struct.pack(f"<{len(found)}I", *found)
         return ids
 
 
