@@ -85,10 +85,10 @@ def floor_index(values: str, p: float) -> Column:
 
 def threshold_grid(values: list[float], margins: list[float], spark) -> DataFrame:
     """exact_min <= agreement_min <= single_min by margin_min: the cross product of short lists."""
-    v = spark.createDataFrame([(float(x),) for x in values], "v double")
-    m = spark.createDataFrame([(float(x),) for x in margins], "margin_min double")
-    e, a, s = (v.select(F.col("v").alias(n)) for n in ("exact_min", "agreement_min", "single_min"))
-    return e.crossJoin(a).where("exact_min <= agreement_min").crossJoin(s).where("agreement_min <= single_min").crossJoin(m)
+    out = spark.range(1).coalesce(1).drop("id")
+    listed = lambda xs: F.explode(F.array(*(F.lit(float(x)) for x in xs)))
+    out = out.select(listed(values).alias("exact_min")).select("*", listed(values).alias("agreement_min")).where("exact_min <= agreement_min")
+    return out.select("*", listed(values).alias("single_min")).where("agreement_min <= single_min").select("*", listed(margins).alias("margin_min"))
 
 
 def tune(grid: DataFrame, features: DataFrame, abstain: Column, *, negatives: float = 0.95, hits: float = 0.90) -> DataFrame:
