@@ -68,6 +68,15 @@ PII = (
     Rule("PII-07", "pii", "aws_access_key", "critical", r"\bAKIA[0-9A-Z]{16}\b"),
     Rule("PII-08", "pii", "bearer_token", "high", r"(?i)\bBearer\s+[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\b"),
 )
+#: What any match of a rule contains, in lower case: a plain search for it comes before the expression.
+NEEDS = {
+    "PI-01": ("ignore",), "PI-02": ("forget",), "PI-03": ("disregard",), "PI-04": ("follow",), "PI-05": ("now",), "PI-06": ("act",), "PI-07": ("pretend",), "PI-08": ("dan",),
+    "PI-09": ("jailbreak",), "PI-10": ("bypass",), "PI-11": ("without",), "PI-12": ("disable",), "PI-14": ("[system]", "{system}", "prompt"), "PI-15": ("reveal",), "PI-16": ("instructions",),
+    "PI-17": ("[[", "<<", "{{"), "PI-19": ("decode", "encrypted"), "PI-20": ("hypothetically", "theor", "if"), "PI-21": ("purposes",), "PI-22": ("mode",), "PI-23": ("enable",), "PI-24": ("```",), "PI-25": ("---",),
+    "PI-13T": ("system",), "PT-02": ("..%",), "PT-03": ("/etc/",), "PT-04": ("system32",), "PT-05": ("/proc/",), "PT-01T": ("..",), "CI-01": ("$(",), "CI-02": ("`",), "CI-03": (";",), "CI-04": ("|",),
+    "CI-05": ("&&",), "CI-06": (";",), "CI-07": ("|",), "CI-08": ("${ifs}", "$(printf"), "PII-01": ("@",), "PII-02": ("-",), "PII-04": ("sk-",), "PII-05": ("ghp_", "github_pat_"), "PII-06": ("password",),
+    "PII-07": ("akia",), "PII-08": ("bearer",),
+}
 #: Characters of a personal-data match that are kept.
 MATCHED = 60
 
@@ -77,9 +86,20 @@ def portable(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
     return tuple(r for r in rules if "(?!" not in r.pattern and "(?=" not in r.pattern)
 
 
-def _rules(text: Column, rules: tuple[Rule, ...], body) -> Column:
+def _hit(text: Column, low: Column, rule: Rule) -> Column:
+    test = text.rlike(rule.pattern)
+    if needs := NEEDS.get(rule.id):
+        found = F.contains(low, F.lit(needs[0]))
+        for n in needs[1:]:
+            found = found | F.contains(low, F.lit(n))
+        test = found & test
+    return test
+
+
+def _rules(text: Column, rules: tuple[Rule, ...], body, low: Column | None = None) -> Column:
     """The array of body(rule) of the rules that match: one pass over a row, no explosion by rule."""
-    return F.array_compact(F.array(*(F.when(text.rlike(r.pattern), body(r)) for r in rules)))
+    low = F.lower(text) if low is None else low
+    return F.array_compact(F.array(*(F.when(_hit(text, low, r), body(r)) for r in rules)))
 
 
 def matched_rules(text: Column, rules: tuple[Rule, ...] = SAFETY) -> Column:
@@ -89,14 +109,14 @@ def matched_rules(text: Column, rules: tuple[Rule, ...] = SAFETY) -> Column:
 def safety_scan(df: DataFrame, *, id_col: str, text_col: str, rules: tuple[Rule, ...] = SAFETY, normalise: bool = True) -> DataFrame:
     """id, rule_id, cls, sub, severity, start and end of the first match of each rule that a text matches."""
     text = scan_text(text_col) if normalise else F.col(text_col)
-    rows = df.select(F.col(id_col), text.alias("__t"))
+    rows = df.select(F.col(id_col), text.alias("__t")).withColumn("__l", F.lower("__t"))
 
     def body(r: Rule) -> Column:
         found = F.regexp_extract("__t", r.pattern, 0)
         start = F.regexp_instr(F.col("__t"), F.lit(r.pattern)) - 1
         return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.cls).alias("cls"), F.lit(r.sub).alias("sub"), F.lit(r.severity).alias("severity"), start.alias("start"), (start + F.length(found)).alias("end"))
 
-    return rows.select(id_col, F.explode(_rules(F.col("__t"), rules, body)).alias("m")).select(id_col, "m.*")
+    return rows.select(id_col, F.explode(_rules(F.col("__t"), rules, body, F.col("__l"))).alias("m")).select(id_col, "m.*")
 
 
 def pii_scan(df: DataFrame, *, id_col: str, text_col: str, rules: tuple[Rule, ...] = PII) -> DataFrame:
@@ -104,8 +124,8 @@ def pii_scan(df: DataFrame, *, id_col: str, text_col: str, rules: tuple[Rule, ..
     found = lambda r: F.transform(
         F.regexp_extract_all(text_col, F.lit(r.pattern), F.lit(0)), lambda m: F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.sub).alias("sub"), F.lit(r.severity).alias("severity"), F.substring(m, 1, MATCHED).alias("matched"))
     )
-    hits = F.concat(*(F.when(F.col(text_col).rlike(r.pattern), found(r)).otherwise(F.array().cast("array<struct<rule_id:string,sub:string,severity:string,matched:string>>")) for r in rules))
-    return df.select(id_col, F.explode(hits).alias("m")).select(id_col, "m.*")
+    hits = F.concat(*(F.when(_hit(F.col(text_col), F.col("__l"), r), found(r)).otherwise(F.array().cast("array<struct<rule_id:string,sub:string,severity:string,matched:string>>")) for r in rules))
+    return df.select(id_col, text_col, F.lower(text_col).alias("__l")).select(id_col, F.explode(hits).alias("m")).select(id_col, "m.*")
 
 
 def added_line_lint(lines: DataFrame, rules: tuple[Rule, ...], *, waiver: str = "lint-ok") -> DataFrame:

@@ -12,16 +12,28 @@ TITLE_BOOST = 3
 BM25_WEIGHTS, K1, B, LEAST_IDF = (8.0, 2.0, 4.0, 1.0), 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, *, id_col: str = "doc_id", title: str = "title", content: str = "content") -> DataFrame:
+def postings(docs: DataFrame, only: DataFrame | None = None, *, id_col: str = "doc_id", title: str = "title", content: str = "content") -> DataFrame:
     """doc, term, tf (in the content), boosted (the title or a part of a hyphenated title word), indexed (makes a candidate and counts for df).
 
-    One explode and one shuffle, with partial counts before it.
+    One explode and one shuffle, with partial counts before it.  only: a table of
+    terms, beside which no other posting is made; it is applied before the shuffle.
     """
     tokens, titles = X.tokenize(content), X.tokenize(title)
     entry = lambda tf, boosted, indexed: lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(boosted).alias("b"), F.lit(indexed).alias("i"))
     entries = F.concat(F.transform(tokens, entry(1, 0, 1)), F.transform(F.array_distinct(titles), entry(0, 1, 1)), F.transform(X.expand_title(titles), entry(0, 1, 0)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(entries).alias("e"))
-    return rows.groupBy("doc_id", F.col("e.term").alias("term")).agg(F.sum("e.tf").cast("long").alias("tf"), (F.max("e.b") == 1).alias("boosted"), (F.max("e.i") == 1).alias("indexed"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(entries).alias("e")).select("doc_id", "e.term", "e.tf", "e.b", "e.i")
+    if only is not None:
+        rows = rows.join(few(only.select("term").distinct()), "term", "left_semi")
+    return rows.groupBy("doc_id", "term").agg(F.sum("tf").cast("long").alias("tf"), (F.max("b") == 1).alias("boosted"), (F.max("i") == 1).alias("indexed"))
+
+
+#: Terms or other short keys that are broadcast at most.
+FEW = 200_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if counted to be few; else joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -49,7 +61,7 @@ def tfidf_scores(index: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame
     before anything is joined to them.
     """
     terms = queries.select("term").distinct()
-    used = index.join(terms, "term", "left_semi")
+    used = index.join(few(terms), "term", "left_semi")
     weight = terms.join(document_frequency(used), "term", "left").withColumn("idf", idf(F.lit(n_docs), F.coalesce("df", F.lit(0)))).drop("df")
     hits = queries.join(weight, "term").join(used, "term")
     boost = F.when(F.col("boosted"), TITLE_BOOST).otherwise(0)
@@ -68,7 +80,8 @@ def top_k(scores: DataFrame, k: int, *order: Column | str, by: str = "query_id",
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "doc_id", title: str = "title", content: str = "content", query_id: str = "query_id", query: str = "text") -> DataFrame:
     """query_id, doc_id, score (6 decimals) and rank of the k best documents of each query: by score, then title, then id."""
-    scores = tfidf_scores(postings(docs, id_col=id_col, title=title, content=content), query_tokens(queries, id_col=query_id, text=query), docs.count())
+    asked = query_tokens(queries, id_col=query_id, text=query)
+    scores = tfidf_scores(postings(docs, asked, id_col=id_col, title=title, content=content), asked, docs.count())
     titled = scores.join(docs.select(F.col(id_col).alias("doc_id"), F.col(title).alias("title")), "doc_id").withColumn("score", F.round("score", 6))
     return top_k(titled, k, F.desc("score"), "title", "doc_id").select("query_id", "doc_id", "score", "rank")
 
@@ -86,7 +99,7 @@ def bm25_scores(rows: DataFrame, queries: DataFrame, columns: list[tuple[str, fl
     weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
     entries = F.concat(*(F.transform(F.col(c), weighted(w)) for c, w in columns))
     terms = queries.select("term").distinct()
-    tf = sized.select("id", "__len", F.explode(entries).alias("e")).select("id", "__len", "e.term", "e.w").join(terms, "term", "left_semi").groupBy("id", "__len", "term").agg(F.sum("w").alias("f"))
+    tf = sized.select("id", "__len", F.explode(entries).alias("e")).select("id", "__len", "e.term", "e.w").join(few(terms), "term", "left_semi").groupBy("id", "__len", "term").agg(F.sum("w").alias("f"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
