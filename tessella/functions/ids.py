@@ -50,7 +50,7 @@ def set_digest(leaf: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(leaf)), ""), 256)
 
 
-def bucketed_digest(df, leaf: Column, digits: int = 2):
+def bucketed_digest(df, leaf: Column, digits: int = 4):
     """One digest of any number of rows in two steps: leaves by their first hex digits, then the buckets' digests in order."""
     buckets = df.select(leaf.alias("leaf")).groupBy(F.substring("leaf", 1, digits).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), set_digest(F.col("leaf")).alias("digest"))
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "digest")))

@@ -67,7 +67,7 @@ def content_hash_ids(spark, sf_dir):
     return named.withColumn("unit_id", ids.unit_id(F.col("revision_id"), F.col("doc_id"), F.col("content"))).drop("content")
 
 
-@query("with l as (select sha256(text) as h from documents), b as (select h[1:2] as k, count(*) as n, sha256(string_agg(h, '' order by h)) as d from l group by 1) select sum(n)::bigint as n_rows, sha256(string_agg(d, '' order by k)) as digest from b")
+@query("with l as (select sha256(text) as h from documents), b as (select h[1:4] as k, count(*) as n, sha256(string_agg(h, '' order by h)) as d from l group by 1) select sum(n)::bigint as n_rows, sha256(string_agg(d, '' order by k)) as digest from b")
 def set_digest(spark, sf_dir):
     return ids.bucketed_digest(table(spark, sf_dir, "documents"), F.sha2("text", 256))
 
