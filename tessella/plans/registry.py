@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions.text import STOP_WORDS, TERM, TERM_STOP_WORDS
+from tessella.session import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +28,7 @@ class Registry:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:

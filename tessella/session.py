@@ -7,6 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine, or on a shared file system, import this package wherever the driver was started; elsewhere it is shipped with --py-files."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return spark
+
+
 def session(app: str = "tessella", **conf: str) -> SparkSession:
     """UTC, adaptive execution and skew-join splitting; partitions follow the cores in local mode."""
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -23,4 +35,4 @@ def session(app: str = "tessella", **conf: str) -> SparkSession:
     }
     for k, v in {**defaults, **conf}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return reachable(builder.getOrCreate())
