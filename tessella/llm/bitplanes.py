@@ -138,6 +138,7 @@ def write_token_files(
     complete, and a task that runs again writes the same bytes.
     """
     spark = df.sparkSession
+    common.small_batches(spark)
     path = path or common.shared_path(spark, "token-files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,7 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"file": [name], "part": [context.partitionId()], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.counts)]})
 
     ranged = df.select(id_col, text_col).repartitionByRange(F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(id_col, F.xxhash64(text_col), text_col)
-    manifest = common.written(ranged.mapInArrow(write, "file string, part long, n_docs long, n_ids long"), "token-manifest")
+    manifest = common.written(ranged.mapInArrow(common.releasing(tokenizing.forget, write), "file string, part long, n_docs long, n_ids long"), "token-manifest")
     return manifest.select(F.lit(path).alias("path"), "*")
 
 
@@ -170,6 +171,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: T.DataTy
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    common.small_batches(spark)
     files = manifest.select("path", "file", before.alias("before"))  # a row a file, so the window is small
     out = common.schema_of(("doc_id", id_type), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()))
 

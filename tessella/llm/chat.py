@@ -137,5 +137,6 @@ def format_chats(
         if done:
             yield batch()
 
+    common.small_batches(df.sparkSession)
     rows = df.select(conv_col, turn_col, role_col, text_col)
     return rows.repartition(F.col(conv_col)).sortWithinPartitions(conv_col, turn_col, role_col, text_col).mapInArrow(work, out)

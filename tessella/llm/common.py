@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tessella.session import reachable
+
 #: Texts a Python worker handles at a time, in bytes.
 SLICE_BYTES = 4 << 20
 #: A side of a join is broadcast up to this many keys (8 to 40 bytes each), and shuffled beyond.
@@ -39,6 +41,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bounds the batches that go to Python workers, so that long texts do not add up; a row is never cut."""
+    reachable(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def releasing(release: Callable[[], None], work: Callable) -> Callable:
+    """work, after which a task's memos are emptied: workers live on and serve other operators."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def text_slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts take about `most` bytes; a longer text is a part of its own."""
     if not batch.num_rows:

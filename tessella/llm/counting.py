@@ -58,6 +58,7 @@ def count_tokens(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     each; an empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
+    common.small_batches(spark)
     pieces = common.written(piece_table(df, tokenizer, text_col=text_col), "pieces")
     top = pieces.where(F.octet_length("piece") <= FREQUENT_BYTES).orderBy(F.desc("freq"), "piece").limit(frequent)
     known = spark.sparkContext.broadcast({r.piece: r.n_tokens for r in top.select("piece", "n_tokens").toLocalIterator()})

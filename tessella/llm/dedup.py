@@ -102,6 +102,7 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Should two different chunks ever share an identifier (`name` is a
     parameter), whole texts take the place of recipes.
     """
+    common.small_batches(df.sparkSession)
     text = common.text_or_empty(text_col)
     df = df.select(F.col(id_col), (normalise(text) if normalise else text).alias("__text"))
     chunks = _chunks(df, "__text", name).distinct().groupBy("chunk_id").count()

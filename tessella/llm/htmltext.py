@@ -334,6 +334,7 @@ def render(html: str) -> str:
 
 def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id and text of every page: null or empty html gives an empty text; repeated rows are rows; an empty table gives none; other columns are ignored."""
+    common.small_batches(df.sparkSession)
     out = common.schema_of(common.field(df, id_col), ("text", T.StringType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

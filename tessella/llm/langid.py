@@ -135,14 +135,15 @@ def identify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     or score in keep are not allowed, all others are carried on.
     """
     keep = keep or [id_col]
+    common.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([*(T.StructField(c, df.schema[c].dataType, True) for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(keep)
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in batches:
-            for part in common.text_slices(whole, n):
-                got = shared.value.score([t or "" for t in part.column(n).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], names=out.names)
+            found: list[tuple[str, float]] = []
+            for part in common.text_slices(pa.RecordBatch.from_arrays([whole], names=["text"]), 0):
+                found += shared.value.score([t or "" for t in part.column(0).to_pylist()])
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["lang_pred", "score"])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(predict, out)
+    return df.select(*keep, predict(text_col).alias("__p")).select(*keep, "__p.lang_pred", "__p.score")

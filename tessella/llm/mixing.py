@@ -81,7 +81,7 @@ def mix_sources(
         df = df.withColumn(f"mix_{name}", F.coalesce(column.cast("string"), F.lit("none")))
     df = df.withColumn("mix_tokens", F.coalesce(tokens, F.lit(0)).cast("long"))
     narrow = common.written(df.select(id_col, *names, "mix_tokens"), "mixing")
-    leaves = common.written(narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")), "leaves")
+    leaves = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
     if total is None:
         total = float((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     planned = budgets(leaves, names, {f"mix_{k}": v for k, v in weights.items()}, total, epochs)

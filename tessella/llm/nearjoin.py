@@ -51,7 +51,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -175,7 +175,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) ->
             parts = counts.astype(np.uint32).reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=out.names)
 
-    return df.select(id_col, text_col).mapInArrow(work, out)
+    return df.select(id_col, text_col).mapInArrow(common.releasing(_hashes.clear, work), out)
 
 
 def _order(sets: DataFrame) -> np.ndarray:
@@ -228,7 +228,7 @@ def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: in
                         [pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(np.repeat(rows, times))), pa.array(np.repeat(sizes, times), pa.int64())], names=out.names
                     )
 
-    return df.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(work, out)
+    return df.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(common.releasing(_hashes.clear, work), out)
 
 
 def _candidates(keys: DataFrame, percent: int) -> DataFrame:
@@ -398,7 +398,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                     yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], names=["a", "b"])
 
     both = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return both.mapInArrow(work, out).distinct()
+    return both.mapInArrow(common.releasing(_hashes.clear, work), out).distinct()
 
 
 def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -411,6 +411,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     table gives no rows; other columns are ignored.  Shingles are compared by
     64-bit hashes, sets by 128-bit digests.
     """
+    common.small_batches(df.sparkSession)
     sets = common.written(_sets(df, id_col, text_col, size, percent), "sets")
     rows = sets.where("chunk is null").select(F.col(id_col).alias("id"), "n", "digest", "sketch")
     full = rows.where("n > 0 and id is not null")
@@ -435,12 +436,12 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = full.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch")
     members = common.written(to_reps(found.where("key is not null").select("key", "a", "n"), "a").distinct(), "members")
     pairs = apart(to_reps(to_reps(found.where("b is not null").select("a", "b").distinct(), "a"), "b")).unionByName(_stars(members, percent)).distinct()
-    near = common.written(_near_sketches(common.written(pairs, "pairs"), sketches, percent), "near")
+    near = common.written(_near_sketches(pairs, sketches, percent), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         texts = common.matched(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ids, "id", "left_semi")
-        return common.written(_verified(pairs, common.written(texts, "texts"), size, percent), "links")
+        return _verified(pairs, common.written(texts, "texts"), size, percent)
 
     # An id that stands for several sets makes them one node.
     several = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
@@ -448,7 +449,6 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = common.written(verified(near).unionByName(several).distinct(), "links")
     named = _components(links, same)
     placed = members.join(named.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    placed = common.written(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = common.written(placed.join(open_keys, "key", "left_semi"), "open")
     if not rest.isEmpty():

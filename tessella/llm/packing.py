@@ -145,6 +145,7 @@ def pack_documents(
     with one id, are documents of their own; null ids stay null; an empty table
     gives no rows; other columns are ignored.
     """
+    common.small_batches(df.sparkSession)
     out = common.schema_of(common.field(df, id_col), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +187,4 @@ def pack_documents(
         if rows:
             yield batch()
 
-    return df.select(id_col, text_col).mapInArrow(pack, out)
+    return df.select(id_col, text_col).mapInArrow(common.releasing(tokenizing.forget, pack), out)

@@ -107,6 +107,12 @@ class _Memo(dict):
         return ids
 
 
+def forget() -> None:
+    """Empties the memos of this worker's encoders."""
+    for e in _encoders.values():
+        e.memo.clear()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
