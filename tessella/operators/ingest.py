@@ -160,6 +160,33 @@ def backlinks(documents: DataFrame, needles: DataFrame, *, doc: str, text: str)
     return hit.select("needle_id", doc)
 
 
+def alias_references(documents: DataFrame, aliases: DataFrame, *, doc: str, text: str) -> DataFrame:
+    """alias and doc of every text that names an alias path, with slashes, dots and case as they may vary; each blocks the alias's removal."""
+    flat = F.regexp_replace(F.lower(F.translate(text, "\\", "/")), r"(^|[\s(\[\"'`])\./", "$1")
+    short = aliases.select("alias", F.regexp_replace(F.lower("alias"), r"^\./|/+$", "").alias("needle"))
+    hit = documents.select(doc, flat.alias("__t")).join(F.broadcast(short) if short.count() <= 10_000 else short, F.contains(F.col("__t"), F.col("needle")))
+    return hit.select("alias", doc)
+
+
+def append_history(rows: DataFrame, changes: DataFrame, key: str, state: str = "status") -> DataFrame:
+    """rows with the changes' states, each appended to the history; a change to the same state is none.  history: array of struct<state, at>."""
+    new = changes.select(key, F.col(state).alias("__new"), F.col("at").alias("__at"))
+    out = rows.join(new, key, "left")
+    moved = F.col("__new").isNotNull() & (F.col("__new") != F.col(state))
+    entry = F.struct(F.col("__new").alias("state"), F.col("__at").alias("at"))
+    history = F.when(moved, F.array_append("history", entry)).otherwise(F.col("history"))
+    return out.withColumn("history", history).withColumn(state, F.when(moved, F.col("__new")).otherwise(F.col(state))).drop("__new", "__at")
+
+
+def point_rows(ranked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Ranked points with their rows; points without one are dropped and leave a gap, as ranks come from before the join."""
+    return ranked.join(rows, key)
+
+
+def still_current(results: DataFrame, current: DataFrame, key: str = "revision_id") -> DataFrame:
+    return results.join(current.select(key).distinct(), key, "left_semi")
+
+
 def coalesce_rows(old: DataFrame, new: DataFrame, key: str, *columns: str) -> DataFrame:
     """Overlay: the new side's row where there is one."""
     o = old.select(key, F.struct(*columns).alias("__o"))

@@ -80,6 +80,19 @@ def test_merges(spark):
     assert {r.k: r.state for r in I.stale_receipts(receipts, catalog, "k", "v").collect()} == {"a": "current", "b": "stale", "z": "missing"}
 
 
+def test_histories_aliases_currency(spark):
+    rows_ = spark.createDataFrame([("a", "open", [("open", 1)]), ("b", "open", [("open", 1)])], "k string, status string, history array<struct<state:string,at:int>>")
+    out = {r.k: r for r in I.append_history(rows_, spark.createDataFrame([("a", "done", 2), ("b", "open", 2)], "k string, status string, at int"), "k").collect()}
+    assert out["a"].status == "done" and [tuple(h) for h in out["a"].history] == [("open", 1), ("done", 2)] and len(out["b"].history) == 1
+    docs = spark.createDataFrame([(1, "see ./Docs\\\\A.md now"), (2, "nothing")], "d int, t string").withColumn("t", F.replace("t", F.lit("\\\\"), F.lit("\\")))
+    assert rows(I.alias_references(docs, spark.createDataFrame([("docs/a.md",)], "alias string"), doc="d", text="t")) == [("docs/a.md", 1)]
+    ranked = spark.createDataFrame([("p1", 1), ("p2", 2), ("p3", 3)], "point string, rank int")
+    there = spark.createDataFrame([("p1", "r1"), ("p3", "r2")], "point string, revision_id string")
+    hit = I.point_rows(ranked, there, "point")
+    assert [r.rank for r in hit.orderBy("rank").collect()] == [1, 3]
+    assert [r.point for r in I.still_current(hit, spark.createDataFrame([("r2",)], "revision_id string")).collect()] == ["p3"]
+
+
 def test_archive_does_not_count_corrupt_rows(spark):
     import hashlib
 
