@@ -92,14 +92,14 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col
     enough are taken, whole; beyond `languages` languages the rarest are not
     learned.
     """
-    df = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    df = df.where(F.col(lang_col).isNotNull())
     sizes = df.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()
     if not sizes:
         return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, sample / r["count"]))).otherwise(share)
-    taken = df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)).select(lang_col, text_col)
+    taken = df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)).where(F.col(text_col).isNotNull()).select(lang_col, text_col)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
