@@ -41,8 +41,16 @@ def strip(c: Column | str) -> Column:
 
 def tokenize(c: Column | str) -> Column:
     """Lower-case tokens of letters, digits and hyphens, of two characters or more, without stop words; underscores are hyphens."""
-    plain = F.regexp_replace(F.translate(F.lower(_text(c)), "_", "-"), "[^a-z0-9-]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
+    return F.filter(F.split(token_text(c), " "), is_token)
+
+
+def token_text(c: Column | str) -> Column:
+    """The text with single blanks where tokens end; split it at blanks and keep what is_token keeps."""
+    return F.regexp_replace(F.translate(F.lower(_text(c)), "_", "-"), "[^a-z0-9-]", " ")
+
+
+def is_token(t: Column) -> Column:
+    return (F.length(t) > 1) & ~t.isin(STOP_WORDS)
 
 
 def expand_title(tokens: Column) -> Column:

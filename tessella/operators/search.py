@@ -18,13 +18,14 @@ def postings(docs: DataFrame, only: DataFrame | None = None, *, id_col: str = "d
     One explode and one shuffle, with partial counts before it.  only: a table of
     terms, beside which no other posting is made; it is applied before the shuffle.
     """
-    tokens, titles = X.tokenize(content), X.tokenize(title)
-    entry = lambda tf, boosted, indexed: lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(boosted).alias("b"), F.lit(indexed).alias("i"))
-    entries = F.concat(F.transform(tokens, entry(1, 0, 1)), F.transform(F.array_distinct(titles), entry(0, 1, 1)), F.transform(X.expand_title(titles), entry(0, 1, 0)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(entries).alias("e")).select("doc_id", "e.term", "e.tf", "e.b", "e.i")
+    # Three texts a document (0: content, 1: title, 2: title with parts), split and filtered in generated code.
+    titles = F.array_join(X.expand_title(X.tokenize(title)), " ")
+    texts = F.array(*(F.struct(F.lit(kind).alias("kind"), t.alias("t")) for kind, t in ((0, X.token_text(content)), (1, X.token_text(title)), (2, titles))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(texts).alias("x")).select("doc_id", "x.kind", F.explode(F.split("x.t", " ")).alias("term"))
+    rows = rows.where((F.length("term") > 1) & ((F.col("kind") == 2) | ~F.col("term").isin(X.STOP_WORDS)))
     if only is not None:
         rows = rows.join(few(only.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("doc_id", "term").agg(F.sum("tf").cast("long").alias("tf"), (F.max("b") == 1).alias("boosted"), (F.max("i") == 1).alias("indexed"))
+    return rows.groupBy("doc_id", "term").agg(F.count_if(F.col("kind") == 0).alias("tf"), (F.max("kind") == 2).alias("boosted"), (F.min("kind") < 2).alias("indexed"))
 
 
 #: Terms or other short keys that are broadcast at most.
