@@ -42,7 +42,9 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
-    return index.where("indexed").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """term and df.  It reads all columns, so that the postings' shuffle is the one that scores read, and runs once."""
+    counted = F.col("indexed") & (F.col("tf") >= 0) & F.col("boosted").isNotNull()
+    return index.groupBy("term").agg(F.count_if(counted).alias("df")).where("df > 0")
 
 
 def idf_table(index: DataFrame, n_docs: int) -> DataFrame:
@@ -63,8 +65,8 @@ def tfidf_scores(index: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame
     """
     terms = queries.select("term").distinct()
     used = index.join(few(terms), "term", "left_semi")
-    weight = terms.join(document_frequency(used), "term", "left").withColumn("idf", idf(F.lit(n_docs), F.coalesce("df", F.lit(0)))).drop("df")
-    hits = queries.join(weight, "term").join(used, "term")
+    weighted = queries.join(document_frequency(used), "term", "left").withColumn("idf", idf(F.lit(n_docs), F.coalesce("df", F.lit(0)))).drop("df")
+    hits = used.join(F.broadcast(weighted) if queries.count() <= FEW else weighted, "term")  # as many rows as queries
     boost = F.when(F.col("boosted"), TITLE_BOOST).otherwise(0)
     found = hits.groupBy("query_id", "doc_id", "n_terms").agg(
         F.sum(F.when((F.col("tf") > 0) | F.col("boosted"), F.col("times") * (F.col("tf") + boost) * F.col("idf")).otherwise(0.0)).alias("raw"),
@@ -101,11 +103,12 @@ def bm25_scores(rows: DataFrame, queries: DataFrame, columns: list[tuple[str, fl
     entries = F.concat(*(F.transform(F.col(c), weighted(w)) for c, w in columns))
     terms = queries.select("term").distinct()
     tf = sized.select("id", "__len", F.explode(entries).alias("e")).select("id", "__len", "e.term", "e.w").join(few(terms), "term", "left_semi").groupBy("id", "__len", "term").agg(F.sum("w").alias("f"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("f") > 0).alias("n"))  # reads f, so that tf's shuffle runs once
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("__len") / F.col("avg_len")))
-    hits = queries.join(tf, "term").join(df, "term").crossJoin(F.broadcast(corpus))  # one row
+    weighted = queries.join(df, "term")  # as many rows as queries at most
+    hits = tf.join(F.broadcast(weighted) if queries.count() <= FEW else weighted, "term").crossJoin(F.broadcast(corpus))  # one row
     return hits.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"))
 
 
