@@ -162,7 +162,7 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"file": [name], "part": [context.partitionId()], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.counts)]})
 
     ranged = df.select(id_col, text_col).repartitionByRange(F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(id_col, F.xxhash64(text_col), text_col)
-    manifest = common.written(ranged.mapInArrow(common.releasing(tokenizing.forget, write), "file string, part long, n_docs long, n_ids long"), "token-manifest")
+    manifest = common.written(ranged.mapInArrow(common.releasing(write, tokenizing.forget), "file string, part long, n_docs long, n_ids long"), "token-manifest")
     return manifest.select(F.lit(path).alias("path"), "*")
 
 
@@ -193,7 +193,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: T.DataTy
                         )
                         at = end
 
-    return files.repartition(F.col("file")).mapInArrow(read, out)
+    return files.repartition(F.col("file")).mapInArrow(common.releasing(read), out)
 
 
 def crc32(data: bytes) -> int:

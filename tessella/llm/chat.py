@@ -139,4 +139,4 @@ def format_chats(
 
     common.small_batches(df.sparkSession)
     rows = df.select(conv_col, turn_col, role_col, text_col)
-    return rows.repartition(F.col(conv_col)).sortWithinPartitions(conv_col, turn_col, role_col, text_col).mapInArrow(work, out)
+    return rows.repartition(F.col(conv_col)).sortWithinPartitions(conv_col, turn_col, role_col, text_col).mapInArrow(common.releasing(work), out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tessella.session import reachable
 
 #: Texts a Python worker handles at a time, in bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A side of a join is broadcast up to this many keys (8 to 40 bytes each), and shuffled beyond.
 BROADCAST_KEYS = 1_000_000
 #: ASCII white space, in Java's and Python's syntax; all else is part of words.
@@ -46,14 +48,26 @@ def small_batches(spark: SparkSession, size: str = "16m") -> None:
     reachable(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def releasing(release: Callable[[], None], work: Callable) -> Callable:
-    """work, after which a task's memos are emptied: workers live on and serve other operators."""
+def give_back() -> None:
+    """Returns freed memory to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def releasing(work: Callable, release: Callable[[], None] | None = None) -> Callable:
+    """work, after which a task's memos are emptied and freed memory is given back: workers live on, idle or for other operators."""
 
     def run(batches):
         try:
             yield from work(batches)
         finally:
-            release()
+            if release:
+                release()
+            give_back()
 
     return run
 

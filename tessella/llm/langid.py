@@ -116,7 +116,7 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     # The sample is bounded, so a few tasks count it; each gives a row a language.
-    for r in taken.repartition(4).mapInArrow(tally, "lang string, docs long, counts binary").toLocalIterator():
+    for r in taken.repartition(4).mapInArrow(common.releasing(tally), "lang string, docs long, counts binary").toLocalIterator():
         total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
         docs[r.lang] = docs.get(r.lang, 0) + r.docs
     names = sorted(total)
@@ -140,6 +140,9 @@ def identify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from common.releasing(score)(batches)
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in batches:
             found: list[tuple[str, float]] = []
             for part in common.text_slices(pa.RecordBatch.from_arrays([whole], names=["text"]), 0):

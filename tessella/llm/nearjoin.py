@@ -60,6 +60,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget() -> None:
+    """Empties this worker's memo."""
+    _hashes.clear()
+
+
 def shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, ascending within each text; offsets of the texts).
 
@@ -175,7 +180,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) ->
             parts = counts.astype(np.uint32).reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=out.names)
 
-    return df.select(id_col, text_col).mapInArrow(common.releasing(_hashes.clear, work), out)
+    return df.select(id_col, text_col).mapInArrow(common.releasing(work, forget), out)
 
 
 def _order(sets: DataFrame) -> np.ndarray:
@@ -190,7 +195,7 @@ def _order(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
     total = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
-    for r in sets.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk long, counts binary").collect():  # CHUNKS rows
+    for r in sets.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(common.releasing(add), "chunk long, counts binary").collect():  # CHUNKS rows
         total[r.chunk] = np.frombuffer(r.counts, np.int64)
     return (np.log2(total.ravel() + 1) * 1000).astype(np.uint16)
 
@@ -228,7 +233,7 @@ def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: in
                         [pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(np.repeat(rows, times))), pa.array(np.repeat(sizes, times), pa.int64())], names=out.names
                     )
 
-    return df.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(common.releasing(_hashes.clear, work), out)
+    return df.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(common.releasing(work, forget), out)
 
 
 def _candidates(keys: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +286,7 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield _batch(out, [kind, kind, pa.int64(), pa.int64()], rows)
 
-    return keys.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(work, out)
+    return keys.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(common.releasing(work), out)
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
@@ -309,7 +314,7 @@ def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(work, out).distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(common.releasing(work), out).distinct()
 
 
 def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -369,7 +374,7 @@ def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         if found:
             yield _batch(out, [kind, kind], found)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(work, out).distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(common.releasing(work), out).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -398,7 +403,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                     yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], names=["a", "b"])
 
     both = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return both.mapInArrow(common.releasing(_hashes.clear, work), out).distinct()
+    return both.mapInArrow(common.releasing(work, forget), out).distinct()
 
 
 def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
