@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.plans.registry import Registry, table
+from tessella.session import shared_dir
 from tessella.streaming import consumer as S
 
 query = Registry()
@@ -20,10 +21,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """The stream's rows once it has read all there is, as a table in the shared folder of the cluster or the warehouse."""
+    """The stream's rows once it has read all there is, as a table in the cluster's shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = df.schema
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -53,8 +53,7 @@ def stream_sliding_windows(spark, sf_dir):
 @query()
 def stream_consume(spark, sf_dir):
     """Each event consumed once, its type kept by `apply`."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/consume-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/consume-{uuid.uuid4().hex}"
     out = f"{path}/applied"
 
     def apply(batch: DataFrame, version: int) -> None:
