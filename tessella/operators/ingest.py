@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def newest_complete_run(runs: DataFrame) -> DataFrame:
@@ -154,12 +158,52 @@ def resolve_owner(items: DataFrame, owners: DataFrame, *, item: str, text: str)
 
 
 def backlinks(documents: DataFrame, needles: DataFrame, *, doc: str, text: str) -> DataFrame:
-    """needle_id, doc and n of every document that has the needle: one scan of the texts against a short list of needles."""
-    few = needles.count() <= 10_000
-    hit = documents.join(F.broadcast(needles) if few else needles, F.contains(F.col(text), F.col("needle")))
+    """needle_id and doc of every document that has the needle.
+
+    A short list (counted) is searched for in one pass over each text, by an
+    Aho-Corasick automaton in Arrow batches; a handful, or more than a list, by a
+    substring join.  Null needles match nothing.
+    """
+    needles = needles.select("needle_id", "needle").where("needle is not null")
+    n = needles.count()
+    if HANDFUL < n <= LISTED and needles.where("needle = ''").isEmpty():
+        return _search(documents, needles, doc, text)
+    hit = documents.join(F.broadcast(needles) if n <= LISTED else needles, F.contains(F.col(text), F.col("needle")))
     return hit.select("needle_id", doc)
 
 
+#: Needles up to which a substring join is as good, and up to which they are a list.
+HANDFUL, LISTED = 8, 10_000
+
+
+def _search(documents: DataFrame, needles: DataFrame, doc: str, text: str) -> DataFrame:
+    try:
+        import ahocorasick
+    except ImportError:
+        return documents.join(F.broadcast(needles), F.contains(F.col(text), F.col("needle"))).select("needle_id", doc)
+    listed: dict[str, list] = {}
+    for r in needles.collect():  # LISTED rows at most
+        listed.setdefault(r.needle, []).append(r.needle_id)
+    out = T.StructType([needles.schema["needle_id"], documents.schema[doc]])
+    shared = documents.sparkSession.sparkContext.broadcast(listed)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for needle, ids in shared.value.items():
+            automaton.add_word(needle, tuple(ids))
+        automaton.make_automaton()
+        for batch in batches:
+            found, rows = [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                hits = {x for _, ids in automaton.iter(value) for x in ids} if value else ()
+                found += hits
+                rows += [i] * len(hits)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, to_arrow_type(out[0].dataType)), batch.column(0).take(pa.array(rows))], names=out.names)
+
+    return documents.select(doc, text).mapInArrow(find, out)
+
+
 def alias_references(documents: DataFrame, aliases: DataFrame, *, doc: str, text: str) -> DataFrame:
     """alias and doc of every text that names an alias path, with slashes, dots and case as they may vary; each blocks the alias's removal."""
     flat = F.regexp_replace(F.lower(F.translate(text, "\\", "/")), r"(^|[\s(\[\"'`])\./", "$1")

@@ -80,6 +80,14 @@ def test_merges(spark):
     assert {r.k: r.state for r in I.stale_receipts(receipts, catalog, "k", "v").collect()} == {"a": "current", "b": "stale", "z": "missing"}
 
 
+@pytest.mark.parametrize("n", [3, 30])
+def test_backlinks(spark, n):
+    docs = spark.createDataFrame([(i, f"x{i}y needle{i % 5} tail é{i}") for i in range(40)] + [(99, None), (98, "")], "d int, t string")
+    needles = spark.createDataFrame([(k, f"needle{k % 7}" if k % 2 else f"é{k}") for k in range(n)] + [(1000, None)], "needle_id int, needle string")
+    want = sorted((k, i) for k in range(n) for i in range(40) if (f"needle{k % 7}" if k % 2 else f"é{k}") in f"x{i}y needle{i % 5} tail é{i}")
+    assert sorted(rows(I.backlinks(docs, needles, doc="d", text="t"))) == want
+
+
 def test_histories_aliases_currency(spark):
     rows_ = spark.createDataFrame([("a", "open", [("open", 1)]), ("b", "open", [("open", 1)])], "k string, status string, history array<struct<state:string,at:int>>")
     out = {r.k: r for r in I.append_history(rows_, spark.createDataFrame([("a", "done", 2), ("b", "open", 2)], "k string, status string, at int"), "k").collect()}
