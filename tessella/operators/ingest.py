@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.session import spread
+
 
 def newest_complete_run(runs: DataFrame) -> DataFrame:
     """One row: the largest run_id that finished and is complete; null if none is."""
@@ -201,7 +203,7 @@ def _search(documents: DataFrame, needles: DataFrame, doc: str, text: str) -> Da
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, to_arrow_type(out[0].dataType)), batch.column(0).take(pa.array(rows))], names=out.names)
 
-    return documents.select(doc, text).mapInArrow(find, out)
+    return spread(documents.select(doc, text)).mapInArrow(find, out)
 
 
 def alias_references(documents: DataFrame, aliases: DataFrame, *, doc: str, text: str) -> DataFrame:

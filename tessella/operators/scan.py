@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.text import scan_text
+from tessella.session import spread
 
 
 class Rule(NamedTuple):
@@ -109,7 +110,7 @@ def matched_rules(text: Column, rules: tuple[Rule, ...] = SAFETY) -> Column:
 def safety_scan(df: DataFrame, *, id_col: str, text_col: str, rules: tuple[Rule, ...] = SAFETY, normalise: bool = True) -> DataFrame:
     """id, rule_id, cls, sub, severity, start and end of the first match of each rule that a text matches."""
     text = scan_text(text_col) if normalise else F.col(text_col)
-    rows = df.select(F.col(id_col), text.alias("__t")).withColumn("__l", F.lower("__t"))
+    rows = spread(df).select(F.col(id_col), text.alias("__t")).withColumn("__l", F.lower("__t"))
 
     def body(r: Rule) -> Column:
         found = F.regexp_extract("__t", r.pattern, 0)
@@ -125,7 +126,7 @@ def pii_scan(df: DataFrame, *, id_col: str, text_col: str, rules: tuple[Rule, ..
         F.regexp_extract_all(text_col, F.lit(r.pattern), F.lit(0)), lambda m: F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.sub).alias("sub"), F.lit(r.severity).alias("severity"), F.substring(m, 1, MATCHED).alias("matched"))
     )
     hits = F.concat(*(F.when(_hit(F.col(text_col), F.col("__l"), r), found(r)).otherwise(F.array().cast("array<struct<rule_id:string,sub:string,severity:string,matched:string>>")) for r in rules))
-    return df.select(id_col, text_col, F.lower(text_col).alias("__l")).select(id_col, F.explode(hits).alias("m")).select(id_col, "m.*")
+    return spread(df.select(id_col, text_col)).select(id_col, text_col, F.lower(text_col).alias("__l")).select(id_col, F.explode(hits).alias("m")).select(id_col, "m.*")
 
 
 def added_line_lint(lines: DataFrame, rules: tuple[Rule, ...], *, waiver: str = "lint-ok") -> DataFrame:

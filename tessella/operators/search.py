@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions import text as X
+from tessella.session import spread
 
 #: Added to a term's frequency when the title has it.
 TITLE_BOOST = 3
@@ -21,7 +22,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None, *, id_col: str = "d
     # Three texts a document (0: content, 1: title, 2: title with parts), split and filtered in generated code.
     titles = F.array_join(X.expand_title(X.tokenize(title)), " ")
     texts = F.array(*(F.struct(F.lit(kind).alias("kind"), t.alias("t")) for kind, t in ((0, X.token_text(content)), (1, X.token_text(title)), (2, titles))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(texts).alias("x")).select("doc_id", "x.kind", F.explode(F.split("x.t", " ")).alias("term"))
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.explode(texts).alias("x")).select("doc_id", "x.kind", F.explode(F.split("x.t", " ")).alias("term"))
     rows = rows.where((F.length("term") > 1) & ((F.col("kind") == 2) | ~F.col("term").isin(X.STOP_WORDS)))
     if only is not None:
         rows = rows.join(few(only.select("term").distinct()), "term", "left_semi")

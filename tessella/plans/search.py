@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions import text as X
 from tessella.operators import evaluate as E, search as S, vector as V
+from tessella.session import spread
 from tessella.plans.registry import SQL_SCORES, SQL_TFIDF, Registry, sql_terms, sql_tokens, table, titled
 
 query = Registry()
@@ -92,7 +93,7 @@ lex as (select query_id, doc_id, round(bm25, 6) as bm25, row_number() over (part
 
 
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs = titled(spark, sf_dir)
+    docs = spread(titled(spark, sf_dir))
     rows = docs.select("doc_id", F.array(F.lower("source")).alias("c1"), F.array(F.lower("lang")).alias("c2"), X.tokenize("title").alias("c3"), X.tokenize("content").alias("c4"))
     terms = S.query_tokens(benchmark(spark, sf_dir)).select("query_id", "term")
     scores = S.bm25_scores(rows, terms, list(zip(("c1", "c2", "c3", "c4"), S.BM25_WEIGHTS)), id_col="doc_id").select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))

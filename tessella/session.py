@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,17 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of input a core up to which spread() deals rows anew.
+SMALL_SHARE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small input of fewer files than cores to all cores, as a file of one row group is one task; any other input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SMALL_SHARE and 0 < len(df.inputFiles()) < cores else df
+
+
 def session(app: str = "tessella", **conf: str) -> SparkSession:
     """UTC, adaptive execution and skew-join splitting; partitions follow the cores in local mode."""
     cpus = os.environ.get("BENCH_CPUS", "8")
