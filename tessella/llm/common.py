@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tessella.session import reachable, shared_dir
+from tessella.session import reachable, shared_dir, spread
 
 #: Texts a Python worker handles at a time, in bytes.
 SLICE_BYTES = 2 << 20

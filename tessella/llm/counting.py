@@ -44,7 +44,7 @@ def piece_table(df: DataFrame, tokenizer: str, *, text_col: str = "text") -> Dat
         for batch in batches:
             yield batch.append_column("n_tokens", pa.array([n(p) for p in batch.column(0).to_pylist()], pa.int64()))
 
-    pieces = df.select(text_col).mapInArrow(common.releasing(gather, tokenizing.forget), "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
+    pieces = common.spread(df.select(text_col)).mapInArrow(common.releasing(gather, tokenizing.forget), "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     return pieces.mapInArrow(common.releasing(count, tokenizing.forget), "piece string, freq long, n_tokens long")
 
 
@@ -87,7 +87,7 @@ def count_tokens(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
                     k = len(tail[0])
                     yield pa.RecordBatch.from_arrays([pa.array(tail[0], pa.int64()), none(k, part.column(0).type), none(k, pa.int64()), pa.array(tail[1], pa.string()), pa.array(tail[2], pa.int64())], names=parts.names)
 
-    found = common.written(df.select(id_col, text_col).mapInArrow(common.releasing(frequencies, tokenizing.forget), parts), "frequencies")
+    found = common.written(common.spread(df.select(id_col, text_col)).mapInArrow(common.releasing(frequencies, tokenizing.forget), parts), "frequencies")
     rest = found.where("piece is not null").join(pieces, "piece").groupBy("row").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("rest"))
     total = F.col("n") + F.coalesce("rest", F.lit(0))
     return found.where("piece is null").join(rest, "row", "left").select(id_col, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -71,7 +71,7 @@ def _chunks(df: DataFrame, text_col: str, name: Callable[[bytes], bytes]) -> Dat
                 pairs = [*seen.items(), *clash]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.binary()), pa.array([c for _, c in pairs], pa.binary())], names=["chunk_id", "chunk"])
 
-    return df.select(text_col).mapInArrow(common.releasing(cut), "chunk_id binary, chunk binary")
+    return common.spread(df.select(text_col)).mapInArrow(common.releasing(cut), "chunk_id binary, chunk binary")
 
 
 def _recipes(df: DataFrame, id_col: str, text_col: str, name: Callable[[bytes], bytes]) -> DataFrame:
@@ -88,7 +88,7 @@ def _recipes(df: DataFrame, id_col: str, text_col: str, name: Callable[[bytes],
                 texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([recipe(x) for x in texts], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], names=out.names)
 
-    return df.select(id_col, text_col).mapInArrow(common.releasing(cook), out)
+    return common.spread(df.select(id_col, text_col)).mapInArrow(common.releasing(cook), out)
 
 
 def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, name: Callable[[bytes], bytes] = identify) -> DataFrame:

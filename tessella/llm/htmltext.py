@@ -342,4 +342,4 @@ def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -
             for part in common.text_slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x) if x else "" for x in part.column(1).to_pylist()], pa.string())], names=out.names)
 
-    return df.select(id_col, html_col).mapInArrow(common.releasing(work), out)
+    return common.spread(df.select(id_col, html_col)).mapInArrow(common.releasing(work), out)

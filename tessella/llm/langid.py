@@ -149,4 +149,5 @@ def identify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
                 found += shared.value.score([t or "" for t in part.column(0).to_pylist()])
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["lang_pred", "score"])
 
-    return df.select(*keep, predict(text_col).alias("__p")).select(*keep, "__p.lang_pred", "__p.score")
+    columns = [c for c in df.columns if c in {*keep, text_col}]
+    return common.spread(df.select(columns)).select(*keep, predict(text_col).alias("__p")).select(*keep, "__p.lang_pred", "__p.score")

@@ -180,7 +180,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) ->
             parts = counts.astype(np.uint32).reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=out.names)
 
-    return df.select(id_col, text_col).mapInArrow(common.releasing(work, forget), out)
+    return common.spread(df.select(id_col, text_col)).mapInArrow(common.releasing(work, forget), out)
 
 
 def _order(sets: DataFrame) -> np.ndarray:
@@ -233,7 +233,7 @@ def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: in
                         [pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(np.repeat(rows, times))), pa.array(np.repeat(sizes, times), pa.int64())], names=out.names
                     )
 
-    return df.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(common.releasing(work, forget), out)
+    return common.spread(df.select(id_col, text_col).where(F.col(id_col).isNotNull())).mapInArrow(common.releasing(work, forget), out)
 
 
 def _candidates(keys: DataFrame, percent: int) -> DataFrame:

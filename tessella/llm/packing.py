@@ -187,4 +187,4 @@ def pack_documents(
         if rows:
             yield batch()
 
-    return df.select(id_col, text_col).mapInArrow(common.releasing(pack, tokenizing.forget), out)
+    return common.spread(df.select(id_col, text_col)).mapInArrow(common.releasing(pack, tokenizing.forget), out)

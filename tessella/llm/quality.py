@@ -78,7 +78,7 @@ def statistics(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     text = common.text_or_empty(text_col)
     long = lambda c: c.cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    stats = df.select(
+    stats = common.spread(df.select(id_col, text_col)).select(
         F.col(id_col),
         long(F.regexp_count(text, F.lit(WORD))).alias("n_words"),
         long(F.length(F.regexp_replace(text, SPACE, ""))).alias("word_chars"),
