@@ -26,11 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    marked = common.written(dedup.exact_dedup(docs).select("doc_id", "kept", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("first")), "marked")
-    left = common.matched(docs, marked.where("not first").select("doc_id"), "doc_id", "left_anti")
-    # Rows equal in id and text: one of them.
-    return left if marked.where("first and not kept").isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """Of equal texts, the row with the largest doc_id; of rows equal in id and text, one."""
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    marked = common.written(dedup.exact_dedup(docs).select(F.struct("doc_id", F.unhex("text_sha256")).alias("row"), first.alias("first"), "kept"), "marked")
+    # Rows go by id and text: an id may be null or stand for several texts.
+    named = docs.withColumn("row", F.struct("doc_id", F.unhex(F.sha2(common.text_or_empty("text"), 256))))
+    left = common.matched(named, marked.where("not first").select("row"), "row", "left_anti")
+    return (left if marked.where("first and not kept").isEmpty() else left.dropDuplicates(["row"])).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,10 @@ def test_repeated_rows_and_empty_tables(spark, sf_dir):
     empty = docs.limit(0)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, sf_dir).count() == 0
+
+
+def test_exact_stage_keeps_every_text(spark, sf_dir):
+    rows = [(None, "copied"), (1, "copied"), (None, "only here"), (5, "A"), (5, "B"), (7, "B"), (8, None), (8, ""), (9, "same"), (9, "same"), (None, "nulls"), (None, "nulls")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.exact_dedup(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "copied"), (None, "only here"), (5, "A"), (7, "B"), (8, ""), (9, "same"), (None, "nulls")], key=repr)
