@@ -19,8 +19,16 @@ from tessella.llm import common
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style title template noscript iframe object embed audio video canvas svg math datalist area base link meta param source track noembed noframes select input textarea".split())
+HIDDEN = frozenset("head script style title template noscript iframe object embed audio video canvas datalist area base link meta param source track noembed noframes select input textarea".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary ul table caption thead tbody tfoot tr".split())
+#: Hidden inside these only: what a drawing refers to or says about itself, and a formula's other notations.
+FOREIGN = {
+    "svg": frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+FOREIGN_HIDDEN = FOREIGN["svg"] | FOREIGN["math"]
+#: Labels of a drawing and cells of a formula's table, which stand apart.
+APART = frozenset("text foreignobject mtr mtd".split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("article blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre section table ul".split())
 #: Start tags that end an open element, and the elements beyond which they do not look.
@@ -109,7 +117,7 @@ def build(html: str) -> Node:
                 node = last.parent
         new = Node(tag, token[len(tag) + 1 :].rstrip(">"), node)
         node.children.append(new)
-        if tag in VOID or token.endswith("/>") and tag in ("svg", "path", "use", "circle", "rect"):
+        if tag in VOID or token.endswith("/>") and (tag in ("svg", "math", "path", "use", "circle", "rect") or foreign(node)):
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -122,9 +130,20 @@ def build(html: str) -> Node:
     return root
 
 
+def foreign(node: Node | None) -> str | None:
+    """svg or math where a node is part of one, else None."""
+    while node is not None and node.tag != "foreignobject":
+        if node.tag in FOREIGN:
+            return node.tag
+        node = node.parent
+    return None
+
+
 def visible(node: Node) -> bool:
     if node.tag in HIDDEN:
         return False
+    if node.tag in FOREIGN_HIDDEN and (kind := foreign(node.parent)) and node.tag in FOREIGN[kind]:
+        return False
     if not node.attrs or node.attrs.isspace():
         return True
     a = node.attributes()
@@ -219,7 +238,7 @@ def _flow(root: Node, out: _Layout, pre: bool = False) -> None:
             out.block(spaced)
             _list(x, out)
             out.block(spaced)
-        elif x.tag in BLOCK:
+        elif x.tag in BLOCK or x.tag in APART and foreign(x.parent):
             spaced = x.tag in SPACED
             out.block(spaced)
             stack.append(("out", spaced, pre))
@@ -274,11 +293,11 @@ def _list(node: Node, out: _Layout) -> None:
                 out.lay(lines, mark, " " * len(mark))
 
 
-def _rows(table: Node) -> Iterator[tuple[str, Node]]:
+def _rows(table: Node) -> Iterator[tuple[str, Node | str]]:
     for child in table.children:
         if isinstance(child, str):
             if child.strip():
-                yield "text", Node("#text", "", table)
+                yield "text", " ".join(child.split())
         elif visible(child):
             if child.tag in ("thead", "tbody", "tfoot"):
                 yield from _rows(child)
@@ -288,12 +307,11 @@ def _rows(table: Node) -> Iterator[tuple[str, Node]]:
 
 def _table(table: Node) -> list[str]:
     """Caption and stray content as lines, rows with their cells in columns of equal width."""
-    before, rows = [], []
-    for child in table.children:
-        if isinstance(child, str) and child.strip():
-            before.append(" ".join(child.split()))
+    stray, before, rows = [], [], []
     for kind, node in _rows(table):
-        if kind == "row":
+        if kind == "text":
+            stray.append(node)
+        elif kind == "row":
             cells, span = [], 1
             for cell in node.children:
                 if isinstance(cell, str):
@@ -306,8 +324,9 @@ def _table(table: Node) -> list[str]:
                         cells += [[]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
             if any(cells):
                 rows.append(cells)
-        elif kind == "other":
+        else:
             before += _inner(node)
+    before = stray + before
     if not rows:
         return before
     if max(len(r) for r in rows) == 1:

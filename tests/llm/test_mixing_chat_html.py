@@ -222,3 +222,11 @@ def test_extract_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (None, "<p>x", "t"), (2, "", "t")], "page_id long, html string, text string")
     assert sorted(map(tuple, htmltext.extract(df).collect()), key=repr) == [(1, ""), (2, ""), (2, ""), (None, "x")]
     assert htmltext.extract(df.limit(0)).collect() == []
+
+
+def test_stray_table_text_and_foreign_content():
+    for part in ("thead", "tbody", "tfoot"):
+        assert htmltext.render(f"<table><{part}>Note<tr><td>1</table>") == "Note\n1"
+    assert htmltext.render("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds") == "so x=1 holds"
+    drawn = "<svg><title>t</title><desc>d</desc><defs><text>q</text></defs><metadata>m</metadata><defs/><text>Jan</text><text>Feb</text></svg>"
+    assert htmltext.render(f"{drawn}<desc>shown</desc>") == "Jan\nFeb\nshown"
