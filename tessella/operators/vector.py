@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.session import shared_dir
+
 # Candidates by channel, of the union, and for the reranker; fusion constant; results of an artifact; overlap of duplicates; weights of the blend.
 LEXICAL, VECTOR, UNION, RERANK, RRF_K, PER_ARTIFACT, IOU, CROSS_WEIGHT, FUSION_WEIGHT = 64, 64, 96, 24, 60, 2, 0.80, 0.75, 0.25
-#: Bytes of query vectors that may be broadcast; more are searched in blocks.
+#: Bytes of query vectors that are broadcast at once; more are searched in blocks.
 QUERY_BYTES = 64 << 20
 
 
@@ -40,19 +44,46 @@ def knn(points: DataFrame, queries: DataFrame, *, k: int = VECTOR, id_col: str =
 
     A stated, bounded set of queries meets all points in blocks: each task keeps
     the k best of its own points for each query by matrix products, so at most
-    tasks * queries * k rows are shuffled.  Queries beyond QUERY_BYTES are refused.
+    tasks * queries * k rows are shuffled.  Queries beyond QUERY_BYTES are searched
+    in blocks of at most that size, one after the other, each written to the
+    shared folder; the driver holds one block.
     """
     rows = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
     size = rows.agg(F.sum(F.size("v") * 8)).first()[0] or 0
-    if size > QUERY_BYTES:
-        raise ValueError(f"the queries' vectors take {size} bytes; search them in blocks of at most {QUERY_BYTES}")
-    named = rows.collect()  # bounded above
     q_type, p_type = rows.schema["q"].dataType, points.schema[id_col].dataType
     out = T.StructType([T.StructField("query_id", q_type), T.StructField("id", p_type), T.StructField("score", T.DoubleType())])
-    if not named:
-        return points.sparkSession.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    if size <= QUERY_BYTES:
+        named = rows.collect()  # bounded above
+        if not named:
+            return points.sparkSession.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
+        return ranked(_search(points.select(id_col, vector), named, out, k, digits)[0])
+    base = f"{shared_dir(points.sparkSession)}/knn-{uuid4().hex}"
+    for named in _blocks(rows.toLocalIterator()):
+        found, shared = _search(points.select(id_col, vector), named, out, k, digits)
+        found.write.mode("append").parquet(base)
+        shared.destroy()
+    return ranked(points.sparkSession.read.schema(out).parquet(base))
+
+
+def _blocks(rows: Iterator[Row]) -> Iterator[list[Row]]:
+    """The rows (q, v) in lists whose vectors take QUERY_BYTES at most; a longer one is alone."""
+    block, held = [], 0
+    for r in rows:
+        if block and held + 8 * len(r.v) > QUERY_BYTES:
+            yield block
+            block, held = [], 0
+        block.append(r)
+        held += 8 * len(r.v)
+    if block:
+        yield block
+
+
+def _search(points: DataFrame, named: list[Row], out: T.StructType, k: int, digits: int) -> tuple[DataFrame, Broadcast]:
+    """query_id, id and score of each task's k best points for each query, and the broadcast queries."""
+    q_type = out["query_id"].dataType
     matrix = np.array([r.v for r in named], np.float64).reshape(len(named), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(named) else matrix
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = points.sparkSession.sparkContext.broadcast(([r.q for r in named], matrix / np.where(norms == 0, 1, norms)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +108,7 @@ def knn(points: DataFrame, queries: DataFrame, *, k: int = VECTOR, id_col: str =
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], to_arrow_type(q_type)), pa.array([r[1] for r in rows], kinds), pa.array([r[2] for r in rows], pa.float64())], names=out.names)
 
-    found = points.select(id_col, vector).mapInArrow(search, out)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return points.mapInArrow(search, out), shared
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, *, id_col: str = "id", limit: int = UNION) -> DataFrame:

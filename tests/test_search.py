@@ -80,6 +80,14 @@ def test_knn_is_brute_force(spark):
     assert V.knn(p, q.limit(0)).collect() == [] and V.knn(p.limit(0), q).collect() == []
 
 
+def test_knn_in_blocks_is_knn(spark, monkeypatch):
+    p = points(spark).repartition(5)
+    q = p.where("point_id < 10").withColumnRenamed("point_id", "query_id")
+    whole = V.knn(p, q, k=7).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(V, "QUERY_BYTES", 3 * 24)
+    assert len(whole) == 70 and V.knn(p, q, k=7).orderBy("query_id", "rank").collect() == whole
+
+
 def test_filters(spark):
     p = points(spark)
     assert V.equality_filters(p, label=1, tags="y", point_id=None).count() == len([i for i in range(40) if i % 3 == 1 and i % 2])
