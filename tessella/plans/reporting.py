@@ -161,6 +161,24 @@ def safety_scan_full(spark, sf_dir):
     return P.safety_scan(rows, id_col="id", text_col="text")
 
 
+def texts_and_pages(spark, sf_dir):
+    """doc_id and text of documents and pages; page ids are moved up."""
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000_000).alias("doc_id"), F.col("html").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(pages)
+
+
+@query()
+def safety_scan_texts_full(spark, sf_dir):
+    """All rules, on normalised documents and pages, with places; safety_scan has what SQL can check."""
+    return P.safety_scan(texts_and_pages(spark, sf_dir), id_col="doc_id", text_col="text")
+
+
+@query()
+def pii_scan_full(spark, sf_dir):
+    """All rules, on documents and pages; pii_scan has what SQL can check."""
+    return P.pii_scan(texts_and_pages(spark, sf_dir), id_col="doc_id", text_col="text").groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 SQL_EDGES = "e as (select n_nationkey as k, (n_nationkey * 7 + 3) % 30 as dep from nation union all select n_nationkey, n_nationkey from nation where n_nationkey % 11 = 0 union all select n_nationkey, (n_nationkey + 5) % 25 from nation where n_nationkey % 4 = 1)"
 
 
