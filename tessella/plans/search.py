@@ -73,6 +73,12 @@ def identifier_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(n <= X.MOST_TERMS).select("doc_id", F.explode(X.identifiers("text")).alias("identifier"))
 
 
+@query()
+def identifier_tokens_full(spark, sf_dir):
+    """Of every document, the first 64 distinct identifiers; identifier_tokens has what SQL can check."""
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(X.identifiers("text")).alias("identifier"))
+
+
 @query("select p_partkey, regexp_replace(lower(trim(p_name)), '[\\s-]+', '-', 'g') as canonical, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from part")
 def slug_and_canonical(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.canonical_name("p_name").alias("canonical"), X.slug_plain("p_name").alias("slug"))

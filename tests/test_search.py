@@ -168,3 +168,16 @@ def test_candidate_thresholds(spark):
 def test_checks(spark):
     df = spark.createDataFrame([(1.0, ">=", 1.0), (float("nan"), ">=", 0.0), (float("inf"), ">=", 0.0), (None, "<", 1.0), (2.0, "??", 1.0), (1.0, "==", 1.0)], "o double, op string, t double")
     assert [r.v for r in df.select(E.check_verdict(F.col("o"), F.col("op"), F.col("t")).alias("v")).collect()] == [True, False, False, False, None, True]
+
+
+def test_identifiers_of_every_document(spark, tmp_path):
+    import re
+
+    from tessella.functions import text as X
+    from tessella.plans import search
+
+    texts = [" ".join(f"word id-{i % 70} x{i}.y" for i in range(100)), "abc ab-1 plain abc1 ab-1", "none here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, t) for i, x in enumerate(texts) for t in list(dict.fromkeys(t for t in re.findall(X.TERM, x or "") if re.search(X.IDENTIFIER, t)))[:64]}
+    got = [tuple(r) for r in search.query.queries["identifier_tokens_full"](spark, str(tmp_path)).select("doc_id", "identifier").collect()]
+    assert len(got) == 66 and set(got) == want
