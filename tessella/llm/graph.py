@@ -7,21 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from tessella.llm import common
 
 
-def components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of every node of the edges a, b.
 
     Each round points nodes at smaller neighbours: large-star joins each node's
     larger neighbours to its least neighbour, small-star its smaller ones.  The
-    number of edges never grows, each round is a written table, and a star
-    forest is the end.  Stars of hot nodes are aggregated before they are joined
+    number of edges never grows, each round is a written table, and rounds go on
+    until one changes nothing, as a star forest does not.  Stars of hot nodes are aggregated before they are joined
     back, and the join splits skewed nodes.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = common.written(edges, "edges")
     state = _state(edges)
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()

@@ -12,10 +12,16 @@ have, as counted over all documents in a table of fixed size, last: passages
 that many documents share then make no candidates.
 
 Candidates are rejected by the Hamming distance of whole bit sketches, one bit a
-hash, and the rest verified on the words themselves.  A key's group gives all
-pairs if small; else pairs with one member, the one that most groups have; when
-the links found leave such a group in several components, the sketches of its
-members are compared across them, block by block.
+hash, and the rest verified on the texts' shingles, as 64-bit hashes.  A key's
+group gives all pairs if small; else pairs with one member, the one that most
+groups have.  Where the links found leave a large group in several components,
+the members outside its largest one get centres of their own while many are
+left, and then their sketches are compared with the other components' members,
+block by block: the cost goes with the members that are not yet linked, not with
+the square of the group.
+
+No task holds a whole hot group: the counters tell which keys are hot, and the
+rows of these are dealt by key and a salt, from the first shuffle on.
 """
 
 from __future__ import annotations
@@ -40,6 +46,10 @@ LEAST_LEVEL = 6
 SMALL = 8
 #: Members of a block of a large group; partners that one task verifies against one document.
 BLOCK, PARTNERS = 512, 400
+#: A key is hot when its counter is so much above twice the mean; rows of a hot key that one task gets.
+HOT, SALTED = 2048, 1024
+#: Comparisons of sketches up to which open groups are compared at once; beyond, up to so many rounds of new centres come first.
+COMPARISONS, CENTRES = 50_000_000, 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -201,12 +211,20 @@ def _order(sets: DataFrame) -> np.ndarray:
 
 
 def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """key, id, n: of each document's parts the first by the order; a set that the task has met already is left out."""
+    """key, id, n, salts: of each document's parts the first by the order; a set that the task has met already is left out.
+
+    salts: over how many tasks a hot key's rows go; 0 for other keys.
+    """
     shared = df.sparkSession.sparkContext.broadcast(order)
-    out = common.schema_of(("key", T.LongType()), common.field(df, id_col, "id"), ("n", T.LongType()))
+    out = common.schema_of(("key", T.LongType()), common.field(df, id_col, "id"), ("n", T.LongType()), ("salts", T.IntegerType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = shared.value, set()
+        # The counters' scale goes back to counts, the same in every task.
+        counts = np.exp2(rank.astype(np.float32) / np.float32(1000))
+        over = counts - 2 * counts.mean()
+        salts_of = np.where(over > HOT, np.maximum(np.ceil(over / SALTED), 1), 0).astype(np.int32)
+        del counts, over
         for whole in batches:
             for part in common.text_slices(whole, 1):
                 h, at = shingles(part.column(1).cast(pa.binary()).to_pylist(), size)
@@ -228,18 +246,21 @@ def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: in
                         rows.append(i)
                         sizes.append(n)
                 if keys:
-                    times = [len(k) for k in keys]
+                    times, together = [len(k) for k in keys], np.concatenate(keys)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(np.repeat(rows, times))), pa.array(np.repeat(sizes, times), pa.int64())], names=out.names
+                        [pa.array(together.view(np.int64)), part.column(0).take(pa.array(np.repeat(rows, times))), pa.array(np.repeat(sizes, times), pa.int64()), pa.array(salts_of[together >> SHIFT])], names=out.names
                     )
 
     return common.spread(df.select(id_col, text_col).where(F.col(id_col).isNotNull())).mapInArrow(common.releasing(work, forget), out)
 
 
 def _candidates(keys: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of small groups; and key, a, n: the members of large ones."""
+    """a, b: the pairs of small groups; and key, a, n, salts: the members of large ones.
+
+    A hot key's rows are dealt over its salts, and are members without being gathered.
+    """
     id_type = keys.schema["id"].dataType
-    out = common.schema_of(("a", id_type), ("b", id_type), ("key", T.LongType()), ("n", T.LongType()))
+    out = common.schema_of(("a", id_type), ("b", id_type), ("key", T.LongType()), ("n", T.LongType()), ("salts", T.IntegerType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
@@ -257,10 +278,15 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
                             if len(seen) > 500_000:
                                 seen.clear()
                             seen.add(p)
-                            rows.append((*p, None, None))
+                            rows.append((*p, None, None, None))
 
         for batch in batches:
             kind = batch.schema.field(1).type
+            hot = batch.column(3).to_numpy() > 0
+            if hot.any():
+                h = batch.filter(pa.array(hot))
+                yield pa.RecordBatch.from_arrays([h.column(1), pa.nulls(h.num_rows, kind), h.column(0), h.column(2), h.column(3)], names=out.names)
+                batch = batch.filter(pa.array(~hot))
             k = batch.column(0).to_numpy()
             if not len(k):
                 continue
@@ -273,27 +299,35 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
                     finish()
                     key, members, large = now, [], False
                 if large:
-                    rows.append((m_id, None, key, n))
+                    rows.append((m_id, None, key, n, 1))
                 else:
                     members.append((n, m_id))
                     if len(members) > SMALL:
-                        rows += [(x, None, key, m) for m, x in members]
+                        rows += [(x, None, key, m, 1) for m, x in members]
                         members, large = [], True
             if len(rows) > 20_000:
-                yield _batch(out, [kind, kind, pa.int64(), pa.int64()], rows)
+                yield _batch(out, [kind, kind, pa.int64(), pa.int64(), pa.int32()], rows)
                 rows.clear()
         finish()
         if rows:
-            yield _batch(out, [kind, kind, pa.int64(), pa.int64()], rows)
+            yield _batch(out, [kind, kind, pa.int64(), pa.int64(), pa.int32()], rows)
+
+    dealt = keys.repartition("key", F.when(F.col("salts") > 0, F.pmod(F.xxhash64("id"), F.col("salts"))))
+    return dealt.sortWithinPartitions("key", "n", "id").mapInArrow(common.releasing(work), out)
+
 
-    return keys.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(common.releasing(work), out)
+def _with_group(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """members (key, salts, a, ...) with their groups' columns; a hot group meets its members salt by salt."""
+    each = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts")
+    return members.withColumn("__salt", F.pmod(F.xxhash64("a"), F.col("salts").cast("long"))).join(each, ["key", "__salt"]).drop("__salt")
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: each large group's members with the one that most large groups have; ties go to the smallest id."""
+def _stars(members: DataFrame, percent: int, centres: DataFrame | None = None) -> DataFrame:
+    """a, b: each large group's members with the one of them, or of `centres`, that most large groups have; ties go by a hash."""
     often = members.groupBy("a").agg(F.count(F.lit(1)).alias("groups"))
-    centre = members.join(often, "a").groupBy("key").agg(F.max_by(F.struct("a", "n"), F.struct("groups", F.hash("a"), "a")).alias("c"))
-    pairs = members.join(centre, "key").where((F.col("a") != F.col("c.a")) & (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent))
+    chosen = members if centres is None else centres
+    centre = chosen.select("key", "salts", "a", "n").join(often, "a").groupBy("key", "salts").agg(F.max_by(F.struct("a", "n"), F.struct("groups", F.hash("a"), "a")).alias("c"))
+    pairs = _with_group(members, centre).where((F.col("a") != F.col("c.a")) & (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent))
     return pairs.select(F.least("a", "c.a").alias("a"), F.greatest("a", "c.a").alias("b")).distinct()
 
 
@@ -318,15 +352,20 @@ def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 
 def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of a group's members in different components whose sketches are near; members: key, a, n, component.
+    """a, b: pairs of a group's members in different components whose sketches are near.
 
-    A group is dealt to tasks by pairs of blocks of its members.
+    members: key, a, n, component, giant, size, rest; giant is the component that
+    most of a group's `size` members are in, and `rest` the number of the others.
+    Each block of the others meets all blocks of the group; two blocks of the
+    giant never meet.
     """
     id_type = members.schema["a"].dataType
     out = common.schema_of(("a", id_type), ("b", id_type))
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = members.join(blocks, "key").join(sketches.select(F.col("id").alias("a"), "sketch"), "a").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    block = lambda n: F.ceil(n / BLOCK)
+    rows = members.join(sketches.select(F.col("id").alias("a"), "sketch"), "a").withColumn("outer", block(F.col("rest"))).withColumn("inner", block(F.col("size") - F.col("rest")))
+    linked, place = F.col("component") == F.col("giant"), F.xxhash64("a")
+    rows = rows.withColumn("own", F.when(linked, F.col("outer") + F.pmod(place, F.col("inner"))).otherwise(F.pmod(place, F.col("outer"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(linked, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "n", F.xxhash64("component").alias("c"), "sketch")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,11 +417,22 @@ def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs a, b whose texts' sets are similar; a document with many partners is dealt to several tasks."""
+    """The pairs a, b whose texts' sets are similar; a document with many partners is the pair's a, and is dealt to several tasks."""
     out = pairs.select("a", "b").schema
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts"))
-    others = pairs.join(salts, "a").join(texts.withColumnRenamed("id", "b"), "b").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "text")
-    own = salts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast(out["b"].dataType).alias("b"), "text")
+    times = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > PARTNERS)
+    few = times.count() <= common.BROADCAST_KEYS
+
+    def busy(c: str) -> DataFrame:
+        named = times.select(F.col("a").alias(c), F.col("times").alias(f"n_{c}"))
+        return F.broadcast(named) if few else named
+
+    swap = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
+    dealt = pairs.join(busy("a"), "a", "left").join(busy("b"), "b", "left").select(
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.coalesce(F.greatest("n_a", "n_b"), F.lit(1)) / PARTNERS).alias("salts")
+    )
+    others = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "text")
+    own = dealt.select("a", "salts").distinct().select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    own = own.join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast(out["b"].dataType).alias("b"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -439,7 +489,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     sketches = full.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch")
-    members = common.written(to_reps(found.where("key is not null").select("key", "a", "n"), "a").distinct(), "members")
+    members = common.written(to_reps(found.where("key is not null").select("key", "salts", "a", "n"), "a").distinct(), "members")
     pairs = apart(to_reps(to_reps(found.where("b is not null").select("a", "b").distinct(), "a"), "b")).unionByName(_stars(members, percent)).distinct()
     near = common.written(_near_sketches(pairs, sketches, percent), "near")
 
@@ -453,17 +503,34 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     several = apart(full.join(several, "id", "left_semi").join(groups, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     links = common.written(verified(near).unionByName(several).distinct(), "links")
     named = _components(links, same)
-    placed = members.join(named.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = common.written(placed.join(open_keys, "key", "left_semi"), "open")
-    if not rest.isEmpty():
-        across = common.written(_across(rest, sketches, percent).join(near, ["a", "b"], "left_anti"), "across")
-        if not across.isEmpty():
-            named = _components(links.unionByName(verified(across)), same)
+    for centres_left in range(CENTRES, -1, -1):
+        rest = common.written(_open(members, named), "open")
+        compared = rest.where("component <> giant").agg(F.sum(F.col("size").cast("double"))).first()[0]
+        if compared is None:
+            break
+        if centres_left and compared > COMPARISONS:
+            more = _near_sketches(_stars(rest, percent, rest.where("component <> giant")), sketches, percent)
+        else:
+            more = _across(rest, sketches, percent)
+        more = common.written(more.join(near, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            near = near.unionByName(more)
+            links = common.written(links.unionByName(verified(more)), "links")
+            named = _components(links, same)
+        if not centres_left or compared <= COMPARISONS:
+            break
     component = F.coalesce("component", "id")
     return rows.join(named.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _open(members: DataFrame, named: DataFrame) -> DataFrame:
+    """members of the groups that lie in several components: key, salts, a, n, component, giant (the largest one), size, rest (members outside the giant)."""
+    placed = members.join(named.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    parts = placed.groupBy("key", "salts", "component").agg(F.count(F.lit(1)).alias("c"))
+    groups = parts.groupBy("key", "salts").agg(F.max_by("component", F.struct("c", "component")).alias("giant"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("rest"))
+    return _with_group(placed, groups.where("rest > 0"))
+
+
 def _components(links: DataFrame, same: DataFrame) -> DataFrame:
     """node and component of linked representatives and of all that share a set with one."""
     named = graph.components(links)

@@ -135,6 +135,20 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert sorted(map(tuple, nearjoin.jaccard_components(df).collect())) == brute_components(rows)
 
 
+@pytest.mark.parametrize("comparisons,block", [(1 << 60, 3), (0, 5)])
+def test_hot_keys_lose_no_link(spark, monkeypatch, comparisons, block):
+    """All keys count as hot, so all groups are dealt by salts; open groups go through blocks, or first through new centres."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(1000 - k, " ".join(base[k:] + [f"t{k}y{j}" for j in range(k)])) for k in range(0, 40, 2)]
+    rows += [(k, " ".join(edits(rng, base, rng.choice([0.01, 0.02, 0.04])))) for k in range(30)]
+    rows += [(2000 + k, " ".join(base)) for k in range(15)] + [(3000 + k, f"short text {k % 3}") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for name, value in (("HOT", -(10**9)), ("SALTED", 0.3), ("COMPARISONS", comparisons), ("BLOCK", block), ("PARTNERS", 6)):
+        monkeypatch.setattr(nearjoin, name, value)
+    assert sorted(map(tuple, nearjoin.jaccard_components(df).collect())) == brute_components(rows)
+
+
 def test_repeated_ids_are_one_node(spark):
     a, b = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, "x"), (None, a)], "doc_id long, text string")
