@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.llm import common
 
-#: Hex digits of the order's bucket: a leaf's prefix sums run over 256 buckets, then inside one.
-BUCKET = 2
+#: A leaf's prefix sums run over buckets of its order, by leading hex digits, then inside one: so many rows a bucket at most, by expectation.
+BUCKET_ROWS = 50_000
 #: Leaves whose cuts are broadcast at most.
 LEAVES = 100_000
 
@@ -74,36 +74,42 @@ def mix_sources(
     are the leaf `none`.  A leaf takes whole epochs while they fit, then the
     prefix of the next whose running tokens fit; rows equal in order and id are
     in or out together.  Rows without tokens come for free when their place in
-    the order is reached.  An empty table gives no rows.
+    the order is reached.  Null tokens count 0; very long texts are only
+    counted.  An empty table gives no rows.  Input columns that bear the names of
+    the result's own are an error; all others are carried on.
     """
     names = [f"mix_{n}" for n in levels]
+    if taken := {*names, "mix_tokens", "mix_copies"} & set(df.columns):
+        raise ValueError(f"mix_sources() makes columns of the names {sorted(taken)}")
     for name, column in levels.items():
         df = df.withColumn(f"mix_{name}", F.coalesce(column.cast("string"), F.lit("none")))
     df = df.withColumn("mix_tokens", F.coalesce(tokens, F.lit(0)).cast("long"))
-    narrow = common.written(df.select(id_col, *names, "mix_tokens"), "mixing")
-    leaves = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
+    narrow = common.written(df.select(F.col(id_col).alias("__id"), *names, "mix_tokens"), "mixing")
+    leaves = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
     if total is None:
         total = float((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     planned = budgets(leaves, names, {f"mix_{k}": v for k, v in weights.items()}, total, epochs)
     whole = F.when(F.col("tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))))).otherwise(F.lit(epochs)).cast("long")
     planned = planned.withColumn("whole", whole).withColumn("rest", F.when(F.col("whole") < epochs, F.col("budget") - F.col("whole") * F.col("tokens")))
-    planned = common.written(planned, "budgets")
+    digits = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(F.log(16.0, F.greatest(F.col("n_rows") / BUCKET_ROWS, F.lit(1.0)))))).cast("int")
+    planned = common.written(planned.withColumn("digits", digits), "budgets")
 
     few = planned.count() <= LEAVES
     small = lambda d: F.broadcast(d) if few else d
     # The epoch's order is by leaf: each one's partial epoch has a number of its own.
-    placed = narrow.join(small(planned.where("rest is not null").select(*names, "whole", "rest")), names).withColumn("key", order_key(id_col, seed, F.col("whole"))).withColumn("bucket", F.substring("key", 1, BUCKET))
+    placed = narrow.join(small(planned.where("rest is not null").select(*names, "whole", "rest", "digits")), names).withColumn("key", order_key("__id", seed, F.col("whole"))).withColumn("bucket", F.substr("key", F.lit(1), F.col("digits")))
     sums = placed.groupBy(*names, "rest", "bucket").agg(F.sum("mix_tokens").alias("t"))
-    run = Window.partitionBy(*names).orderBy("bucket")  # 256 rows a leaf at most
+    run = Window.partitionBy(*names).orderBy("bucket")  # a row a bucket: 16 for a leaf of up to 800,000 rows
     sums = sums.withColumn("upto", F.sum("t").over(run)).withColumn("left", F.col("rest") - F.col("upto") + F.col("t"))
     edge = sums.where("upto > rest").groupBy(*names).agg(F.min(F.struct("bucket", "left")).alias("e")).select(*names, "e.bucket", "e.left")
     inside = placed.join(small(edge), [*names, "bucket"])
-    within = Window.partitionBy(*names, "bucket").orderBy("key", F.col(id_col).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*names, "bucket").orderBy("key", F.col("__id").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.sum("mix_tokens").over(within)).where("upto > left")
     # The first place that does not fit ends the prefix.
-    first_out = inside.groupBy(*names).agg(F.min(F.struct("key", F.col(id_col).alias("at"))).alias("cut"))
-    cut = planned.join(first_out, names, "left").select(*names, "whole", F.col("rest").isNotNull().alias("partial"), F.col("cut.key").alias("cut_key"), F.col("cut.at").alias("cut_id"))
+    first_out = inside.groupBy(*names).agg(F.min(F.struct("key", F.col("__id").alias("at"))).alias("cut"))
+    cut = planned.join(first_out, names, "left").select(*names, F.col("whole").alias("__mix_whole"), F.col("rest").isNotNull().alias("__mix_partial"), F.col("cut.key").alias("__mix_key"), F.col("cut.at").alias("__mix_id"))
     cut = common.written(cut, "cuts")
-    key = order_key(id_col, seed, F.col("whole"))
-    taken = F.col("partial") & (F.col("cut_key").isNull() | (key < F.col("cut_key")) | ((key == F.col("cut_key")) & F.coalesce(F.col(id_col) < F.col("cut_id"), F.col(id_col).isNull() & F.col("cut_id").isNotNull())))
-    return df.join(small(cut), names).withColumn("mix_copies", F.col("whole") + taken.cast("long")).drop("whole", "partial", "cut_key", "cut_id")
+    key, cut_key, cut_id = order_key(id_col, seed, F.col("__mix_whole")), F.col("__mix_key"), F.col("__mix_id")
+    earlier = F.coalesce(F.col(id_col) < cut_id, F.col(id_col).isNull() & cut_id.isNotNull())
+    taken = F.col("__mix_partial") & (cut_key.isNull() | (key < cut_key) | ((key == cut_key) & earlier))
+    return df.join(small(cut), names).select(*df.columns, (F.col("__mix_whole") + taken.cast("long")).alias("mix_copies"))
