@@ -115,9 +115,11 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     # Equal rows stand together, so that one of them can stay.
     rows = rows.groupBy(id_col, "recipe", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
     floor = max(2, -(-_count(groups) // HEAVY))
-    heavy = groups.where(F.col("group_size") >= floor).select("recipe", F.col("keep_id").alias("heavy_id"), F.col("group_size").alias("heavy_size"))
+    # A thousand rows at most, of a digest, an id and a number each, however long the texts are.
+    digest = F.unhex(F.sha2("recipe", 256)).alias("digest")
+    heavy = groups.where(F.col("group_size") >= floor).select(digest, F.col("keep_id").alias("heavy_id"), F.col("group_size").alias("heavy_size"))
     light = groups.where(F.col("group_size") < floor)
-    marked = rows.join(F.broadcast(heavy), "recipe", "left")
+    marked = rows.withColumn("digest", digest).join(F.broadcast(heavy), "digest", "left")
     found = marked.where("heavy_size is not null").select(id_col, F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size"), "text_sha256", "times")
     other = marked.where("heavy_size is null").join(light, "recipe").select(id_col, "keep_id", "group_size", "text_sha256", "times")
     each = found.unionByName(other).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
