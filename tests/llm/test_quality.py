@@ -119,20 +119,36 @@ def test_language_id_learns_and_predicts(spark, sf_dir):
 def test_scores_are_multinomial_bayes(spark):
     import numpy as np
 
-    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("a cat is the", "en"), ("ein hund ist der", "de"), ("no language", None), (None, "en")])]
+    texts = [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("a cat is the", "en"), ("ein hund ist der", "de"), ("no language", None), (None, "en")]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(texts + [("the dog is a cat", "en")] * 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df)
     assert model.languages == ["de", "en"]
+    docs = {lang: sum(x == lang for _, _, x in rows) for lang in ("de", "en")}
     counts = {lang: np.bincount(np.concatenate([langid.grams(t) for _, t, x in rows if x == lang and t]), minlength=langid.BUCKETS) + 0.5 for lang in ("de", "en")}
     probs = {lang: c / c.sum() for lang, c in counts.items()}
     for text in ("the dog", "und der", "x", "thé 12 the", "the " * 5000):
-        want = brute_scores(probs, text)
+        want = {lang: s + np.log(docs[lang] / sum(docs.values())) for lang, s in brute_scores(probs, text).items()}
         (lang, score), = model.score([text])
         best = max(sorted(want), key=want.get)
         assert lang == best
         assert abs(score - 1 / sum(np.exp(v - want[best]) for v in want.values())) < 1e-3
 
 
+def test_every_language_is_learned_in_passes(spark):
+    """More languages than one matrix holds: the same predictions and scores as in one pass; a rare one too."""
+    words = {f"l{k:02}": f"{chr(97 + k)}{chr(98 + k)} {chr(99 + k)}{chr(97 + k)}{chr(97 + k)}" for k in range(9)}
+    rows = [(i, f"{w} {w}", lang) for i, (lang, w) in enumerate(list(words.items()) * 5)] + [(99, "zq zq zq", "rare"), (100, None, "l00"), (101, "12", "l00")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == [*words, "rare"] and abs(model.log_prior[0] - __import__("math").log(7 / len(rows))) < 1e-12
+    one, many = (sorted(map(tuple, langid.identify(df, model, languages=n).collect())) for n in (256, 3))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(one, many))
+    assert {r[0]: r[1] for r in many}[99] == "rare" and {r[0]: r[1] for r in many}[101] == "und"
+    with pytest.raises(ValueError):
+        langid.identify(df.withColumn("score", F.lit(1)), model, keep=["doc_id", "score"])
+
+
 def test_undetermined(spark):
     rows = [(1, None), (2, ""), (3, "123 !!"), (4, "ab"), (4, "ab"), (None, "der")]
     df = spark.createDataFrame([(i, t, "zz", 3) for i, t in rows], "doc_id long, text string, lang string, score int")
