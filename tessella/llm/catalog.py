@@ -44,7 +44,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
     made = chat.format_chats(rows.unionByName(extra), tokenizer_path(BYTES))
-    out = common.schema_of(common.field(rows, "conv_id"), ("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()), ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()), ("n_tokens", T.LongType()), ("n_loss_tokens", T.LongType()))
+    out = common.schema_of(common.field(rows, "conv_id"), ("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()), ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()))
 
     def read_back(batches):
         for batch in batches:
@@ -55,9 +55,9 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                 turns = chat.parse(formatted)
                 loss = "".join(chat.masked_texts(formatted, starts, ends, chosen))
                 digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                got.append((conv, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), len(starts), int(chosen.sum())))
-            kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got) if got else [[]] * 8, kinds)], names=out.names)
+                got.append((conv, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+            kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got) if got else [[]] * 6, kinds)], names=out.names)
 
     return made.select("conv_id", "formatted", "starts", "ends", "loss_mask").mapInArrow(read_back, out)
 
@@ -102,7 +102,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = bitplanes.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(WORDS))
-    back = bitplanes.read_token_files(spark, manifest, T.LongType())
+    back = bitplanes.read_token_files(spark, manifest)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

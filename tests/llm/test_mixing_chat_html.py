@@ -91,6 +91,18 @@ def test_mixing(spark, share, epochs, seed):
     assert sum(g[4] * g[5] for g in got) <= total + 1e-6
 
 
+def test_mixing_clashing_columns_and_narrow_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
+    names = ["whole", "partial", "rest", "key", "bucket", "cut", "tokens", "budget", "digits", "n_rows", "left", "at"]
+    df = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), *(F.lit(7).alias(n) for n in names))
+    out = mixing.mix_sources(df, {"source": F.col("source")}, {}, F.lit(3), share=0.5, seed=4)
+    assert out.columns == [*df.columns, "mix_source", "mix_tokens", "mix_copies"]
+    rows = [(i, (str(i % 3),), 3) for i in range(300)]
+    assert {r.doc_id: r.mix_copies for r in out.collect()} == dict(enumerate(brute_mix(rows, {"source": {}}, 450.0, 1, 4)))
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df.withColumn("mix_tokens", F.lit(1)), {"source": F.col("source")}, {}, F.lit(3))
+
+
 def test_mixing_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix_sources(df, {"source": F.col("source")}, {}, F.length("text")).collect() == []
@@ -154,8 +166,11 @@ def test_formatting(spark):
 
 
 def test_chat_query(spark, sf_dir, duck):
-    got = sorted(tuple(r)[:6] for r in catalog.op1_chat_formatting(spark, sf_dir).collect())
-    assert got == sorted(duck.execute(catalog.oracle_sql()["op1_chat_formatting"]).fetchall())
+    df = catalog.op1_chat_formatting(spark, sf_dir)
+    want = duck.execute(catalog.oracle_sql()["op1_chat_formatting"])
+    assert df.columns == [c[0] for c in want.description]
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(want.fetchall())
     assert got[0][0] == -1
 
 
