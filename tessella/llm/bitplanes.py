@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import posixpath
-import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -135,8 +134,12 @@ def write_token_files(
     spot; each range is one file, whose name sorts as its ids do.  Null ids come
     first, then ties by text; null text counts as empty, which leaves end_id;
     an empty table gives no files.  A file appears under its name only when
-    complete, and a task that runs again writes the same bytes.
+    complete; a task that runs again, or twice at once, writes the same bytes, and
+    the first file stays.  Ids stand in the index as texts, so they can be of any
+    type that Spark casts to a string and back; binary ones are an error.
     """
+    if isinstance(df.schema[id_col].dataType, T.BinaryType):
+        raise ValueError("ids of token files cannot be binary")
     spark = df.sparkSession
     common.small_batches(spark)
     path = path or common.shared_path(spark, "token-files")
@@ -158,25 +161,43 @@ def write_token_files(
         if writer is not None:
             writer.close()
             stream.close()
-            store.move(draft, posixpath.join(base, name))
+            publish(store, draft, posixpath.join(base, name))
             yield pa.RecordBatch.from_pydict({"file": [name], "part": [context.partitionId()], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.counts)]})
 
     ranged = df.select(id_col, text_col).repartitionByRange(F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(id_col, F.xxhash64(text_col), text_col)
+    ranged = ranged.select(F.col(id_col).cast("string"), text_col)
     manifest = common.written(ranged.mapInArrow(common.releasing(write, tokenizing.forget), "file string, part long, n_docs long, n_ids long"), "token-manifest")
-    return manifest.select(F.lit(path).alias("path"), "*")
+    return manifest.select(F.lit(path).alias("path"), "*", F.lit(df.schema[id_col].dataType.simpleString()).alias("id_type"))
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: T.DataType) -> DataFrame:
-    """Per document, read back from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
+def publish(store: fs.FileSystem, draft: str, name: str) -> None:
+    """Gives a complete file its name, unless another attempt of the task has."""
+    if store.get_file_info(name).type == fs.FileType.File:
+        store.delete_file(draft)
+    else:
+        store.move(draft, name)
+
+
+#: Tasks that read files back at most; each takes whole files.
+READERS = 20_000
+
+
+def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
+    """Per document, read back from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit).
+
+    One task reads one file, up to READERS tasks.  id_type is the manifest's
+    unless given; an empty manifest has none, and its ids are longs.
+    """
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     common.small_batches(spark)
     files = manifest.select("path", "file", before.alias("before"))  # a row a file, so the window is small
-    out = common.schema_of(("doc_id", id_type), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()))
+    total = manifest.agg(F.count(F.lit(1)), F.first("id_type")).first()
+    kind = id_type.simpleString() if id_type else total[1] or "bigint"
+    out = common.schema_of(("doc_id", T.StringType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.array([], pa.int64()).type if isinstance(id_type, T.LongType) else pa.int32() if isinstance(id_type, T.IntegerType) else pa.string()
         for batch in batches:
             for row in batch.to_pylist():
                 store, base = fs.FileSystem.from_uri(row["path"])
@@ -189,12 +210,10 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: T.DataTy
                         spans = list(zip(r.starts[at:end].tolist(), r.starts[at + 1 : end + 1].tolist()))
                         ids = [r.ids(a, b).tobytes() for a, b in spans]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(r.docs[at:end], kind), pa.array([row["before"] + a for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array(ids, pa.binary())], names=out.names
+                            [pa.array(r.docs[at:end], pa.string()), pa.array([row["before"] + a for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array(ids, pa.binary())], names=out.names
                         )
                         at = end
 
-    return files.repartition(F.col("file")).mapInArrow(common.releasing(read), out)
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
+    # A number of partitions of its own is not coalesced by the manifest's few bytes.
+    dealt = files.repartition(max(1, min(READERS, total[0])))
+    return dealt.mapInArrow(common.releasing(read), out).withColumn("doc_id", F.col("doc_id").cast(kind))
