@@ -10,6 +10,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessella.session import reachable, shared_dir, spread
@@ -22,8 +23,29 @@ BROADCAST_KEYS = 1_000_000
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
 
+#: Folders made in the shared one by this process and not yet removed.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean() -> int:
+    """Removes the tables and files that this process's operators left in the shared folder; their results can no longer be read.
+
+    Results read those tables when they are used, so only the caller knows when
+    to do this: after the last one is written or collected.
+    """
+    removed = 0
+    while _made:
+        store, path = fs.FileSystem.from_uri(_made.pop())
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+            removed += 1
+    return removed
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ For vocabularies that pre-tokenise lower-cased words, digits and marks apart, a
 text's ids are its pre-tokens' ids in order.  The library encodes each distinct
 pre-token once; texts with characters for which Python and the library could
 differ (outside ASCII print, Latin letters and common quotes) or with special
-strings go to the library whole.  Other files always do.
+strings go to the library whole.  Other files always do, to be encoded; to be
+counted, their texts are cut by the file's own normaliser and pre-tokeniser.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Encoder:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.library, self.by_piece = model.encode, False
+            self.library, self.by_piece, self.own_pieces = model.encode, False, False
         else:
             from tokenizers import Tokenizer
 
@@ -53,6 +54,8 @@ class Encoder:
             pre = form["pre_tokenizer"] or {}
             first = (pre.get("pretokenizers") or [{}])[0]
             self.by_piece = form["normalizer"] == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") is True and not form["model"].get("dropout")
+            plain = all(not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] and form["normalizer"]) for x in form["added_tokens"])
+            self.own_pieces = bool(pre) and plain and not form["model"].get("dropout")
             self.specials = re.compile("|".join(re.escape(x["content"]) for x in form["added_tokens"]) or r"(?!)")
             #: The only checks that cost something run after this one.
             self.hint = "<|" if all("<|" in x["content"] for x in form["added_tokens"]) else ""
@@ -68,10 +71,13 @@ class Encoder:
         return np.asarray(self.library(text), "<u4").tobytes()
 
     def pieces(self, text: str) -> tuple[Iterable[str], int]:
-        """(pre-tokens in order, number of tokens that belong to none): special strings, or all ids of files without pre-tokens."""
+        """(pre-tokens in order, number of tokens that belong to none): special strings, or all ids of files without pre-tokens.
+
+        A pre-token is what the model takes: of most files a text in stand-ins for bytes.
+        """
         if self.plain(text):
             return PIECES.findall(text.lower()), 0
-        if not self.by_piece:
+        if not (self.by_piece or self.own_pieces):
             return [], len(self.library(text))
         found, specials, at = [], 0, 0
         for m in self.specials.finditer(text):
@@ -81,8 +87,10 @@ class Encoder:
         return found + self._split(text[at:]), specials
 
     def _split(self, text: str) -> list[str]:
-        text = self.tok.normalizer.normalize_str(text)
-        return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        if self.tok.normalizer is not None:
+            text = self.tok.normalizer.normalize_str(text)
+        found = self.tok.pre_tokenizer.pre_tokenize_str(text)
+        return [text[a:b] for _, (a, b) in found] if self.by_piece else [piece for piece, _ in found]
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one pre-token, from the library's model itself."""
@@ -90,7 +98,7 @@ class Encoder:
         return [t.id for t in self.model.tokenize(stood)]
 
     def count(self, piece: str) -> int:
-        return len(self._piece(piece) if self.by_piece else self.library(piece))
+        return len(self._piece(piece) if self.by_piece else self.model.tokenize(piece))
 
 
 class _Memo(dict):

@@ -40,11 +40,23 @@ def test_encoder_is_the_library(library, spark, sf_dir):
         assert other + sum(map(enc.count, pieces)) == len(ids)
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
-def test_other_files_are_encoded_whole(name):
+@pytest.mark.parametrize("name,cut", [("byte_bpe_50k.json", True), ("piece_bpe_32k.model", False)])
+def test_other_files(name, cut):
     enc = tokenizing.Encoder(catalog.tokenizer_path(name))
-    text = "Hello there, it's 12 o'clock"
-    assert len(enc.encode(text)) == 4 * enc.pieces(text)[1] > 0
+    for text in [t for t in TRICKY if t] + ["Hello there, it's 12 o'clock  x\n\n y"]:
+        pieces, other = enc.pieces(text)
+        assert bool(pieces) == cut and other + sum(map(enc.count, pieces)) == len(enc.library(text)) == len(enc.encode(text)) // 4
+
+
+def test_counts_of_another_file(spark, rows):
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_path(catalog.BYTES)
+    tok = Tokenizer.from_file(path)
+    got = counting.count_tokens(rows.drop("n"), path, frequent=3).collect()
+    want = [(r.doc_id, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in rows.collect()]
+    assert sorted(map(tuple, got)) == sorted((*w, w[2] > 2048) for w in want)
+    assert counting.piece_table(rows, path).where("octet_length(piece) > 64").count() > 0
 
 
 def expected(library, rows):
@@ -86,6 +98,27 @@ def test_packing_round_trip(spark, sf_dir, library):
     assert 1 - total / (2048 * len(by_seq)) < 0.03
 
 
+def test_packing_query(spark, library):
+    """op4's columns against the library's ids, and its padding over the documents of sf0.01."""
+    base = "/root/testdata/sf0.01"
+    docs = {r.doc_id: [*library(r.text), 1] for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    spans, fill = defaultdict(list), defaultdict(list)
+    for r in catalog.op4_packing(spark, base).collect():
+        spans[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        fill[r.sequence_id].append((r.offset, r.length))
+    assert sorted(spans) == sorted(docs)
+    for doc_id, parts in spans.items():
+        at, ids = 0, docs[doc_id]
+        for start, length, check, n in sorted(parts):
+            assert (start, n) == (at, len(ids)) and check == crc(ids[at : at + length])
+            at += length
+        assert at == len(ids)
+    for parts in fill.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+    assert 1 - sum(map(len, docs.values())) / (2048 * len(fill)) < 0.02
+
+
 def test_packing_odd_rows(spark, rows, library):
     odd = rows.where("doc_id <> 2")
     docs = {r.doc_id: [*library(r.text), 1] for r in odd.collect()}
@@ -121,7 +154,51 @@ def test_token_files_round_trip(spark, rows, library, mode):
         assert r.start == at
         at += r.n_tokens
     assert [r.doc_id for r in sorted(back, key=lambda r: r.start)] == sorted(r.doc_id for r in back)
-    assert bitplanes.read_token_files(spark, bitplanes.write_token_files(rows.limit(0), catalog.tokenizer_path(catalog.WORDS)), T.LongType()).collect() == []
+    assert bitplanes.read_token_files(spark, bitplanes.write_token_files(rows.limit(0), catalog.tokenizer_path(catalog.WORDS))).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,2)", "date"])
+def test_ids_of_other_types(spark, kind):
+    from pyspark.sql import functions as F
+
+    day = F.col("id") if kind != "date" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))
+    df = spark.range(12).select(day.cast(kind).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    back = bitplanes.read_token_files(spark, bitplanes.write_token_files(df, catalog.tokenizer_path(catalog.WORDS)))
+    assert dict(back.dtypes)["doc_id"] == kind
+    assert [r.doc_id for r in back.orderBy("start").collect()] == [r.doc_id for r in df.orderBy("doc_id").collect()]
+    with pytest.raises(ValueError):
+        bitplanes.write_token_files(df.withColumn("doc_id", F.lit(b"x")), catalog.tokenizer_path(catalog.WORDS))
+
+
+def test_a_task_that_runs_again_publishes_once(tmp_path):
+    """A lost executor's task leaves a draft or a complete file; the next attempt's file has the same bytes."""
+    from pyarrow import fs
+
+    store = fs.LocalFileSystem()
+    for attempt in (0, 1):
+        (tmp_path / f".part.{attempt}").write_bytes(b"same")
+        bitplanes.publish(store, str(tmp_path / f".part.{attempt}"), str(tmp_path / "part"))
+    (tmp_path / ".part.2").write_bytes(b"half")
+    assert (tmp_path / "part").read_bytes() == b"same" and sorted(p.name for p in tmp_path.iterdir()) == [".part.2", "part"]
+
+
+def test_lost_tasks_write_the_same_files(spark, rows, tmp_path, monkeypatch):
+    """Writing again to a folder that has the files already, as after a lost stage, changes nothing and reads back the same."""
+    first = bitplanes.write_token_files(rows, catalog.tokenizer_path(catalog.WORDS), str(tmp_path))
+    files = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    second = bitplanes.write_token_files(rows, catalog.tokenizer_path(catalog.WORDS), str(tmp_path))
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == files
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+
+
+def test_read_back_takes_a_task_a_file(spark, rows):
+    from pyspark.sql import functions as F
+
+    manifest = bitplanes.write_token_files(rows, catalog.tokenizer_path(catalog.WORDS))
+    twice = manifest.unionByName(manifest.withColumn("part", F.col("part") + 1000))
+    back = bitplanes.read_token_files(spark, twice)
+    assert back.rdd.getNumPartitions() == twice.count() > 1 and back.count() == 2 * rows.count()
+    assert back.agg(F.max("start") + F.max_by("n_tokens", "start")).first()[0] == twice.agg(F.sum("n_ids")).first()[0]
 
 
 def test_token_file_query(spark, sf_dir, library):
