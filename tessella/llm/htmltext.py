@@ -1,13 +1,14 @@
 """Layout-aware text of HTML pages.
 
-A tree builder with implied end tags and void and raw-text elements, and a
-renderer that drops what a browser would not show and lays out blocks, lists
-and tables.
+A tree builder with implied end tags and void and raw-text elements, a pass that
+takes out what a browser would not show, and a renderer that lays out blocks,
+lists and tables.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,7 +20,7 @@ from tessella.llm import common
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style title template noscript iframe object embed audio video canvas datalist area base link meta param source track noembed noframes select input textarea".split())
+HIDDEN = frozenset("head script style title template noscript iframe object embed audio video canvas datalist area base link meta param source track noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary ul table caption thead tbody tfoot tr".split())
 #: Hidden inside these only: what a drawing refers to or says about itself, and a formula's other notations.
 FOREIGN = {
@@ -51,11 +52,17 @@ SCOPE = frozenset("table td th caption html template".split())
 
 #: Elements deeper than this are siblings of those above, as in browsers.
 DEEPEST = 512
+# The most columns and rows that a cell spans, by the HTML standard, and the types of input fields that show no text.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+SILENT_INPUTS = frozenset("hidden password checkbox radio file image color range".split())
+#: Blanks that alignment and indentation may add: so many a character of the page, and some for small pages.  A table or list beyond that is not aligned.
+PADDING, LEAST_PADDING = 8, 4096
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>?", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+GONE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -73,6 +80,7 @@ class Node:
 
 def build(html: str) -> Node:
     """The page's tree.  Unknown end tags are left out; open elements end with their parents."""
+    html = html.replace("\r\n", "\n").replace("\r", "\n")
     root = node = Node("#root")
     at, end = 0, len(html)
     find = TOKEN.search
@@ -115,6 +123,8 @@ def build(html: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
+        if node.depth >= DEEPEST:
+            node = node.parent
         new = Node(tag, token[len(tag) + 1 :].rstrip(">"), node)
         node.children.append(new)
         if tag in VOID or token.endswith("/>") and (tag in ("svg", "math", "path", "use", "circle", "rect") or foreign(node)):
@@ -122,11 +132,13 @@ def build(html: str) -> Node:
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             stop = close.start() if close else end
-            new.children.append(html[at:stop])
+            body = html[at:stop]
+            new.children.append(unescape(body.removeprefix("\n")) if tag == "textarea" else body)
             at = close.end() if close else end
             continue
-        if new.depth < DEEPEST:
-            node = new
+        if tag == "pre" and html.startswith("\n", at):
+            at += 1  # the line that the start tag is on
+        node = new
     return root
 
 
@@ -139,21 +151,84 @@ def foreign(node: Node | None) -> str | None:
     return None
 
 
-def visible(node: Node) -> bool:
+def gone(node: Node, a: dict[str, str]) -> bool:
+    """Whether an element takes no place at all, with what it holds."""
     if node.tag in HIDDEN:
-        return False
+        return True
     if node.tag in FOREIGN_HIDDEN and (kind := foreign(node.parent)) and node.tag in FOREIGN[kind]:
-        return False
-    if not node.attrs or node.attrs.isspace():
         return True
-    a = node.attributes()
-    return not ("hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or INVISIBLE.search(a.get("style", "")) or node.tag == "dialog" and "open" not in a)
+    return "hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or bool(GONE.search(a.get("style", ""))) or node.tag == "dialog" and "open" not in a
+
+
+def _field(node: Node, a: dict[str, str]) -> str:
+    """What an input field shows: its value, or else its placeholder."""
+    kind = a.get("type", "text").strip().lower()
+    if kind in SILENT_INPUTS:
+        return ""
+    return a.get("value", "") or ("" if kind in ("submit", "button", "reset") else a.get("placeholder", ""))
+
+
+def _chosen(node: Node, a: dict[str, str]) -> list[Node | str]:
+    """The options that a list shows: all of an open one, else the selected or first one."""
+    if "multiple" in a or a.get("size", "1").strip() not in ("", "0", "1"):
+        return node.children
+    options, stack = [], list(reversed(node.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node):
+            if x.tag == "option":
+                options.append(x)
+            elif x.tag == "optgroup":
+                stack += reversed(x.children)
+    marked = [x for x in options if "selected" in x.attributes()]
+    return marked[-1:] or options[:1]
+
+
+def prune(root: Node) -> None:
+    """Takes out of the tree what is not shown; visibility is inherited until an element sets it anew."""
+    stack = [(root, True)]
+    while stack:
+        node, shown = stack.pop()
+        left: list[Node | str] = []
+        for x in node.children:
+            if isinstance(x, str):
+                if shown:
+                    left.append(x)
+                continue
+            a = x.attributes() if x.attrs and not x.attrs.isspace() else {}
+            if gone(x, a):
+                continue
+            said = VISIBILITY.findall(a.get("style", ""))
+            seen = said[-1].lower() == "visible" if said else shown
+            if x.tag == "details" and "open" not in a:
+                x.children = [c for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1]
+            elif x.tag == "select":
+                x.children = _chosen(x, a)
+            elif x.tag == "input":
+                x.children = [_field(x, a)]
+            left.append(x)
+            stack.append((x, seen))
+        node.children = left
+
+
+class _Blanks:
+    """What is left of a page's padding."""
+
+    def __init__(self, n: int):
+        self.left = n
+
+    def take(self, n: int) -> bool:
+        if n > self.left:
+            return False
+        self.left -= n
+        return True
 
 
 class _Layout:
     """Lines of one block context; a line is broken once however many blocks end there."""
 
-    def __init__(self):
+    def __init__(self, blanks: _Blanks):
+        self.blanks = blanks
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False
@@ -173,6 +248,9 @@ class _Layout:
         self.now.append(s.strip(" "))
 
     def raw(self, s: str) -> None:
+        if self.now and self.space:
+            self.now.append(" ")
+        self.space = False
         for i, line in enumerate(s.split("\n")):
             if i:
                 self.line(True)
@@ -199,6 +277,8 @@ class _Layout:
 
     def lay(self, lines: list[str], first: str = "", rest: str = "") -> None:
         self.line()
+        if not self.blanks.take(len(rest) * len(lines)):
+            rest = ""
         for i, line in enumerate(lines):
             self.now = [(first if i == 0 else rest) + line]
             line_ = self.now
@@ -215,23 +295,19 @@ class _Layout:
 
 
 def _flow(root: Node, out: _Layout, pre: bool = False) -> None:
-    """Lays out a node's visible content; a stack stands for recursion, so deep trees are no limit."""
+    """Lays out a node's content; a stack stands for recursion but for lists, tables and their parts."""
     stack: list[tuple] = [("in", c, pre) for c in reversed(root.children)]
     while stack:
         act, x, pre = stack.pop()
         if act == "out":
             out.block(x)
-        elif act == "space":
-            out.space = True
         elif isinstance(x, str):
-            out.raw(x.lstrip("\n") if pre == "first" else x) if pre else out.text(x)
-        elif not visible(x):
-            continue
+            out.raw(x) if pre else out.text(x)
         elif x.tag == "br":
             out.line(True)
         elif x.tag == "table":
             out.block(True)
-            out.lay(_table(x))
+            out.lay(_table(x, out.blanks))
             out.block(True)
         elif x.tag in ("ul", "ol", "menu"):
             spaced = x.parent is None or x.parent.tag != "li"
@@ -244,32 +320,22 @@ def _flow(root: Node, out: _Layout, pre: bool = False) -> None:
             stack.append(("out", spaced, pre))
             inner = pre or x.tag == "pre"
             stack += [("in", c, inner) for c in reversed(x.children)]
+        elif x.tag in FIELDS:
+            # Fields, buttons and options stand apart from the words around them.
+            out.text(" ")
+            stack.append(("in", " ", False))
+            stack += [("in", c, x.tag == "textarea") for c in reversed(x.children)]
         else:
             stack += [("in", c, pre) for c in reversed(x.children)]
 
 
-#: Lists and tables inside one another are laid out to this depth; deeper ones flow as plain blocks.
-DEPTH = 40
+#: Elements of forms whose text stands apart.
+FIELDS = frozenset("input textarea select option optgroup button".split())
 
 
-def _inner(node: Node) -> list[str]:
-    depth, up = 0, node.parent
-    while up is not None:
-        depth += up.tag in ("ul", "ol", "menu", "table")
-        up = up.parent
-    out = _Layout()
-    if depth > DEPTH:
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.text(x)
-            elif visible(x):
-                if x.tag in BLOCK or x.tag == "br":
-                    out.line()
-                stack += reversed(x.children)
-    else:
-        _flow(node, out)
+def _inner(node: Node, blanks: _Blanks) -> list[str]:
+    out = _Layout(blanks)
+    _flow(node, out)
     return out.end()
 
 
@@ -280,15 +346,14 @@ def _list(node: Node, out: _Layout) -> None:
     for child in node.children:
         if isinstance(child, str):
             out.text(child)
-        elif visible(child):
-            if child.tag != "li":
-                holder = Node("div", "", node)
-                holder.children = [child]
-                out.lay(_inner(holder), "  ", "  ")
-                continue
+        elif child.tag != "li":
+            holder = Node("div", "", node)
+            holder.children = [child]
+            out.lay(_inner(holder, out.blanks), "  ", "  ")
+        else:
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = _inner(child)
+            lines = _inner(child, out.blanks)
             if lines:
                 out.lay(lines, mark, " " * len(mark))
 
@@ -298,46 +363,94 @@ def _rows(table: Node) -> Iterator[tuple[str, Node | str]]:
         if isinstance(child, str):
             if child.strip():
                 yield "text", " ".join(child.split())
-        elif visible(child):
-            if child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
-            else:
-                yield ("row" if child.tag == "tr" else "other"), child
+        elif child.tag in ("thead", "tbody", "tfoot"):
+            yield from _rows(child)
+        else:
+            yield ("row" if child.tag == "tr" else "other"), child
+
 
+def _span(a: dict[str, str], name: str, most: int) -> int:
+    value = a.get(name, "1").strip()
+    return min(max(1, int(value)), most) if value.isascii() and value.isdigit() and len(value) < 10 else 1
 
-def _table(table: Node) -> list[str]:
-    """Caption and stray content as lines, rows with their cells in columns of equal width."""
+
+def _grid(rows: list[Node], blanks: _Blanks) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns spanned, lines) of every row's cells; a cell that reaches down keeps the later rows' cells out of its columns."""
+    grid, down = [], {}  # down: column -> rows that a cell above still takes
+    for row in rows:
+        cells, column = [], 0
+        taken = {c for c, n in down.items() if n > 0}
+        for cell in row.children:
+            if isinstance(cell, str) and not cell.strip():
+                continue
+            a = cell.attributes() if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.attrs.strip() else {}
+            wide, high = _span(a, "colspan", MOST_COLUMNS), _span(a, "rowspan", MOST_ROWS)
+            while column in taken:
+                column += 1
+            cells.append((column, wide, [" ".join(cell.split())] if isinstance(cell, str) else _inner(cell, blanks)))
+            if high > 1:
+                down.update((c, high) for c in range(column, column + wide))
+            column += wide
+        down = {c: n - 1 for c, n in down.items() if n > 1}
+        grid.append(cells)
+    return grid
+
+
+def _table(table: Node, blanks: _Blanks) -> list[str]:
+    """Caption and stray content as lines, rows with their cells in columns of equal width.
+
+    Columns in which no cell begins have no width.  Where alignment would take
+    more blanks than the page has left, cells stand side by side unaligned.
+    """
     stray, before, rows = [], [], []
     for kind, node in _rows(table):
         if kind == "text":
             stray.append(node)
         elif kind == "row":
-            cells, span = [], 1
-            for cell in node.children:
-                if isinstance(cell, str):
-                    if cell.strip():
-                        cells.append([" ".join(cell.split())])
-                elif visible(cell):
-                    cells.append(_inner(cell))
-                    if cell.tag in ("td", "th") and cell.attrs.strip():
-                        span = cell.attributes().get("colspan", "1")
-                        cells += [[]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
-            if any(cells):
-                rows.append(cells)
+            rows.append(node)
         else:
-            before += _inner(node)
+            before += _inner(node, blanks)
     before = stray + before
-    if not rows:
+    grid = [cells for cells in _grid(rows, blanks) if any(lines for _, _, lines in cells)]
+    if not grid:
         return before
-    if max(len(r) for r in rows) == 1:
-        return before + [line for r in rows for line in r[0]]
-    width = [max((max(map(len, r[i]), default=0) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows)))]
-    lines = []
-    for r in rows:
-        for k in range(max(map(len, r))):
-            cells = [(c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, width)]
-            lines.append(" | ".join(cells).rstrip(" "))
-    return before + lines
+    if max(len(cells) for cells in grid) == 1:
+        return before + [line for cells in grid for line in cells[0][2]]
+    # Only columns in which a cell begins count.
+    place = {c: i for i, c in enumerate(sorted({c for cells in grid for c, _, _ in cells}))}
+    starts = sorted(place)
+    width = [0] * len(starts)
+    for cells in grid:
+        for c, wide, lines in cells:
+            if place[c] + 1 == len(starts) or starts[place[c] + 1] >= c + wide:
+                width[place[c]] = max(width[place[c]], max(map(len, lines), default=0))
+    reach = [0]  # the places at which columns begin
+    for w in width:
+        reach.append(reach[-1] + w + 3)
+    high = [max(len(lines) for _, _, lines in cells) for cells in grid]
+    added = sum(h * max(reach[place[c]] for c, _, lines in cells if lines) for h, cells in zip(high, grid))
+    if not blanks.take(added):
+        return before + [" | ".join(line for line in (lines[k] if k < len(lines) else "" for _, _, lines in cells) if line) for h, cells in zip(high, grid) for k in range(h)]
+    out = []
+    for h, cells in zip(high, grid):
+        begins = {place[c]: lines for c, _, lines in cells}
+        last = max(begins)
+        covered = {i for c, wide, _ in cells for i in range(place[c] + 1, len(starts)) if starts[i] < c + wide}
+        for k in range(h):
+            line = ""
+            for i in range(last + 1):
+                if i in covered:
+                    continue
+                lines = begins.get(i, [])
+                if i:
+                    line = line.ljust(reach[i] - 3) + " | "
+                line += lines[k] if k < len(lines) else ""
+            out.append(line.rstrip(" |") if not line.replace("|", "").strip() else line.rstrip(" "))
+    return before + out
+
+
+#: Python frames a level of nested lists or tables takes, with room to spare.
+FRAMES = 8
 
 
 def render(html: str) -> str:
@@ -346,13 +459,24 @@ def render(html: str) -> str:
     >>> render("<p>a<p>b<ul><li>c<li>d</ul>")
     'a\\n\\nb\\n\\n- c\\n- d'
     """
-    out = _Layout()
-    _flow(build(html), out)
+    root = build(html)
+    prune(root)
+    out = _Layout(_Blanks(PADDING * len(html) + LEAST_PADDING))
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, FRAMES * DEEPEST + 1000))
+    try:
+        _flow(root, out)
+    finally:
+        sys.setrecursionlimit(limit)
     return "\n".join(out.end()).strip("\n").replace("\xa0", " ")
 
 
 def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id and text of every page: null or empty html gives an empty text; repeated rows are rows; an empty table gives none; other columns are ignored."""
+    """id and text of every page: null or empty html gives an empty text; repeated rows are rows; an empty table gives none; other columns are ignored.
+
+    A page of any length is rendered whole; its text is at most some ten times as
+    long, as padding is bounded by the page's length.
+    """
     common.small_batches(df.sparkSession)
     out = common.schema_of(common.field(df, id_col), ("text", T.StringType()))
 

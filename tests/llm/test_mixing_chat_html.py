@@ -186,7 +186,7 @@ PAGES = [
     ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n  - c\n- d"),
     ("<ol start=3><li>a</li><li>b</li></ol>", "3. a\n4. b"),
     ("<table><tr><th>name<th>n<tr><td>apple<td>10<tr><td>fig</td><td>7</td></table>", "name  | n\napple | 10\nfig   | 7"),
-    ("<table><tr><td colspan=2>wide<td>c</tr><tr><td>a<td>b<td>d</table>", "wide |   | c\na    | b | d"),
+    ("<table><tr><td colspan=2>wide<td>c</tr><tr><td>a<td>b<td>d</table>", "wide  | c\na | b | d"),
     ("<table><tr><td>layout only</td></tr></table>", "layout only"),
     ("<script>var x = '<p>no</p>';</script>yes<style>p{}</style><noscript>n</noscript>", "yes"),
     ("<p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><p style=\"visibility:hidden\">no</p>yes", "yes"),
@@ -195,7 +195,17 @@ PAGES = [
     ("<pre>  x\n    y\n</pre>z", "  x\n    y\n\nz"),
     ("<a href='a>b'>link</a> &lt;tag&gt; &#x41;&nbsp;B", "link <tag> A B"),
     ("<h1>T</h1>text<h2>U</h2>more", "T\n\ntext\n\nU\n\nmore"),
-    ("<select><option>no</select><input value=no><textarea>no</textarea>ok", "ok"),
+    ("<select><option>a<option selected>b<option>c</select><select multiple><option>d<option>e</select><select><option>first<option>no</select>", "b d e first"),
+    ("x<input type=submit value=Send><input value=typed><input type=hidden value=no><input type=password value=no><input placeholder=hint><textarea>\n&lt;a&gt;\n b</textarea>y", "x Send typed hint <a>\n b y"),
+    ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no<ul style='visibility:hidden'><li>no<li style='visibility:visible'>item</ul>", "yes\n\n- item"),
+    ("<div style='display:none'><b style='visibility:visible;display:block'>no</b></div>ok", "ok"),
+    ("<details><summary>more</summary>no</details><details open><summary>s</summary>body</details>", "more\ns\nbody"),
+    ("<details>no</details>ok", "ok"),
+    ("a<pre>\nb\n\nc</pre>d", "a\n\nb\n\nc\n\nd"),
+    ("a<pre>\r\n\r\nb</pre>", "a\n\n\nb"),
+    ("<table><tr><td rowspan=2>r<td>a<td>b<tr><td>c<td>d<tr><td>e<td>f<td>g</table>", "r | a | b\n  | c | d\ne | f | g"),
+    ("<table><tr><td>a<td rowspan=3 colspan=2>big<td>z<tr><td>b<td>y<tr><td>c</table>", "a | big | z\nb |     | y\nc"),
+    ("<table><tr><td colspan=99999999>w<td>x<tr><td>a<td>b</table>", "w     | x\na | b"),
     ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\nd\nu\ne"),
     ("<p>unclosed <i>it<p>next</i> x", "unclosed it\n\nnext x"),
     ("</p></div>stray", "stray"),
@@ -216,6 +226,25 @@ def test_render_survives_odd_pages():
     assert htmltext.render("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert "x" in htmltext.render("<ul><li>" * 300 + "x")
     assert "x" in htmltext.render("<table><tr><td>" * 200 + "x")
+    assert htmltext.render("<ul><li>" * 60 + "x") == "- " * 60 + "x"
+    nested = htmltext.render("<table><tr><td>" * 50 + "in" + "<td>side</table>" * 50)
+    assert nested.startswith("in | side") and nested.count("side") == 50
+
+
+def test_text_stays_in_proportion_to_the_page():
+    """Alignment and indentation never take more than the page's padding; beyond it all text is still there."""
+    pages = [
+        "<table><tr>" + f"<td>{'w' * 300}" * 40 + "<tr><td>a<td>b" * 500 + "</table>",
+        "<table><tr>" + "<td rowspan=65534>c" * 900 + "<tr><td>x" * 900 + "</table>",
+        "<table><tr>" + "<td colspan=1000>c" * 900 + "</table>",
+        "<ul><li>" * 500 + "<li>y" * 3000,
+        "<table><tr><td>k<td>" * 400 + "<br>z" * 2000,
+    ]
+    for page in pages:
+        text = htmltext.render(page)
+        assert len(text) <= (htmltext.PADDING + 4) * len(page) + htmltext.LEAST_PADDING
+        words = re.sub(r"<[^>]*>", " ", page).split()
+        assert sorted(re.sub(r"(?m)^[ -]+| \| |\|", " ", text).split()) == sorted(words)
     rng = random.Random(2)
     bits = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<ul>", "<li>", "</ul>", "<b", ">", "\"", "'", "<!--", "-->", "&amp", "&#0;", "w", " ", "<pre>", "\n", "<br/>", "</", "<script>", "</script>"]
     for _ in range(500):
