@@ -115,82 +115,87 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(0)) if rules else F.lit(0)
 
 
+def grids(labelled: DataFrame, bad: str = "bad") -> dict[str, list[float]]:
+    """Thresholds by statistic: 0, and quantiles of what is above it, as most statistics are 0 for most texts.  None without rows of both kinds."""
+    above = lambda n: F.when(F.expr(FEATURES[n]) > 0, F.expr(FEATURES[n]))
+    quantiles = (F.percentile_approx(above(n), [i / BINS for i in range(1, BINS)], 2000).alias(n) for n in FEATURES)
+    values = labelled.agg(F.count_if(F.col(bad) == 1).alias("n_bad"), F.count_if(F.col(bad) == 0).alias("n_good"), *quantiles).first()
+    if not values.n_bad or not values.n_good:
+        return {}
+    return {n: sorted({0.0, *(values[n] or [])}) for n in FEATURES}
+
+
+def gain(tally: dict[str, list[list[int]]], grid: dict[str, list[float]]) -> Condition | None:
+    """The condition of the largest information gain for bad rows; of equals the first by statistic, threshold and side."""
+    best, found = 0.0, None
+    for n, bins in tally.items():
+        g, b = sum(x[0] for x in bins), sum(x[1] for x in bins)
+        if not b or not g:
+            return None
+        g_low = b_low = 0
+        for i, t in enumerate(grid[n]):
+            g_low, b_low = g_low + bins[i][0], b_low + bins[i][1]
+            for above, (x, y) in ((False, (g_low, b_low)), (True, (g - g_low, b - b_low))):
+                if y:
+                    worth = y * (math.log2(y / (x + y)) - math.log2(b / (g + b)))
+                    if worth > best + 1e-9:
+                        best, found = worth, Condition(n, above, float(t))
+    return found
+
+
 def learn(labelled: DataFrame, *, bad: str = "bad", fold: str = "fold") -> list[Rule]:
     """An ordered decision list for rows with bad = 1, from columns of statistics().
 
     fold = 0 rows prune and test, the others grow.  No rows, or none of either
-    kind, give an empty list.
+    kind, give an empty list.  Rows are binned once, into a table of their bins;
+    then a condition takes one grouped count, and pruning a rule one aggregate
+    over all its prefixes.
     """
-    total = labelled.agg(F.count_if(F.col(bad) == 1), F.count_if(F.col(bad) == 0)).first()
-    if not total[0] or not total[1]:
+    grid = grids(labelled, bad)
+    if not grid:
         return []
     names = list(FEATURES)
-    # Thresholds: 0, and quantiles of what is above it, as most statistics are 0 for most texts.
-    above = lambda n: F.when(F.expr(FEATURES[n]) > 0, F.expr(FEATURES[n]))
-    values = labelled.agg(*(F.percentile_approx(above(n), [i / BINS for i in range(1, BINS)], 2000).alias(n) for n in names)).first()
-    grids = {n: sorted({0.0, *(values[n] or [])}) for n in names}
-
-    def bin_of(n: str) -> Column:
-        out = F.lit(0)
-        for t in grids[n]:
-            out = out + (F.expr(FEATURES[n]) > t).cast("int")
-        return F.struct(F.lit(n).alias("feature"), out.alias("bin"))
+    # A value's bin is the number of thresholds below it.
+    bins = (sum(((F.expr(FEATURES[n]) > t).cast("int") for t in grid[n]), F.lit(0)).alias(f"bin_{i}") for i, n in enumerate(names))
+    left = common.written(labelled.select(F.col(bad).alias("bad"), (F.col(fold) == 0).alias("held"), *bins), "bins")
+
+    def holds(rule: Rule) -> Column:
+        out = F.lit(True)
+        for c in rule:
+            above = F.col(f"bin_{names.index(c.feature)}") > grid[c.feature].index(c.threshold)
+            out = out & (above if c.above else ~above)
+        return out
 
     def tally(df: DataFrame) -> dict[str, list[list[int]]]:
         """By feature and bin: [good, bad] rows."""
-        out = {n: [[0, 0] for _ in range(len(grids[n]) + 1)] for n in names}
-        for r in df.select(bad, F.explode(F.array(*map(bin_of, names))).alias("x")).groupBy("x.feature", "x.bin", bad).count().collect():
-            out[r[0]][r[1]][r[2]] = r[3]
+        out = {n: [[0, 0] for _ in range(len(grid[n]) + 1)] for n in names}
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.col(f"bin_{i}").alias("bin")) for i in range(len(names)))))
+        for r in df.select("bad", each.alias("x")).groupBy("x.feature", "x.bin", "bad").count().collect():
+            out[names[r[0]]][r[1]][r[2]] = r[3]
         return out
 
-    def counts(df: DataFrame) -> tuple[int, int]:
-        r = df.agg(F.count_if(F.col(bad) == 0), F.count_if(F.col(bad) == 1)).first()
-        return r[0], r[1]
-
-    def best(df: DataFrame) -> tuple[float, Condition | None]:
-        """The condition of the largest information gain for bad rows."""
-        found = (0.0, None)
-        for n, bins in tally(df).items():
-            g, b = sum(x[0] for x in bins), sum(x[1] for x in bins)
-            if not b or not g:
-                return found
-            g_low = b_low = 0
-            for i, t in enumerate(grids[n]):
-                g_low, b_low = g_low + bins[i][0], b_low + bins[i][1]
-                for above, (x, y) in ((False, (g_low, b_low)), (True, (g - g_low, b - b_low))):
-                    if y:
-                        gain = y * (math.log2(y / (x + y)) - math.log2(b / (g + b)))
-                        if gain > found[0] + 1e-9:
-                            found = (gain, Condition(n, above, float(t)))
-        return found
-
-    def covered(df: DataFrame, rule: Rule) -> DataFrame:
-        return df.where(rule_sql(rule)) if rule else df
-
     rules: list[Rule] = []
-    left = labelled
     while len(rules) < RULES:
-        grow, prune = left.where(F.col(fold) != 0), left.where(F.col(fold) == 0)
         rule: Rule = ()
         while len(rule) < CONDITIONS:
-            condition = best(covered(grow, rule))[1]
+            condition = gain(tally(left.where(~F.col("held") & holds(rule))), grid)
             if condition is None:
                 break
             rule = (*rule, condition)
+        if not rule:
+            break
         # Pruning: the prefix of the rule that is most precise on unseen rows, the shortest of equals.
+        sides = lambda k, held: [F.count_if(holds(rule[:k]) & (F.col("bad") == b) & (F.col("held") | F.lit(not held))) for b in (0, 1)]
+        counted = list(left.agg(*(c for k in range(1, len(rule) + 1) for held in (True, False) for c in sides(k, held))).first())
         options = []
         for k in range(1, len(rule) + 1):
-            good, poor = counts(covered(prune, rule[:k]))
-            all_good, all_poor = counts(covered(left, rule[:k]))
-            share = (poor + 1) / (good + poor + 2)
-            options.append((round(share, 6), -k, all_good, all_poor, good, poor))
-        if not options:
-            break
+            good, poor, all_good, all_poor = counted[4 * k - 4 : 4 * k]
+            options.append((round((poor + 1) / (good + poor + 2), 6), -k, all_good, all_poor, good, poor))
         _, k, all_good, all_poor, good, poor = max(options)
         if all_poor < LEAST_COVERED or all_poor < PRECISION * (all_good + all_poor) or poor < PRECISION * (good + poor):
             break
         rules.append(rule[:-k])
-        left = left.where(~F.expr(rule_sql(rule[:-k])))
+        left = left.where(~holds(rule[:-k]))
     return rules
 
 

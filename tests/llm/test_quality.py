@@ -56,6 +56,65 @@ def test_decision_list_finds_planted_rules(spark):
     assert right >= 0.96 * 1500 and counts.get((0, True), 0) <= 0.1 * counts[(1, True)]
 
 
+def brute_learn(rows, grid):
+    """Sequential covering by plain loops; rows: (values by feature, bad, held)."""
+    import math
+
+    def holds(rule, v):
+        return all((v[f] > t) == above for f, above, t in rule)
+
+    rules, left = [], rows
+    while len(rules) < quality.RULES:
+        rule = ()
+        while len(rule) < quality.CONDITIONS:
+            pool = [(v, bad) for v, bad, held in left if not held and holds(rule, v)]
+            b = sum(bad for _, bad in pool)
+            best = (0.0, None)
+            for f in quality.FEATURES if b and b < len(pool) else ():
+                for t in grid[f]:
+                    for above in (False, True):
+                        side = [bad for v, bad in pool if (v[f] > t) == above]
+                        if y := sum(side):
+                            worth = y * (math.log2(y / len(side)) - math.log2(b / len(pool)))
+                            if worth > best[0] + 1e-9:
+                                best = (worth, (f, above, t))
+            if best[1] is None:
+                break
+            rule = (*rule, best[1])
+        options = []
+        for k in range(1, len(rule) + 1):
+            hit = [(bad, held) for v, bad, held in left if holds(rule[:k], v)]
+            unseen = [bad for bad, held in hit if held]
+            options.append((round((sum(unseen) + 1) / (len(unseen) + 2), 6), -k, sum(bad for bad, _ in hit), len(hit), sum(unseen), len(unseen)))
+        if not options:
+            break
+        _, k, poor, n, unseen_poor, unseen = max(options, key=lambda o: o[:2])
+        if poor < quality.LEAST_COVERED or poor < quality.PRECISION * n or unseen_poor < quality.PRECISION * unseen:
+            break
+        rules.append(rule[:-k])
+        left = [r for r in left if not holds(rule[:-k], r[0])]
+    return rules
+
+
+def test_learned_list_and_verdicts_are_brute_force(spark):
+    """On sf0.01: the list is that of plain loops, it drops bad rows that the base rule passes, and kept is the list's verdict."""
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    stats = {r.doc_id: brute(r.text) for r in docs.collect()}
+    value = lambda s: {"n_words": float(s[0]), "mean_word": s[1] / max(s[0], 1), "symbol_share": s[2] / max(s[1], 1), "dup_lines": float(s[3]), "dup_lines_per_100_words": 100 * s[3] / max(s[0], 1), "repeat_share": s[4] / max(s[0], 1)}
+    marks = {r.doc_id: 1 - r.quality for r in labels.collect() if r.quality in (0, 1) and not stats[r.doc_id][-1]}
+    held = {r.doc_id: r.f == 0 for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("f")).collect()}
+    frame = quality.statistics(docs).join(labels.select("doc_id", (1 - F.col("quality")).alias("bad")), "doc_id").where("not base_failed")
+    want = brute_learn([(value(stats[i]), bad, held[i]) for i, bad in marks.items()], quality.grids(frame))
+    out, rules = quality.quality_rules(docs, labels)
+    assert [[(c.feature, c.above, c.threshold) for c in rule] for rule in rules] == [list(r) for r in want] and rules
+    verdict = lambda v: next((k for k, rule in enumerate(want, 1) if all((v[f] > t) == above for f, above, t in rule)), 0)
+    got = {r.doc_id: (r.rule, r.kept) for r in out.collect()}
+    assert got == {i: (0, False) if s[-1] else (verdict(value(s)), verdict(value(s)) == 0) for i, s in stats.items()}
+    bad_left = [got[i][1] for i, bad in marks.items() if bad]
+    assert sum(bad_left) < 0.5 * len(bad_left)
+
+
 def test_nothing_to_learn(spark):
     df = labelled(spark, 60, lambda w, s, d: False)
     assert quality.learn(df) == [] and quality.learn(df.limit(0)) == []
