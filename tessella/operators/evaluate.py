@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.operators.reporting import numbered_rows
+
 
 def ideal_gain(judgments: DataFrame, k: int) -> DataFrame:
     best = judgments.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "id"))).where(F.col("r") <= k)
@@ -77,10 +79,24 @@ def nearest_rank(value: Column, p: float) -> Column:
     return F.percentile_disc(p).within_group(value) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
-def floor_index(values: str, p: float) -> Column:
-    """The value at place int((n - 1) * p), from 0, of the ascending values, rounded to 3 places; an aggregate over a ring of recent values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.round(F.element_at(ordered, (F.floor((F.size(ordered) - 1) * p) + 1).cast("int")), 3)
+def floor_index(rows: DataFrame, by: str, value: str, places: dict[str, float]) -> DataFrame:
+    """by and, for each name, the value at place int((n - 1) * p), from 0, of the group's ascending values, rounded to 3 digits.
+
+    Values are counted first and places are found in running totals of the
+    distinct ones, so no row holds a group; equal values are one row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    sizes = counts.groupBy(by).agg(F.sum("__c").alias("__n"))
+    # Value ranges add up first, so that a group's values are sorted range by range.
+    bounds = counts.groupBy(by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).join(sizes, by)
+    placed = counts.join(bounds, by).withColumn("__b", F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1023)).otherwise(F.lit(0)).cast("int"))
+    ranges = placed.groupBy(by, "__b").agg(F.sum("__c").alias("__t"))
+    before = F.sum("__t").over(Window.partitionBy(by).orderBy("__b")) - F.col("__t")
+    placed = placed.join(ranges.withColumn("__before", before).drop("__t"), [by, "__b"])
+    upto = F.sum("__c").over(Window.partitionBy(by, "__b").orderBy("__v")) + F.col("__before")
+    at = lambda p: F.floor((F.col("__n") - 1) * p)
+    found = placed.withColumn("__upto", upto)
+    return found.groupBy(by).agg(*(F.round(F.min(F.when(F.col("__upto") > at(p), F.col("__v"))), 3).alias(name) for name, p in places.items()))
 
 
 def threshold_grid(values: list[float], margins: list[float], spark) -> DataFrame:
@@ -134,7 +150,7 @@ def candidate_thresholds(values: DataFrame, column: str) -> DataFrame:
     if not n:
         return values.sparkSession.createDataFrame([(0.0,)], "threshold double")
     places = sorted({0, n - 1, *(int(f * (n - 1)) for f in (0.1, 0.25, 0.5, 0.75, 0.9))})
-    ranked = distinct.withColumn("i", F.row_number().over(Window.orderBy("v")) - 1).where(F.col("i").isin(places))
+    ranked = numbered_rows(distinct, "v").where(F.col("n").isin(places))
     tick = 1e-12
     ends = distinct.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(F.explode(F.array(F.col("lo") - tick, F.col("hi") + tick)).alias("threshold"))
     return ranked.select(F.col("v").alias("threshold")).unionByName(ends)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions import text as X
 from tessella.operators.classify import incidental_reason
-from tessella.operators.reporting import violations
+from tessella.operators.reporting import numbered_rows, violations
 
 # Severities by the letter of a finding's id; fields that a finding must have; header lines of a critique.
 SEVERITIES = {"C": "CRITICAL", "H": "HIGH", "M": "MEDIUM", "L": "LOW"}
@@ -195,7 +195,7 @@ def handoff_problems(df: DataFrame, *, id_col: str, name: str, meta: str, body:
 def append_sequence(log: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """New records with seq from the number of records in the log on, in order; one writer appends at a time."""
     start = log.agg(F.count(F.lit(1)).alias("__n"))
-    return new.crossJoin(F.broadcast(start)).withColumn("seq", F.row_number().over(Window.orderBy(order)) + F.col("__n")).drop("__n")  # one row; a batch of new records
+    return numbered_rows(new, order).crossJoin(F.broadcast(start)).withColumn("seq", F.col("n") + 1 + F.col("__n")).drop("__n", "n")  # one row
 
 
 def vector_set_proof(stored: DataFrame, expected: DataFrame, key: str, *payload: str) -> DataFrame:

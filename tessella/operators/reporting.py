@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.session import durable
+
 
 def usage(log: DataFrame, *by: str, in_: str = "inputEst", out: str = "outputEst", ms: str = "ms", error: Column | None = None) -> DataFrame:
     """calls, in, out, rounded mean ms and errors; half a millisecond rounds up."""
@@ -114,22 +116,29 @@ def legal_moves(log: DataFrame, key: str, state: str, moves: list[tuple[str, str
     return pairs.join(F.broadcast(table), ["previous", state], "left").withColumn("legal", F.coalesce("legal", F.lit(False)) | (F.col("previous") == F.col(state)))  # a short list
 
 
-def dependency_faults(rows: DataFrame, edges: DataFrame, key: str, *, most: int = 64) -> DataFrame:
-    """key and fault: self, dangling or cycle; a cycle's members reach themselves.  edges: key, dep.
+def dependency_faults(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """key and fault: self, dangling or cycle; a cycle's members reach themselves, however long it is.  edges: key, dep.
 
-    Reach doubles each round, so cycles of up to 2 ** rounds are found; rows that
-    cannot be on a cycle are peeled off first.
+    Rows without an edge in or out are peeled off while that takes a tenth of the
+    edges or more.  Of the rest, who reaches whom within 1, 2, 4, ... steps is a
+    set of distinct pairs, a written table a round, until a round adds none: the
+    logarithm of the longest path, and no path is walked twice.
     """
     own = edges.where(F.col(key) == F.col("dep")).select(key, F.lit("self").alias("fault"))
     dangling = edges.join(rows.select(F.col(key).alias("dep")), "dep", "left_anti").select(key, F.lit("dangling").alias("fault"))
-    live = edges.where(F.col(key) != F.col("dep")).join(rows.select(F.col(key).alias("dep")), "dep", "left_semi").select(key, "dep").distinct()
-    spark = rows.sparkSession
-    live.createOrReplaceTempView("__edges")
-    cyc = spark.sql(
-        f"with recursive reach(a, b, depth) as (select {key}, dep, 1 from __edges union all select r.a, e.dep, r.depth + 1 from reach r join __edges e on e.{key} = r.b where r.depth < {most} and r.a <> r.b) "
-        f"select distinct a as {key}, 'cycle' as fault from reach where a = b"
-    )
-    return own.unionByName(dangling).unionByName(cyc).distinct()
+    live = edges.where(F.col(key) != F.col("dep")).join(rows.select(F.col(key).alias("dep")), "dep", "left_semi").select(F.col(key).alias("a"), F.col("dep").alias("b")).distinct()
+    live = durable(live, "edges")
+    n, before = live.count(), None
+    while n and (before is None or n < 0.9 * before):
+        inner = live.join(live.select(F.col("a").alias("b")), "b", "left_semi").join(live.select(F.col("b").alias("a")), "a", "left_semi").select("a", "b")
+        live, before = durable(inner, "edges"), n
+        n = live.count()
+    reach, before = live, -1
+    while n != before:
+        further = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        reach, before = durable(reach.unionByName(further).distinct(), "reach"), n
+        n = reach.count()
+    return own.unionByName(dangling).unionByName(reach.where("a = b").select(F.col("a").alias(key), F.lit("cycle").alias("fault"))).distinct()
 
 
 def unmet_dependencies(rows: DataFrame, edges: DataFrame, key: str, *, done: str = "complete") -> DataFrame:
@@ -187,3 +196,21 @@ def temporal_facts(facts: DataFrame, needle: str, groups: list[str], limit: int,
         hit = hit | F.contains(F.lower(f), F.lit(needle.lower()))
     place = F.array_position(F.array(*map(F.lit, groups)), F.col("group_id"))
     return facts.where(F.col("group_id").isin(groups) & hit).withColumn("__g", place).orderBy("__g", F.desc_nulls_last("valid_at"), *fields).limit(limit).drop("__g")
+
+
+def top_calls(log: DataFrame, k: int, value: str, arrival: str) -> DataFrame:
+    """The k rows of the largest value; of equals those that came first."""
+    return log.orderBy(F.desc_nulls_last(value), arrival).limit(k)
+
+
+def timeline(records: DataFrame, *, label: str | None = None) -> DataFrame:
+    """A replay of observed records (observed_at, event_id, label, ...): of one label if given, by time, then id; missing ones first."""
+    kept = records if label is None else records.where(F.col("label") == label)
+    return kept.orderBy(F.coalesce(F.col("observed_at").cast("string"), F.lit("")), F.coalesce("event_id", F.lit("")))
+
+
+def duplicate_aliases(files: DataFrame, *, path: str = "path", real: str = "real_path", suffix: str = ".md") -> DataFrame:
+    """real path, first path, n and sorted paths of every source that several listed paths resolve to."""
+    named = files.where(F.lower(path).endswith(suffix)).select(F.col(real).alias("real_path"), F.col(path).alias("path")).distinct()
+    groups = named.groupBy("real_path").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.array_sort(F.collect_list("path")).alias("paths"))
+    return groups.where("n > 1").select("real_path", "first_path", "n", "paths")

@@ -134,22 +134,23 @@ def attention_states(spark, sf_dir):
 
 
 @query(
-    """with n as (select p_partkey, case p_partkey % 6 when 0 then p_name || '/x' when 1 then replace(p_name, ' ', '_') || '.py' when 2 then upper(replace(p_name, ' ', '_')) when 3 then 'f' || p_partkey || '(a)' when 4 then substr(md5(p_name), 1, 12) else p_name end as name from part)
-select p_partkey, case when trim(name) = '' then 'empty-name' when contains(name, '/') then 'path-like' when regexp_matches(name, '(?i)\\.py$') then 'file-extension' when regexp_matches(name, '^[A-Z][A-Z0-9]*_[A-Z0-9_]+$') then 'environment-key' when regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*\\([^)]*\\)$') then 'callable-identifier' when regexp_matches(name, '^[0-9a-f]{7,64}$') then 'revision-hash' end as reason from n"""
+    """with n as (select p_partkey, case p_partkey % 6 when 0 then p_name || '/x' when 1 then replace(p_name, ' ', '_') || '.py' when 2 then upper(replace(p_name, ' ', '_')) when 3 then 'f' || p_partkey || '(a)' when 4 then substr(md5(p_name), 1, 12) else 'x' || replace(upper(p_name[1:1]) || p_name[2:], ' ', '') end as name from part)
+select p_partkey, case when trim(name) = '' then 'empty-name' when contains(name, '/') then 'path-like' when regexp_matches(name, '(?i)\\.py$') then 'file-extension' when regexp_matches(name, '^[A-Z][A-Z0-9]*_[A-Z0-9_]+$') then 'environment-key' when regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*\\([^)]*\\)$') then 'code-symbol' when regexp_matches(name, '^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$') then 'code-identifier' when regexp_matches(name, '^[0-9a-f]{7,64}$') then 'revision-hash' end as reason from n"""
 )
 def incidental_names(spark, sf_dir):
     k, plain = F.col("p_partkey") % 6, F.regexp_replace("p_name", " ", "_")
-    name = F.when(k == 0, F.concat("p_name", F.lit("/x"))).when(k == 1, F.concat(plain, F.lit(".py"))).when(k == 2, F.upper(plain)).when(k == 3, F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit("(a)"))).when(k == 4, F.substring(F.md5("p_name"), 1, 12)).otherwise(F.col("p_name"))
+    name = F.when(k == 0, F.concat("p_name", F.lit("/x"))).when(k == 1, F.concat(plain, F.lit(".py"))).when(k == 2, F.upper(plain)).when(k == 3, F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit("(a)"))).when(k == 4, F.substring(F.md5("p_name"), 1, 12)).otherwise(F.regexp_replace(F.concat(F.lit("x"), F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)")), " ", ""))
     return table(spark, sf_dir, "part").select("p_partkey", C.incidental_reason(name).alias("reason"))
 
 
 @query("select event_type, count(*) as requests, count(*) filter (where value < 1) as errors, round(list_sort(list(value))[(floor((count(*) - 1) * 0.5) + 1)::bigint], 3) as p50, round(list_sort(list(value))[(floor((count(*) - 1) * 0.99) + 1)::bigint], 3) as p99 from (select * from events qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 500) group by event_type")
 def route_metrics(spark, sf_dir):
     """Of each route's 500 most recent requests."""
-    from tessella.operators.evaluate import floor_index
+    from tessella.operators import evaluate as E
 
     recent = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))).where("n <= 500")
-    return recent.groupBy("event_type").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("value") < 1).alias("errors"), floor_index("value", 0.5).alias("p50"), floor_index("value", 0.99).alias("p99"))
+    counts = recent.groupBy("event_type").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("value") < 1).alias("errors"))
+    return counts.join(E.floor_index(recent, "event_type", "value", {"p50": 0.5, "p99": 0.99}), "event_type", "left")
 
 
 @query("select o_orderstatus as value, 'status' as dimension, count(*) as n from orders group by 1 union all select o_orderpriority, 'priority', count(*) from orders where o_orderpriority is not null group by 1")

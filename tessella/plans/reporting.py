@@ -189,7 +189,7 @@ select k, 'self' as fault from e where k = dep union select k, 'dangling' from e
 def dependency_cycles(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     edges = n.select("k", ((F.col("k") * 7 + 3) % 30).alias("dep")).unionByName(n.where("k % 11 = 0").select("k", F.col("k").alias("dep"))).unionByName(n.where("k % 4 = 1").select("k", ((F.col("k") + 5) % 25).alias("dep")))
-    return R.dependency_faults(n, edges, "k", most=26)
+    return R.dependency_faults(n, edges, "k")
 
 
 @query(f"with {SQL_EDGES} select k, dep from e left join nation on n_nationkey = dep where n_nationkey is null or n_regionkey <> 1")

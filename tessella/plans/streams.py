@@ -26,15 +26,17 @@ def drained(df: DataFrame, mode: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = df.schema
 
+    numbers = []
+
     def keep(batch: DataFrame, number: int) -> None:
+        numbers.append(number)
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.schema(schema).parquet(f"{path}/rows")
     if mode == "complete":
-        last = max((int(f.split("batch=")[1].split("/")[0]) for f in rows.inputFiles()), default=0)
-        rows = spark.read.schema(schema).parquet(f"{path}/rows/batch={last}")
+        rows = spark.read.schema(schema).parquet(f"{path}/rows/batch={max(numbers)}")
     return rows
 
 
@@ -50,7 +52,7 @@ def stream_sliding_windows(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query()
+@query("select event_id::varchar as event_id, event_type from events")
 def stream_consume(spark, sf_dir):
     """Each event consumed once, its type kept by `apply`."""
     path = f"{shared_dir(spark)}/consume-{uuid.uuid4().hex}"
@@ -61,4 +63,4 @@ def stream_consume(spark, sf_dir):
 
     receipts = event_stream(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), F.sha2(F.concat_ws("|", "event_type", "props"), 256).alias("digest"), "event_type")
     S.Consumer(spark, f"{path}/state", apply).start(receipts, f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema("event_id string, event_type string").parquet(out)
+    return spark.read.schema("event_id string, event_type string").parquet(out).select("event_id", "event_type")

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only on a local master where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -29,15 +39,15 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Bytes of input a core up to which spread() deals rows anew.
-SMALL_SHARE = 64 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small input of fewer files than cores to all cores, as a file of one row group is one task; any other input stays as it is."""
+    """Deals an input of fewer files than cores to all cores, as a file can be one row group and so one task; the rule goes by files alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= cores * SMALL_SHARE and 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bounds the batches that go to Python workers, so that long texts do not add up; a row is never cut."""
+    reachable(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def session(app: str = "tessella", **conf: str) -> SparkSession:
