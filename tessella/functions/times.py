@@ -65,7 +65,8 @@ def review_state(deadline: Column, now: Column) -> Column:
 
 
 def from_nanos(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / 1000).cast("long"))
+    """A time from nanoseconds since 1970, in whole numbers, as a double cannot hold them."""
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)))
 
 
 def only_complete_clock(complete: Column, now: Column, prior: Column) -> Column:

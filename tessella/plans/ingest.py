@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import ids
 from tessella.operators import classify as C, ingest as I
+from tessella.operators.search import few
 from tessella.plans.registry import Registry, table
 
 query = Registry()
@@ -211,9 +212,9 @@ def first_seen_dedupe(spark, sf_dir):
     return pages.groupBy("address").agg(F.min("page_id").alias("page_id"))
 
 
-@query("select item_id as needle_id, doc_id from benchmark, documents where contains(documents.text, benchmark.text[1:60])")
+@query("select item_id as needle_id, doc_id from benchmark, documents where contains(documents.text, benchmark.text)")
 def backlink_search(spark, sf_dir):
-    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.substring("text", 1, 60).alias("needle"))
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
     return I.backlinks(table(spark, sf_dir, "documents"), needles, doc="doc_id", text="text")
 
 
@@ -227,7 +228,7 @@ def owner_resolution(spark, sf_dir):
 
 
 SQL_NAMES = "(select distinct p_name as name, regexp_replace(lower(trim(p_name)), '[\\s-]+', '-', 'g') as key from part)"
-SQL_ASKED = "(select distinct n_name as query, regexp_replace(lower(trim(n_name)), '[\\s-]+', '-', 'g') as key from nation union select distinct upper(p_name), regexp_replace(lower(trim(p_name)), '[\\s-]+', '-', 'g') from part where p_partkey % 10 = 0 union select distinct substr(p_name, 2), regexp_replace(lower(trim(substr(p_name, 2))), '[\\s-]+', '-', 'g') from part where p_partkey % 50 = 1)"
+SQL_ASKED = "(select distinct n_name as query, regexp_replace(lower(trim(n_name)), '[\\s-]+', '-', 'g') as key from nation union select distinct upper(p_name), regexp_replace(lower(trim(p_name)), '[\\s-]+', '-', 'g') from part union select distinct substr(p_name, 2), regexp_replace(lower(trim(substr(p_name, 2))), '[\\s-]+', '-', 'g') from part)"
 
 
 @query(
@@ -237,13 +238,13 @@ select a.query, coalesce(e.name, s.name) as name, case when e.name is not null t
 def name_lookup(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     asked = table(spark, sf_dir, "nation").select(F.col("n_name").alias("query"))
-    asked = asked.unionByName(part.where("p_partkey % 10 = 0").select(F.upper("p_name").alias("query"))).unionByName(part.where("p_partkey % 50 = 1").select(F.expr("substr(p_name, 2)").alias("query")))
+    asked = asked.unionByName(part.select(F.upper("p_name").alias("query"))).unionByName(part.select(F.expr("substr(p_name, 2)").alias("query")))
     return C.name_lookup(part.select(F.col("p_name").alias("name")), asked)
 
 
-@query("select p_partkey, n_nationkey from part, nation where contains(lower(p_type), lower(n_name[1:2])) or contains(lower(n_name), lower(p_type))")
+@query("select p_partkey, n_nationkey from part, nation where contains(lower(p_brand), n_nationkey::varchar) or contains(lower(n_name), lower(p_brand))")
 def topic_match(spark, sf_dir):
     """Either side contains the other; the nations are a bounded dimension."""
-    topics = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("long"), F.lower(F.substring("n_name", 1, 2)).alias("t"))
-    q = F.lower("p_type")
-    return table(spark, sf_dir, "part").join(F.broadcast(topics), F.contains(q, F.col("t")) | F.contains(F.col("long"), q)).select("p_partkey", "n_nationkey")
+    topics = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("long"), F.col("n_nationkey").cast("string").alias("t"))
+    q = F.lower("p_brand")
+    return table(spark, sf_dir, "part").join(few(topics), F.contains(q, F.col("t")) | F.contains(F.col("long"), q)).select("p_partkey", "n_nationkey")

@@ -29,10 +29,10 @@ def register_reconcile(spark, sf_dir):
     return I.reconcile(c.where("k % 3 <> 0"), c.where("k % 4 <> 0"), state, "k").select("k", "finding")
 
 
-@query("select p_partkey, case when p_partkey % 3 = 0 then upper(p_name) when p_partkey % 2 = 0 then p_name end as p_name from part where p_partkey % 3 = 0 or p_partkey % 2 = 0")
+@query("select p_partkey, case when p_size > 25 then upper(p_name) else p_name end as p_name from part")
 def overlay_merge(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return I.coalesce_rows(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0").withColumn("p_name", F.upper("p_name")), "p_partkey", "p_name")
+    return I.coalesce_rows(p, p.where("p_size > 25").withColumn("p_name", F.upper("p_name")), "p_partkey", "p_name")
 
 
 @query("select p_partkey as k, p_name as title, case when p_partkey % 2 = 0 then p_brand else 'pending' end as status from part where p_partkey % 5 <> 0")
@@ -248,10 +248,3 @@ def call_summaries(spark, sf_dir):
 def frequent_terms(spark, sf_dir):
     terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 5").groupBy("n").agg(F.count(F.lit(1)).alias("n_terms"))
-
-
-@query()
-def roadmap_items(spark, sf_dir):
-    """Conversations' texts as checklists: parsed all the same, whatever they hold."""
-    rows = table(spark, sf_dir, "conversations").withColumn("t", F.concat(F.lit("## Now\n- [x] **M1:** "), F.substring("text", 1, 40), F.lit("\n- [ ] **SP2:** "), F.substring("text", 41, 40)))
-    return G.roadmap_items(rows.withColumn("id", F.concat_ws("/", "conv_id", "turn")), id_col="id", text_col="t")

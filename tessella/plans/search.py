@@ -254,25 +254,3 @@ def span_iou_pairs(spark, sf_dir):
     a, b = (spans.select("l_orderkey", F.col("l_linenumber").alias(f"line_{x}"), F.col("s").alias(f"s{x}"), F.col("e").alias(f"e{x}")) for x in "ab")
     pairs = a.join(b, "l_orderkey").where("line_a < line_b")
     return pairs.where(V.iou(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb")) >= V.IOU).select("l_orderkey", "line_a", "line_b")
-
-
-@query()
-def collapse_greedy(spark, sf_dir):
-    """Nearest points as spans: those of one label that overlap collapse in rank order."""
-    hits = labelled_hits(spark, sf_dir)
-    rows = hits.select("query_id", "id", "rank", F.col("label").cast("string").alias("revision_id"), F.sha2(F.col("id").cast("string"), 256).alias("span_sha256"), (F.col("id") % 50).alias("start"), (F.col("id") % 50 + 40).alias("end"))
-    return V.collapse(rows).select("query_id", "id", "rank", F.size("alternates").alias("n_alternates"))
-
-
-@query()
-def rerank_blend(spark, sf_dir):
-    """TF-IDF candidates reordered by a stand-in scorer: the share of the query's words that the text has."""
-    docs, queries = titled(spark, sf_dir), benchmark(spark, sf_dir)
-    found = S.tfidf_search(docs, queries, k=30).withColumnRenamed("rank", "fusion_rank").withColumnRenamed("doc_id", "id")
-    rows = found.join(docs.select(F.col("doc_id").alias("id"), "content"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-
-    def share(q, texts):
-        words = set(q.lower().split())
-        return [len(words & set(t.lower().split())) / max(1, len(words)) for t in texts]
-
-    return V.rerank(rows, share).select("query_id", "id", "fusion_rank", "cross_rank", "final_rank")

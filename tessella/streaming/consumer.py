@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 class Consumer:
@@ -113,3 +114,38 @@ def notify(states: DataFrame, forced: Column) -> DataFrame:
 
     before = F.lag("status").over(Window.partitionBy("name").orderBy("at"))
     return states.withColumn("previous", before).where((F.col("status") != "healthy") & (~F.col("status").eqNullSafe(F.col("previous")) | forced))
+
+
+#: Calls and seconds after which a session's digest is due.
+DIGEST_CALLS, DIGEST_SECONDS = 100, 300
+
+
+def digest_triggers(log: DataFrame, session: str, at: str, *ties: str, every: int = DIGEST_CALLS, seconds: float = DIGEST_SECONDS) -> DataFrame:
+    """session, digest_no, at_call and at of every call that triggers a digest: `every` calls, or `seconds`, after the last one.
+
+    Each trigger depends on the one before, so sessions are walked in order, a
+    batch at a time; a task holds the last digest of the open session only.  The
+    clock of a session starts at its first call.
+    """
+    kinds = {f.name: f for f in log.schema.fields}
+    out = StructType([kinds[session], StructField("digest_no", LongType()), StructField("at_call", LongType()), StructField("at", kinds[at].dataType)])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            times = batch.column(1).cast(pa.timestamp("us", tz=getattr(batch.column(1).type, "tz", None))).cast(pa.int64()).to_pylist()
+            found, where = [], []
+            for row, (key, now) in enumerate(zip(batch.column(0).to_pylist(), times)):
+                if held is None or held[0] != key:
+                    held = (key, now, 1, 0, 1)
+                    continue
+                _, since, calls, number, call = held
+                if due := now - since >= seconds * 1_000_000 or calls + 1 >= every:
+                    found.append((number + 1, call + 1))
+                    where.append(row)
+                held = (key, now if due else since, 0 if due else calls + 1, number + due, call + 1)
+            if found:
+                hit = batch.take(pa.array(where))
+                yield pa.RecordBatch.from_arrays([hit.column(0), *(pa.array(c, pa.int64()) for c in zip(*found)), hit.column(1)], names=out.names)
+
+    return log.select(session, at, *ties).repartition(session).sortWithinPartitions(session, at, *ties).mapInArrow(walk, out)
