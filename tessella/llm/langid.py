@@ -101,6 +101,7 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col
     those whose id's hash is low enough, whole.  Every language with a text in
     the sample is learned; the driver holds 768 KB for each.
     """
+    common.small_batches(df.sparkSession)
     df = df.where(F.col(lang_col).isNotNull())
     counted = df.groupBy(F.col(lang_col).alias("__lang")).count()
     sizes = {r[0]: r["count"] for r in counted.collect()}  # a row a language
@@ -164,7 +165,8 @@ def identify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
         def joint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield from common.releasing(score)(batches)
 
-        return joint
+        # A filter on the prediction is not pushed below it, where it would score every text again.
+        return joint.asNondeterministic()
 
     columns = [c for c in df.columns if c in {*keep, text_col}]
     parts = model.parts(languages)

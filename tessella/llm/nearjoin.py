@@ -204,10 +204,11 @@ def _order(sets: DataFrame) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
-    total = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
-    for r in sets.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(common.releasing(add), "chunk long, counts binary").collect():  # CHUNKS rows
-        total[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return (np.log2(total.ravel() + 1) * 1000).astype(np.uint16)
+    order = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint16)
+    totals = sets.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(common.releasing(add), "chunk long, counts binary")
+    for r in totals.toLocalIterator():  # CHUNKS rows, of which the driver holds a few at a time
+        order[r.chunk] = np.log2(np.frombuffer(r.counts, np.int64) + 1.0) * 1000
+    return order.ravel()
 
 
 def _keys(df: DataFrame, order: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -420,6 +421,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """The pairs a, b whose texts' sets are similar; a document with many partners is the pair's a, and is dealt to several tasks."""
     out = pairs.select("a", "b").schema
     times = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > PARTNERS)
+    times = common.written(times, "busy")
     few = times.count() <= common.BROADCAST_KEYS
 
     def busy(c: str) -> DataFrame:
@@ -519,6 +521,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
             named = _components(links, same)
         if not centres_left or compared <= COMPARISONS:
             break
+    common.give_back()
     component = F.coalesce("component", "id")
     return rows.join(named.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 

@@ -14,7 +14,8 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -32,6 +33,19 @@ _PRINT = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
 _STAND_IN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINT)))}
 
 
+#: Characters of a long text whose pre-tokens are held at a time.
+SEGMENT = 1 << 16
+
+
+def segments(text: str) -> Iterator[str]:
+    """A text in parts that end before a blank, which no pre-token spans."""
+    at = 0
+    while len(text) - at > SEGMENT and (end := text.find(" ", at + SEGMENT)) >= 0:
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class Encoder:
     """encode(text) gives a text's ids as little-endian unsigned 32-bit integers."""
 
@@ -67,7 +81,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.plain(text):
-            return b"".join(map(self.memo.__getitem__, PIECES.findall(text.lower())))
+            return b"".join(b"".join(map(self.memo.__getitem__, PIECES.findall(part))) for part in segments(text.lower()))
         return np.asarray(self.library(text), "<u4").tobytes()
 
     def pieces(self, text: str) -> tuple[Iterable[str], int]:
@@ -76,7 +90,7 @@ class Encoder:
         A pre-token is what the model takes: of most files a text in stand-ins for bytes.
         """
         if self.plain(text):
-            return PIECES.findall(text.lower()), 0
+            return chain.from_iterable(map(PIECES.findall, segments(text.lower()))), 0
         if not (self.by_piece or self.own_pieces):
             return [], len(self.library(text))
         found, specials, at = [], 0, 0
