@@ -21,6 +21,8 @@ from tessella.llm import common, tokenizing
 
 #: Sequence numbers: this many per partition of the scan.
 SEQUENCES_PER_PARTITION = 1 << 40
+#: Rows of a batch that leaves a worker, 8 KB each at most for windows of 2048 ids.
+ROWS = 1000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -176,12 +178,14 @@ def pack_documents(
                     for start in range(0, full, capacity):
                         rows.append((doc_id, start, capacity, ids[4 * start : 4 * (start + capacity)], n, sequence, 0))
                         sequence += 1
+                        if len(rows) > ROWS:
+                            yield batch()
                     if full < n:
                         group.add(doc_id, full, ids[4 * full :], n)
                     if group.total >= windows_a_group * capacity:
                         flush()
-                if len(rows) > 4000:
-                    yield batch()
+                    if len(rows) > ROWS:
+                        yield batch()
         if group.pieces:
             flush()
         if rows:
