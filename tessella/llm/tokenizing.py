@@ -49,7 +49,7 @@ def segments(text: str) -> Iterator[str]:
 class Encoder:
     """encode(text) gives a text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path.endswith(".model"):
             import sentencepiece
