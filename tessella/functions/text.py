@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -79,15 +79,21 @@ def identifiers(c: Column | str) -> Column:
 
 def snippet(content: Column, terms: Column, around: int = 200) -> Column:
     """The text from `around` characters before the first place of any term to as many after it; the first 400 if none appears."""
-    low = F.lower(content)
-    places = F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0)
-    at = F.array_min(places) - 1
-    start, end = F.greatest(F.lit(0), at - around), F.least(F.length(content), at + around)
-    cut = strip(F.substring(content, start + 1, end - start))
-    hit = F.concat(F.when(start > 0, "...").otherwise(""), cut, F.when(end < F.length(content), "...").otherwise(""))
-    head = strip(F.substring(content, 1, 2 * around))
-    miss = F.concat(head, F.when(F.length(head) < F.length(content), "...").otherwise(""))
-    return F.when(F.size(places) > 0, hit).otherwise(miss)
+
+    def cut(at: Column) -> Column:
+        start, end = F.greatest(F.lit(0), at - around), F.least(F.length(content), at + around)
+        hit = F.concat(F.when(start > 0, "...").otherwise(""), strip(F.substring(content, start + 1, end - start)), F.when(end < F.length(content), "...").otherwise(""))
+        head = strip(F.substring(content, 1, 2 * around))
+        miss = F.concat(head, F.when(F.length(head) < F.length(content), "...").otherwise(""))
+        return F.when(at >= 0, hit).otherwise(miss)
+
+    first = lambda low: F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0)) - 1
+    return bound(bound(F.lower(content), first), cut)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def canonical_name(c: Column | str) -> Column:

@@ -13,7 +13,7 @@ TITLE_BOOST = 3
 BM25_WEIGHTS, K1, B, LEAST_IDF = (8.0, 2.0, 4.0, 1.0), 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, only: DataFrame | None = None, *, id_col: str = "doc_id", title: str = "title", content: str = "content") -> DataFrame:
+def postings(docs: DataFrame, only: DataFrame | None = None, *, n_only: int | None = None, id_col: str = "doc_id", title: str = "title", content: str = "content") -> DataFrame:
     """doc, term, tf (in the content), boosted (the title or a part of a hyphenated title word), indexed (makes a candidate and counts for df).
 
     One explode and one shuffle, with partial counts before it.  only: a table of
@@ -25,7 +25,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None, *, id_col: str = "d
     rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.explode(texts).alias("x")).select("doc_id", "x.kind", F.explode(F.split("x.t", " ")).alias("term"))
     rows = rows.where((F.length("term") > 1) & ((F.col("kind") == 2) | ~F.col("term").isin(X.STOP_WORDS)))
     if only is not None:
-        rows = rows.join(few(only.select("term").distinct()), "term", "left_semi")
+        rows = rows.join(few(only.select("term").distinct(), n_only), "term", "left_semi")
     return rows.groupBy("doc_id", "term").agg(F.count_if(F.col("kind") == 0).alias("tf"), (F.max("kind") == 2).alias("boosted"), (F.min("kind") < 2).alias("indexed"))
 
 
@@ -33,9 +33,9 @@ def postings(docs: DataFrame, only: DataFrame | None = None, *, id_col: str = "d
 FEW = 200_000
 
 
-def few(keys: DataFrame) -> DataFrame:
-    """keys, to be broadcast if counted to be few; else joined by a shuffle."""
-    return F.broadcast(keys) if keys.count() <= FEW else keys
+def few(keys: DataFrame, n: int | None = None) -> DataFrame:
+    """keys, to be broadcast if counted to be few (n: a count, or more, that the caller has); else joined by a shuffle."""
+    return F.broadcast(keys) if (keys.count() if n is None else n) <= FEW else keys
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -58,16 +58,17 @@ def query_tokens(queries: DataFrame, *, id_col: str = "query_id", text: str = "t
     return rows.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term")).groupBy("query_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def tfidf_scores(index: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
+def tfidf_scores(index: DataFrame, queries: DataFrame, n_docs: int, *, n_queries: int | None = None, cut: bool = False) -> DataFrame:
     """query_id, doc_id, score of every candidate with a score other than 0: sum of (tf + boost) * idf, times 1 + the share of terms that match.
 
-    queries: from query_tokens.  Postings are cut down to the queries' terms
-    before anything is joined to them.
+    queries: from query_tokens; n_queries: its rows, where they have been counted.
+    Postings are cut down to the queries' terms before anything is joined to them;
+    cut: they were made with these terms alone.
     """
-    terms = queries.select("term").distinct()
-    used = index.join(few(terms), "term", "left_semi")
+    n_queries = queries.count() if n_queries is None else n_queries
+    used = index if cut else index.join(few(queries.select("term").distinct(), n_queries), "term", "left_semi")
     weighted = queries.join(document_frequency(used), "term", "left").withColumn("idf", idf(F.lit(n_docs), F.coalesce("df", F.lit(0)))).drop("df")
-    hits = used.join(F.broadcast(weighted) if queries.count() <= FEW else weighted, "term")  # as many rows as queries
+    hits = used.join(few(weighted, n_queries), "term")  # as many rows as queries
     boost = F.when(F.col("boosted"), TITLE_BOOST).otherwise(0)
     found = hits.groupBy("query_id", "doc_id", "n_terms").agg(
         F.sum(F.when((F.col("tf") > 0) | F.col("boosted"), F.col("times") * (F.col("tf") + boost) * F.col("idf")).otherwise(0.0)).alias("raw"),
@@ -85,31 +86,34 @@ def top_k(scores: DataFrame, k: int, *order: Column | str, by: str = "query_id",
 def tfidf_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "doc_id", title: str = "title", content: str = "content", query_id: str = "query_id", query: str = "text") -> DataFrame:
     """query_id, doc_id, score (6 decimals) and rank of the k best documents of each query: by score, then title, then id."""
     asked = query_tokens(queries, id_col=query_id, text=query)
-    scores = tfidf_scores(postings(docs, asked, id_col=id_col, title=title, content=content), asked, docs.count())
+    n = asked.count()
+    scores = tfidf_scores(postings(docs, asked, n_only=n, id_col=id_col, title=title, content=content), asked, docs.count(), n_queries=n, cut=True)
     titled = scores.join(docs.select(F.col(id_col).alias("doc_id"), F.col(title).alias("title")), "doc_id").withColumn("score", F.round("score", 6))
     return top_k(titled, k, F.desc("score"), "title", "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
-def bm25_scores(rows: DataFrame, queries: DataFrame, columns: list[tuple[str, float]], *, id_col: str = "span_id") -> DataFrame:
+def bm25_scores(rows: DataFrame, queries: DataFrame, columns: list[tuple[str, float]], *, id_col: str = "span_id", n_queries: int | None = None) -> DataFrame:
     """query_id, id and bm25 (lower is better) of rows with a term of the query.
 
     columns: (name of an array of tokens, weight).  The frequency of a term is
     the weighted sum over columns; a row's length has all its tokens.  queries:
-    query_id and term, distinct.  Only the queries' terms are exploded.
+    query_id and term, distinct; n_queries: its rows, where they have been counted.
+    Only the queries' terms are exploded.
     """
+    n_queries = queries.count() if n_queries is None else n_queries
     length = sum((F.size(c) for c, _ in columns), F.lit(0))
     sized = rows.select(F.col(id_col).alias("id"), length.alias("__len"), *(F.col(c) for c, _ in columns))
     corpus = sized.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("__len").alias("avg_len"))
     weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
     entries = F.concat(*(F.transform(F.col(c), weighted(w)) for c, w in columns))
     terms = queries.select("term").distinct()
-    tf = sized.select("id", "__len", F.explode(entries).alias("e")).select("id", "__len", "e.term", "e.w").join(few(terms), "term", "left_semi").groupBy("id", "__len", "term").agg(F.sum("w").alias("f"))
+    tf = sized.select("id", "__len", F.explode(entries).alias("e")).select("id", "__len", "e.term", "e.w").join(few(terms, n_queries), "term", "left_semi").groupBy("id", "__len", "term").agg(F.sum("w").alias("f"))
     df = tf.groupBy("term").agg(F.count_if(F.col("f") > 0).alias("n"))  # reads f, so that tf's shuffle runs once
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("__len") / F.col("avg_len")))
     weighted = queries.join(df, "term")  # as many rows as queries at most
-    hits = tf.join(F.broadcast(weighted) if queries.count() <= FEW else weighted, "term").crossJoin(F.broadcast(corpus))  # one row
+    hits = tf.join(few(weighted, n_queries), "term").crossJoin(F.broadcast(corpus))  # one row
     return hits.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"))
 
 

@@ -56,7 +56,8 @@ select query_id, doc_id, row_number() over (partition by query_id order by wide_
 def search_tier_filter(spark, sf_dir):
     docs = titled(spark, sf_dir)
     asked = S.query_tokens(benchmark(spark, sf_dir))
-    scores = S.tfidf_scores(S.postings(docs, asked), asked, docs.count()).withColumn("score", F.round("score", 6))
+    n = asked.count()
+    scores = S.tfidf_scores(S.postings(docs, asked, n_only=n), asked, docs.count(), n_queries=n, cut=True).withColumn("score", F.round("score", 6))
     return S.over_fetch(scores.join(docs.select("doc_id", "lang"), "doc_id"), F.col("lang") == "en", 10, 4, F.desc("score"), "doc_id").select("query_id", "doc_id", "rank")
 
 
@@ -95,11 +96,11 @@ bm as (
 lex as (select query_id, doc_id, round(bm25, 6) as bm25, row_number() over (partition by query_id order by round(bm25, 6), doc_id) as rank from bm qualify rank <= 64)"""
 
 
-def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def bm25_ranked(spark: SparkSession, sf_dir: str, k: int, n_queries: int | None = None) -> DataFrame:
     docs = spread(titled(spark, sf_dir))
     rows = docs.select("doc_id", F.array(F.lower("source")).alias("c1"), F.array(F.lower("lang")).alias("c2"), X.tokenize("title").alias("c3"), X.tokenize("content").alias("c4"))
     terms = S.query_tokens(benchmark(spark, sf_dir)).select("query_id", "term")
-    scores = S.bm25_scores(rows, terms, list(zip(("c1", "c2", "c3", "c4"), S.BM25_WEIGHTS)), id_col="doc_id").select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+    scores = S.bm25_scores(rows, terms, list(zip(("c1", "c2", "c3", "c4"), S.BM25_WEIGHTS)), id_col="doc_id", n_queries=n_queries).select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
     return S.top_k(scores, k, "bm25", "doc_id")
 
 
@@ -117,9 +118,10 @@ select query_id, doc_id, vector_rank, lexical_rank, round(s, 9) as fusion_score,
 def rrf_fusion(spark, sf_dir):
     docs = titled(spark, sf_dir)
     asked = S.query_tokens(benchmark(spark, sf_dir))
-    scores = S.tfidf_scores(S.postings(docs, asked), asked, docs.count()).withColumn("score", F.round("score", 6))
+    n = asked.count()
+    scores = S.tfidf_scores(S.postings(docs, asked, n_only=n), asked, docs.count(), n_queries=n, cut=True).withColumn("score", F.round("score", 6))
     first = S.top_k(scores, V.VECTOR, F.desc("score"), "doc_id")
-    fused = V.fuse(first, bm25_ranked(spark, sf_dir, V.LEXICAL), id_col="doc_id")
+    fused = V.fuse(first, bm25_ranked(spark, sf_dir, V.LEXICAL, n), id_col="doc_id")
     return fused.select("query_id", "doc_id", "vector_rank", "lexical_rank", F.round("fusion_score", 9).alias("fusion_score"), "fusion_rank")
 
 
