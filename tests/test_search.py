@@ -153,9 +153,10 @@ def test_score_queries_and_macro(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 19, 20, 21])
 def test_both_percentiles(spark, n):
-    df = spark.range(1, n + 1).select(F.col("id").cast("double").alias("v"))
-    got = df.agg(F.expr("percentile_disc(0.95) within group (order by v)").alias("a"), E.floor_index("v", 0.95).alias("b")).first()
-    assert got.a == max(1, math.ceil(0.95 * n)) and got.b == int((n - 1) * 0.95) + 1
+    df = spark.range(1, n + 1).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
+    nearest = df.agg(F.expr("percentile_disc(0.95) within group (order by v)").alias("a")).first().a
+    floor = E.floor_index(df, "g", "v", {"b": 0.95}).first().b
+    assert nearest == max(1, math.ceil(0.95 * n)) and floor == int((n - 1) * 0.95) + 1
 
 
 def test_candidate_thresholds(spark):
@@ -179,5 +180,5 @@ def test_identifiers_of_every_document(spark, tmp_path):
     texts = [" ".join(f"word id-{i % 70} x{i}.y" for i in range(100)), "abc ab-1 plain abc1 ab-1", "none here", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {(i, t) for i, x in enumerate(texts) for t in list(dict.fromkeys(t for t in re.findall(X.TERM, x or "") if re.search(X.IDENTIFIER, t)))[:64]}
-    got = [tuple(r) for r in search.query.queries["identifier_tokens_full"](spark, str(tmp_path)).select("doc_id", "identifier").collect()]
+    got = [tuple(r) for r in search.query.queries["identifier_tokens"](spark, str(tmp_path)).select("doc_id", "identifier").collect()]
     assert len(got) == 66 and set(got) == want
