@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessella.llm import bitplanes, chat, common, counting, dedup, htmltext, langid, mixing, nearjoin, packing, quality
+from tessella.llm import bitplanes, chat, common, counting, dedup, divergence, htmltext, langid, mixing, nearjoin, packing, periodic, quality, simhash
 
 
 def tokenizer_path(name: str) -> str:
@@ -115,6 +115,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORDS))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text: of the documents whose crc32(doc_id) ends in 0, the words from a place on repeat; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    chosen = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(common.WORD), 0)).alias("w"))
+    n = F.size("w")
+    placed = chosen.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document and, of the strongest, its exponent in thousandths; digests of all runs and of the text without repeats."""
+    found = periodic.find_runs(planted(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = found.select("doc_id", "runs", "collapsed", periodic.strongest("runs").alias("best"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,7 +154,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_chat_formatting, op2_jaccard_join, op3_language_id, op4_packing, op5_exact_dedup, op6_quality_rules, op7_source_mixing, op8_token_files, op9_html_extraction, op10_token_counts, pipeline)
+    named = (op1_chat_formatting, op2_jaccard_join, op3_language_id, op4_packing, op5_exact_dedup, op6_quality_rules, op7_source_mixing, op8_token_files, op9_html_extraction, op10_token_counts, op11_simhash, op12_periodic_runs, op13_source_divergence, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -163,6 +195,50 @@ def _mixing_sql() -> str:
     return "with " + ",\n".join(parts) + "\nselect doc_id, domain, lang, source, n_tokens, (whole + case when rest is not null and upto <= rest then 1 else 0 end)::bigint as copies from s"
 
 
+#: CRC-32 of a document's id, bit by bit.
+_CRC = "xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda acc, c: list_reduce([xor(acc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"
+
+
+def _runs_sql() -> str:
+    width = periodic.LEAST - periodic.LEAST // periodic.TIMES
+    return rf"""
+with h as (select doc_id, coalesce(regexp_extract_all(text, '{_SQL_WORD}'), []) as w, {_CRC} as h from documents)
+, s as (select doc_id, w, len(w) as n, h, h // 10 as g from h)
+, k as (select *, case when n > 0 then g % n else 0 end as a from s)
+, p as (select *, 1 + (n - a) // (3 + g % 8) as p from k)
+, t as (select doc_id, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: case when i >= a then w[a + (i - a) % p + 1] else w[i + 1] end) else w end as w from p)
+, v as (select doc_id, i, array_to_string(w[i + 1:i + {width}], ' ') as x from (select doc_id, w, unnest(range(len(w) - {width - 1})) as i from t))
+, r as (select doc_id, i, x from v qualify count(*) over (partition by doc_id, x) > 1)
+, e as (select doc_id, a.i, b.i - a.i as q from r a join r b using (doc_id, x) where b.i > a.i)
+, l as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from e)
+, z as (select doc_id, min(i) as start, max(i) - min(i) + {width} + q as length, q from l group by doc_id, q, island)
+, u as (select doc_id, start, length, min(q) as period from z where length >= greatest({periodic.LEAST}, {periodic.TIMES} * q) group by doc_id, start, length)
+, b as (select * from u qualify row_number() over (partition by doc_id order by length / period desc, start, period) = 1)
+, d as (select doc_id, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines, count(*) as n_runs from u group by doc_id)
+, gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from u)
+, kept as (select doc_id, string_agg(w, ' ' order by i) as c from (select doc_id, unnest(w) as w, unnest(range(len(w))) as i from t) anti join gone using (doc_id, i) group by doc_id)
+select t.doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.start, b.length, b.period, (1000 * b.length) // b.period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(c, '')) as collapsed_sha256
+from t left join d using (doc_id) left join b using (doc_id) left join kept using (doc_id)"""
+
+
+def _divergence_sql() -> str:
+    share = lambda n, total: f"1 + (({divergence.SCALE}::hugeint * ({n} + {divergence.ADD})) // ({total} + {divergence.ADD} * v))::bigint"
+    return rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as t from documents)
+, u as (select r, lang, source, unnest(t) as term from d)
+, k as (select lang, term, count(*) as lang_n from u group by lang, term having count(distinct r) >= {divergence.LEAST})
+, l as (select lang, count(*) as v, sum(lang_n) as lang_total from k group by lang)
+, c as (select lang, source, term, count(*) as n from u join k using (lang, term) group by all)
+, g as (select distinct lang, source from d)
+, m as (select lang, source, sum(n) as total from c group by all)
+, p as (select g.lang, g.source, k.term, coalesce(n, 0) as n, {share('coalesce(n, 0)', 'coalesce(total, 0)')} as p, {share('lang_n', 'lang_total')} as q
+  from g join k using (lang) join l using (lang) left join m using (lang, source) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term)
+, s as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all)
+, pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source)
+, terms as (select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q)
+select lang, source, part, item, value, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from (from pairs union all from terms) qualify part = 'pair' or rank <= {divergence.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     escaped = lambda c: rf"regexp_replace({c}, '<(\\*)\|', '<\1\\|', 'g')"
     return {
@@ -193,4 +269,6 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id, co
   doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept, sha256(coalesce(text, '')) as text_sha256
 from documents""",
         "op7_source_mixing": _mixing_sql(),
+        "op12_periodic_runs": _runs_sql(),
+        "op13_source_divergence": _divergence_sql(),
     }
