@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.operators.segments import Segments
 from tessella.session import spread
 
 
@@ -51,18 +52,23 @@ def minus(base: DataFrame, key: str, *others: DataFrame) -> DataFrame:
 
 
 def as_of(points: DataFrame, versions: DataFrame, key: str, at: str, created: str) -> DataFrame:
-    """points with the columns of the newest version not after them: equi join, then the last by time.
+    """points with the columns of the newest version not after them, and `ambiguous`: two versions share that time.
 
-    ambiguous: two versions share that time.  Points without a version are left out.
+    Points and versions are one table, sorted once by key and time, along which the
+    last version is carried on; no point meets more than one, and hot keys are cut
+    into segments.  Of versions of one time the largest by its columns counts.
+    Points without a version are left out, as are null keys and times.
     """
+    names = points.columns
     extra = [c for c in versions.columns if c not in (key, created)]
-    v = versions.select(key, created, *extra)
-    hits = points.join(v, key).where(F.col(created) <= F.col(at))
-    names = [c for c in points.columns]
-    newest = F.max(F.col(created)).alias("__newest")
-    latest = hits.groupBy(*names).agg(newest, F.max_by(F.struct(created, *extra), F.struct(created, *extra)).alias("__v"), F.count_if(F.lit(True)).alias("__n"))
-    ties = hits.join(latest.select(*names, "__newest"), names).where(F.col(created) == F.col("__newest")).groupBy(*names).agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
-    return latest.join(ties, names).select(*names, "__v.*", "ambiguous")
+    v = versions.where(F.col(key).isNotNull() & F.col(created).isNotNull())
+    v = v.groupBy(key, created).agg(F.max(F.struct(created, *extra)).alias("__v"), F.count(F.lit(1)).alias("__n"))
+    # Where times are equal, versions stand before points.
+    olds = v.select(key, F.col(created).alias("__at"), F.lit(0).alias("__kind"), F.struct("__v", "__n").alias("__version"))
+    news = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*names).alias("__point"))
+    cut = Segments(olds.unionByName(news, allowMissingColumns=True), key, "__at", "__kind")
+    held = cut.last_known(cut.rows, F.col("__version"), "__held").where("__kind = 1 and __held is not null")
+    return held.select("__point.*", "__held.__v.*", (F.col("__held.__n") > 1).alias("ambiguous"))
 
 
 def set_parity(left: DataFrame, right: DataFrame, key: str, samples: int = 20) -> DataFrame:

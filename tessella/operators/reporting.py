@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.operators.segments import Segments
 from tessella.session import durable
 
 
@@ -19,23 +20,23 @@ def flag_rate(log: DataFrame, flag: Column, *by: str) -> DataFrame:
 
 
 def running_total(log: DataFrame, session: str, value: str, *order: str) -> DataFrame:
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("running", F.sum(value).over(w))
+    """log with `running`, the session's sum up to each row; sessions of any size (see segments)."""
+    cut = Segments(log, session, *order)
+    return cut.done(cut.running_sum(cut.rows, F.col(value), "running"))
 
 
 def first_crossing(log: DataFrame, session: str, value: str, threshold: float, *order: str) -> DataFrame:
     """The first row of each session whose running total reaches the threshold."""
-    run = running_total(log, session, value, *order)
-    crossed = F.row_number().over(Window.partitionBy(session).orderBy(*order))
-    return run.where(F.col("running") >= threshold).withColumn("__n", crossed).where("__n = 1").drop("__n")
+    run = running_total(log, session, value, *order).where(F.col("running") >= threshold)
+    return run.groupBy(F.col(session).alias("__s")).agg(F.min_by(F.struct(*run.columns), F.struct(*order)).alias("__r")).select("__r.*")
 
 
 def islands(rows: DataFrame, group: str, place: Column, gap: float, *ties: str) -> DataFrame:
-    """rows with `island`, from 0: a new one begins where the previous row is more than `gap` away."""
-    w = Window.partitionBy(group).orderBy("__place", *ties)
-    rows = rows.withColumn("__place", place)
-    new = F.coalesce((F.col("__place") - F.lag("__place").over(w) > gap).cast("int"), F.lit(0))
-    return rows.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new", "__place")
+    """rows with `island`, from 0: a new one begins where the previous row is more than `gap` away; groups of any size (see segments)."""
+    cut = Segments(rows.withColumn("__place", place), group, "__place", *ties)
+    placed = cut.last_before(cut.rows, F.col("__place"), "__last")
+    new = F.coalesce((F.col("__place") - F.col("__last") > gap).cast("int"), F.lit(0))
+    return cut.done(cut.running_sum(placed, new, "island")).drop("__place", "__last")
 
 
 def sequence_report(rows: DataFrame, group: str, number: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tessella import schemas
 from tessella.plans.registry import Registry, table
 from tessella.plans.streams import drained
-from tessella.session import shared_dir
+from tessella.session import durable, shared_dir
 from tessella.sources import outbox as O, readers as S
 from tessella.streaming import consumer as W
 
@@ -282,6 +282,29 @@ def consumer_dead_letters(spark, sf_dir):
     return _consumed(spark, sf_dir).dead_letters(1)
 
 
+@query("select true as blocked, 1::bigint as intent, 0::bigint as done, count(*) filter (where event_id % 2 = 0) as n_known, (select count(*) from events where event_id % 3 = 0)::bigint as n_after, false as blocked_after from events")
+def consumer_marker(spark, sf_dir):
+    """The marker after a batch whose apply fails, with the events known then; and both once the batch has run again."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.sha2("event_type", 256).alias("digest"))
+    i = F.col("event_id").cast("long")
+
+    def apply(batch: DataFrame, version: int) -> None:
+        if version == 1 and not mended:
+            raise RuntimeError("the sink is down")
+
+    mended: list[bool] = []
+    c = W.Consumer(spark, place(spark, "consumer"), apply)
+    c.batch(e.where(i % 2 == 0), 0)
+    try:
+        c.batch(e.where(i % 3 == 0), 1)
+    except RuntimeError:
+        mended.append(True)
+    failed = durable(c.marker().crossJoin(c.events().agg(F.count(F.lit(1)).alias("n_known"))), "marker")  # one row each
+    c.batch(e.where(i % 3 == 0), 1)
+    after = c.marker().select(F.col("blocked").alias("blocked_after")).crossJoin(c.events().where(i % 3 == 0).agg(F.count(F.lit(1)).alias("n_after")))  # one row each
+    return failed.crossJoin(after)
+
+
 @query("with a as (select *, case when epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts)) >= 3600 then 1 else 0 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a) select min(ts) as start, max(ts) + interval 1 hour as end, user_id, count(*) as n from b group by user_id, s")
 def stream_session_windows(spark, sf_dir):
     """Sessions with gaps of an hour, over a stream that ends."""

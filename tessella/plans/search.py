@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions import text as X
-from tessella.operators import evaluate as E, search as S, vector as V
-from tessella.session import spread
+from tessella.operators import evaluate as E, index as I, search as S, vector as V
+from tessella.session import shared_dir, spread
 from tessella.plans.registry import SQL_SCORES, SQL_TFIDF, Registry, sql_terms, sql_tokens, table, titled
 
 query = Registry()
@@ -19,9 +19,18 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The persisted index of documents: the first search builds it, later ones and other queries read it."""
+    return I.opened(titled(spark, sf_dir), shared_dir(spark), I.documents_key(spark, f"{sf_dir}/documents.parquet"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.query_tokens(benchmark(spark, sf_dir))
+
+
 @query(f"with {SQL_SCORES} select query_id, doc_id, score, rank from (select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, title, doc_id) as rank from score join d using (doc_id)) where rank <= 10")
 def tfidf_search_topk(spark, sf_dir):
-    return S.tfidf_search(titled(spark, sf_dir), benchmark(spark, sf_dir))
+    return indexed(spark, sf_dir).tfidf(asked(spark, sf_dir), 10, "title", "doc_id", title=True)
 
 
 @query(f"with {SQL_TFIDF} select term, df, round(ln((select count(*) from documents) / (df + 1)), 9) as idf from dfs")
@@ -45,7 +54,7 @@ select query_id, doc_id, rank, case when pos is null then regexp_replace(content
 )
 def search_snippet(spark, sf_dir):
     docs, queries = titled(spark, sf_dir), benchmark(spark, sf_dir)
-    return S.snippets(S.tfidf_search(docs, queries, k=3), docs, queries).select("query_id", "doc_id", "rank", "snippet")
+    return S.snippets(indexed(spark, sf_dir).tfidf(asked(spark, sf_dir), 3, "title", "doc_id", title=True), docs, queries).select("query_id", "doc_id", "rank", "snippet")
 
 
 @query(
@@ -54,11 +63,8 @@ wide as (select query_id, doc_id, lang, row_number() over (partition by query_id
 select query_id, doc_id, row_number() over (partition by query_id order by wide_rank) as rank from wide where lang = 'en' qualify rank <= 10"""
 )
 def search_tier_filter(spark, sf_dir):
-    docs = titled(spark, sf_dir)
-    asked = S.query_tokens(benchmark(spark, sf_dir))
-    n = asked.count()
-    scores = S.tfidf_scores(S.postings(docs, asked, n_only=n), asked, docs.count(), n_queries=n, cut=True).withColumn("score", F.round("score", 6))
-    return S.over_fetch(scores.join(docs.select("doc_id", "lang"), "doc_id"), F.col("lang") == "en", 10, 4, F.desc("score"), "doc_id").select("query_id", "doc_id", "rank")
+    wide = indexed(spark, sf_dir).tfidf(asked(spark, sf_dir), 40, "doc_id").join(titled(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    return S.top_k(wide.where("lang = 'en'").withColumnRenamed("rank", "wide_rank"), 10, "wide_rank").select("query_id", "doc_id", "rank")
 
 
 @query(f"select item_id as query_id, array_to_string(coalesce({sql_terms('text')}, []), ' ') as terms, len(coalesce({sql_terms('text')}, [])) as n_terms from benchmark")
@@ -96,17 +102,9 @@ bm as (
 lex as (select query_id, doc_id, round(bm25, 6) as bm25, row_number() over (partition by query_id order by round(bm25, 6), doc_id) as rank from bm qualify rank <= 64)"""
 
 
-def bm25_ranked(spark: SparkSession, sf_dir: str, k: int, n_queries: int | None = None) -> DataFrame:
-    docs = spread(titled(spark, sf_dir))
-    rows = docs.select("doc_id", F.array(F.lower("source")).alias("c1"), F.array(F.lower("lang")).alias("c2"), X.tokenize("title").alias("c3"), X.tokenize("content").alias("c4"))
-    terms = S.query_tokens(benchmark(spark, sf_dir)).select("query_id", "term")
-    scores = S.bm25_scores(rows, terms, list(zip(("c1", "c2", "c3", "c4"), S.BM25_WEIGHTS)), id_col="doc_id", n_queries=n_queries).select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
-    return S.top_k(scores, k, "bm25", "doc_id")
-
-
 @query(f"with {BM25_SQL} select query_id, doc_id, bm25, rank from lex where rank <= 10")
 def bm25_search_topk(spark, sf_dir):
-    return bm25_ranked(spark, sf_dir, 10)
+    return indexed(spark, sf_dir).bm25(asked(spark, sf_dir), 10, "doc_id")
 
 
 @query(
@@ -116,12 +114,8 @@ f as (select coalesce(v.query_id, l.query_id) as query_id, coalesce(v.doc_id, l.
 select query_id, doc_id, vector_rank, lexical_rank, round(s, 9) as fusion_score, row_number() over (partition by query_id order by round(s, 12) desc, doc_id) as fusion_rank from f qualify fusion_rank <= 96"""
 )
 def rrf_fusion(spark, sf_dir):
-    docs = titled(spark, sf_dir)
-    asked = S.query_tokens(benchmark(spark, sf_dir))
-    n = asked.count()
-    scores = S.tfidf_scores(S.postings(docs, asked, n_only=n), asked, docs.count(), n_queries=n, cut=True).withColumn("score", F.round("score", 6))
-    first = S.top_k(scores, V.VECTOR, F.desc("score"), "doc_id")
-    fused = V.fuse(first, bm25_ranked(spark, sf_dir, V.LEXICAL, n), id_col="doc_id")
+    index, terms = indexed(spark, sf_dir), asked(spark, sf_dir)
+    fused = V.fuse(index.tfidf(terms, V.VECTOR, "doc_id"), index.bm25(terms, V.LEXICAL, "doc_id"), id_col="doc_id")
     return fused.select("query_id", "doc_id", "vector_rank", "lexical_rank", F.round("fusion_score", 9).alias("fusion_score"), "fusion_rank")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.functions.ids import bucketed_digest
+from tessella.sources.keyed import KeyedTable
 
 UNITS, MANIFEST = "units", "manifest"
 
@@ -55,11 +56,13 @@ def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, version: int) -> DataFrame:
-    """Merges rows into a versioned table: version=n is written whole from version=n-1; repeating a version gives the same."""
-    if version > 0:
-        new = merge_by_key(spark.read.parquet(f"{path}/version={version - 1}"), new, key)
-    new.write.mode("overwrite").parquet(f"{path}/version={version}")
-    return spark.read.parquet(f"{path}/version={version}")
+    """Merges rows into a table by key: only the hash buckets of the new keys are rewritten; a version that was applied changes nothing.
+
+    The table's earlier state is gone: results that read it have to be written before.
+    """
+    table = KeyedTable(spark, path, key, new.schema)
+    table.upsert(new, version)
+    return table.rows()
 
 
 def snapshot(cache: DataFrame, path: str) -> None:

@@ -9,52 +9,60 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tessella.session import durable
+from tessella.sources.keyed import BUCKETS, KeyedTable
+
+
+EVENTS = "event_id string, digest string, status string, batch long"
+LETTERS = "event_id string, digest string, reason string, occurrences long, first_batch long, last_batch long"
+
 
 class Consumer:
     """Consumes receipts (event_id, digest, payload columns) by micro-batch with an exactly-once effect.
 
-    State is a versioned table, one version a batch, so a batch that runs again
-    writes what it wrote.  A known event with the same digest is skipped; with
-    another digest it is a dead letter; a new one is handed to `apply` once.  A
-    failure marker is written before `apply` and cleared after it, and blocks
-    reconciliation until then.
+    Known events and dead letters are tables in hash buckets by event; a batch
+    reads and rewrites the buckets of its own events, so its cost goes with the
+    batch.  A known event with the same digest is skipped; with another digest it
+    is a dead letter; a new one is handed to `apply` once.  The marker, one row,
+    says which batch began to apply and which has ended; between the two it blocks
+    reconciliation.  A batch that runs again decides as it did, since it does not
+    see its own events, and what it has written it does not write again.
     """
 
-    def __init__(self, spark: SparkSession, state: str, apply: Callable[[DataFrame, int], None], current: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, state: str, apply: Callable[[DataFrame, int], None], current: DataFrame | None = None, buckets: int = BUCKETS):
         self.spark, self.state, self.apply, self.current = spark, state.rstrip("/"), apply, current
-
-    def _path(self, kind: str, version: int) -> str:
-        return f"{self.state}/{kind}/version={version}"
-
-    def _read(self, kind: str, version: int, schema: str) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(kind, version))
-
-    def events(self, version: int) -> DataFrame:
-        return self._read("events", version, "event_id string, digest string, status string, batch long")
-
-    def dead_letters(self, version: int) -> DataFrame:
-        return self._read("dead", version, "event_id string, digest string, reason string, occurrences long, first_batch long, last_batch long")
+        self.known = KeyedTable(spark, f"{self.state}/events", "event_id", EVENTS, buckets)
+        self.dead = KeyedTable(spark, f"{self.state}/dead", "event_id", LETTERS, buckets)
+        self.marks = KeyedTable(spark, f"{self.state}/marker", "name", "name string, intent long, done long", 1)
+
+    def events(self, upto: int | None = None) -> DataFrame:
+        """Known events; of batches up to one, if given."""
+        rows = self.known.rows()
+        return rows if upto is None else rows.where(F.col("batch") <= upto)
+
+    def dead_letters(self, upto: int | None = None) -> DataFrame:
+        """Dead letters as they are now; those first seen in batches up to one, if given."""
+        rows = self.dead.rows()
+        return rows if upto is None else rows.where(F.col("first_batch") <= upto)
+
+    def marker(self) -> DataFrame:
+        """One row: the batch that last began to apply and the one that last ended, -1 for none; blocked if they differ."""
+        none = self.spark.range(1).select(F.lit(-1).cast("long").alias("intent"), F.lit(-1).cast("long").alias("done"))
+        both = self.marks.rows().select("intent", "done").unionByName(none)
+        return both.agg(F.max("intent").alias("intent"), F.max("done").alias("done")).withColumn("blocked", F.col("intent") > F.col("done"))
 
     def blocked(self) -> bool:
         """Whether a batch began to apply and has not ended."""
-        done = self._markers("done")
-        return bool(self._markers("intent") - done)
-
-    def _markers(self, kind: str) -> set[int]:
-        try:
-            return {r.batch for r in self.spark.read.schema("batch long").parquet(f"{self.state}/{kind}").distinct().collect()}
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return set()
-            raise
+        return self.marker().first().blocked
 
-    def _mark(self, kind: str, batch: int) -> None:
-        self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).coalesce(1).write.mode("append").parquet(f"{self.state}/{kind}")
+    def _mark(self, intent: int, done: int) -> None:
+        row = self.spark.range(1).select(F.lit("batch").alias("name"), F.lit(intent).cast("long").alias("intent"), F.lit(done).cast("long").alias("done"))
+        self.marks.replace(row, intent)
 
     def batch(self, receipts: DataFrame, version: int) -> None:
-        known, dead = self.events(version - 1), self.dead_letters(version - 1)
+        marker = self.marker().first()
+        touched = self.known.touched(receipts)
+        known = self.known.stored(touched).where(F.col("batch") < version)
         # Of receipts of one event in a batch, the first by digest counts; others are conflicts.
         first = receipts.groupBy("event_id").agg(F.min("digest").alias("digest"))
         conflicts = receipts.select("event_id", "digest").join(first, ["event_id", "digest"], "left_anti")
@@ -66,15 +74,21 @@ class Consumer:
             fresh = fresh.join(now, "event_id", "left").select("event_id", "digest", F.when(F.col("__now").isNotNull() & (F.col("__now") != F.col("digest")), "stale").otherwise("completed").alias("status"))
         else:
             fresh = fresh.withColumn("status", F.lit("completed"))
-        todo = receipts.join(fresh.where("status = 'completed'").select("event_id", "digest"), ["event_id", "digest"], "left_semi").dropDuplicates(["event_id"])
-        if version not in self._markers("done"):
-            self._mark("intent", version)
+        fresh, changed = durable(fresh, "fresh"), durable(changed, "changed")
+        if marker.done < version:
+            self._mark(version, marker.done)
+            todo = receipts.join(fresh.where("status = 'completed'").select("event_id", "digest"), ["event_id", "digest"], "left_semi").dropDuplicates(["event_id"])
             self.apply(todo, version)
         letters = changed.select("event_id", "digest", F.lit("changed-content").alias("reason"), F.lit(1).cast("long").alias("occurrences"), F.lit(version).cast("long").alias("first_batch"), F.lit(version).cast("long").alias("last_batch"))
-        merged = dead.unionByName(letters).groupBy("event_id", "digest", "reason").agg(F.sum("occurrences").alias("occurrences"), F.min("first_batch").alias("first_batch"), F.max("last_batch").alias("last_batch"))
-        merged.select("event_id", "digest", "reason", "occurrences", "first_batch", "last_batch").write.mode("overwrite").parquet(self._path("dead", version))
-        known.unionByName(fresh.withColumn("batch", F.lit(version).cast("long"))).write.mode("overwrite").parquet(self._path("events", version))
-        self._mark("done", version)
+        merged = self._letters(letters).unionByName(letters).groupBy("event_id", "digest", "reason").agg(F.sum("occurrences").alias("occurrences"), F.min("first_batch").alias("first_batch"), F.max("last_batch").alias("last_batch"))
+        self.dead.upsert(merged, version)
+        self.known.upsert(fresh.withColumn("batch", F.lit(version).cast("long")), version)
+        self._mark(version, version)
+
+    def _letters(self, letters: DataFrame) -> DataFrame:
+        """The dead letters so far of these events, from their buckets."""
+        old = self.dead.stored(self.dead.touched(letters)).select(*self.dead.columns)
+        return old.join(letters.select("event_id").distinct(), "event_id", "left_semi")
 
     def start(self, receipts: DataFrame, checkpoint: str) -> StreamingQuery:
         return receipts.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
