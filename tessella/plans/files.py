@@ -19,6 +19,9 @@ from tessella.streaming import consumer as W
 
 query = Registry()
 
+#: Hash buckets of the consumers' state: a million events or so each are enough for a bucket.
+FEW_BUCKETS = 8
+
 
 def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -264,7 +267,7 @@ def _consumed(spark, sf_dir) -> W.Consumer:
     e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.sha2("event_type", 256).alias("digest"))
     i = F.col("event_id").cast("long")
     current = e.select("event_id", F.when(i % 5 == 0, "newer").otherwise(F.col("digest")).alias("digest"))
-    c = W.Consumer(spark, place(spark, "consumer"), lambda batch, version: batch.count(), current)
+    c = W.Consumer(spark, place(spark, "consumer"), lambda batch, version: batch.count(), current, buckets=FEW_BUCKETS)
     c.batch(e.where(i % 2 == 0), 0)
     again = e.withColumn("digest", F.when((i % 7 == 0) & (i % 2 == 0), "changed").otherwise(F.col("digest")))
     for _ in range(2):  # a batch that runs again changes nothing
@@ -293,7 +296,7 @@ def consumer_marker(spark, sf_dir):
             raise RuntimeError("the sink is down")
 
     mended: list[bool] = []
-    c = W.Consumer(spark, place(spark, "consumer"), apply)
+    c = W.Consumer(spark, place(spark, "consumer"), apply, buckets=FEW_BUCKETS)
     c.batch(e.where(i % 2 == 0), 0)
     try:
         c.batch(e.where(i % 3 == 0), 1)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tessella.session import durable
-
 #: Buckets of a table, for its life; each is one directory and, with one writer a bucket, one file.
 BUCKETS = 64
 BUCKET, APPLIED = "bucket", "applied"
@@ -49,9 +47,8 @@ class KeyedTable:
     def replace(self, rows: DataFrame, version: int) -> None:
         """Writes whole buckets: all rows of theirs that shall stay."""
         made = rows.select(*self.columns, F.lit(version).cast("long").alias(APPLIED), self.bucket().alias(BUCKET))
-        # Written aside first: a bucket is read until then and replaced after it.
-        aside = durable(made.repartition(BUCKET), "buckets")
-        aside.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        # The buckets' files are replaced when the job is committed, so they can be read until then.
+        made.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def upsert(self, new: DataFrame, version: int) -> None:
         """The new rows, and the old ones with other keys; null keys are equal."""
