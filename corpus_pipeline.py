@@ -11,7 +11,7 @@ empty table gives an empty one.  The module is part of tessella.llm and needs it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessella.llm import catalog, common, dedup, langid, mixing, nearjoin, packing
 
@@ -51,27 +51,36 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are equal.  A null id is smaller than any other.  Rows go
     by id and text, so an id that is null or stands for several texts loses none.
+    Of rows that are equal in both, the first by their columns as JSON stays.
     """
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     marked = common.written(dedup.exact_dedup(docs).select(F.struct("doc_id", F.unhex("text_sha256")).alias("row"), first.alias("first"), "kept"), "marked")
     named = docs.withColumn("__row", F.struct("doc_id", F.unhex(F.sha2(common.text_or_empty("text"), 256))))
     left = common.matched(named, marked.where("not first").select(F.col("row").alias("__row")), "__row", "left_anti")
-    return (left if marked.where("first and not kept").isEmpty() else left.dropDuplicates(["__row"])).select(docs.columns)
+    if not marked.where("first and not kept").isEmpty():
+        # Of rows that differ in other columns only, the first in the order of their JSON.
+        whole = F.struct(*docs.columns)
+        left = left.groupBy("__row").agg(F.min_by(whole, F.to_json(whole)).alias("__kept")).select("__kept.*")
+    return left.select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id; texts without words stay.
 
     A row whose id is null or that of several rows is a document of its own and
-    gives way to the others of its group; rows equal in id and text are one.
+    gives way to the others of its group; rows equal in id and text are one.  Ids
+    that are not integers go by their order as text where an id is null or repeated.
     """
     key, rows = "doc_id", docs
     several = common.written(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "several")
     if not several.isEmpty():
         key = "__near_node"
-        own = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+        own, named = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)), F.col("doc_id")
+        if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+            # Beside ids of another type the numbers are strings, after all ids in order.
+            own, named = F.concat(F.lit("\U0010ffff"), own.cast("string")), F.col("doc_id").cast("string")
         odd = several.select(F.col("doc_id").alias("__near_id"), F.lit(True).alias("__near_odd"))
-        rows = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("__near_id")), "left").withColumn(key, F.when(F.col("__near_odd"), own).otherwise(F.col("doc_id")))
+        rows = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("__near_id")), "left").withColumn(key, F.when(F.col("__near_odd"), own).otherwise(named))
     groups = common.written(nearjoin.jaccard_components(rows, id_col=key), "groups")
     gone = groups.where(F.col(key) != F.col("component_id")).select(key)
     return common.matched(rows, gone, key, "left_anti").select(docs.columns)
