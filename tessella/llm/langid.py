@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessella.llm import common
@@ -19,7 +19,7 @@ BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 SAMPLE, LANGUAGES = 3000, 256
 #: What a text without a letter gets.
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: N-grams x languages scored at a time.
 CELLS = 4 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint32)

@@ -21,6 +21,8 @@ from tessella.llm import common, tokenizing
 
 #: Sequence numbers: this many per partition of the scan.
 SEQUENCES_PER_PARTITION = 1 << 40
+#: Pieces below this many ids are differenced in bundles of up to as many; so many fine cuts of a group are not, as they level its windows.
+BUNDLE, LOOSE = 64, 4096
 #: Rows of a batch that leaves a worker, 8 KB each at most for windows of 2048 ids.
 ROWS = 1000
 
@@ -94,7 +96,11 @@ def chunks(length: int, most: int, fine: bool) -> list[int]:
 
 
 class _Group:
-    """Remainders of one partition until they fill `windows_a_group` windows."""
+    """Remainders of one partition until they fill `windows_a_group` windows.
+
+    Differencing holds a window's worth of numbers for every item, so small pieces
+    go in bundles: of documents of one id too there are some 16,000 items a group.
+    """
 
     def __init__(self, capacity: int, most: int, fine_every: int, spare: float):
         self.capacity, self.most, self.fine_every, self.spare = capacity, most, fine_every, spare
@@ -102,28 +108,47 @@ class _Group:
         self.clear()
 
     def clear(self) -> None:
-        self.pieces: list[tuple[Any, int, bytes, int]] = []
+        self.items: list[list[tuple[Any, int, bytes, int]]] = []
         self.sizes: list[int] = []
-        self.total = 0
+        self.total = self.loose = 0
+        self.open = -1
 
     def add(self, doc_id: Any, start: int, ids: bytes, doc_tokens: int) -> None:
         length, at = len(ids) // 4, 0
-        for size in chunks(length, self.most, self.seen % self.fine_every == 0):
-            self.pieces.append((doc_id, start + at, ids[4 * at : 4 * (at + size)], doc_tokens))
-            self.sizes.append(size)
+        fine = self.seen % self.fine_every == 0
+        for size in chunks(length, self.most, fine):
+            self.put((doc_id, start + at, ids[4 * at : 4 * (at + size)], doc_tokens), size, fine)
             at += size
         self.seen += 1
         self.total += length
 
-    def flush(self) -> tuple[list[tuple[Any, int, bytes, int, int, int]], int]:
+    def put(self, piece: tuple[Any, int, bytes, int], size: int, fine: bool) -> None:
+        loose = fine and self.loose < LOOSE
+        self.loose += loose
+        small = size < BUNDLE and not loose
+        if small and self.open >= 0 and self.sizes[self.open] + size <= BUNDLE:
+            self.items[self.open].append(piece)
+            self.sizes[self.open] += size
+            return
+        if small:
+            self.open = len(self.items)
+        self.items.append([piece])
+        self.sizes.append(size)
+
+    def flush(self) -> tuple[Iterator[tuple[Any, int, bytes, int, int, int]], int]:
         """(piece, window, offset) rows and the number of windows."""
         window, k = windows(np.asarray(self.sizes, np.int64), self.capacity, self.spare)
-        offset, out = [0] * k, []
-        for piece, size, w in zip(self.pieces, self.sizes, window.tolist()):
-            out.append((*piece, w, offset[w]))
-            offset[w] += size
+        items = self.items
         self.clear()
-        return out, k
+
+        def rows() -> Iterator[tuple[Any, int, bytes, int, int, int]]:
+            offset = [0] * k
+            for item, w in zip(items, window.tolist()):
+                for piece in item:
+                    yield (*piece, w, offset[w])
+                    offset[w] += len(piece[2]) // 4
+
+        return rows(), k
 
 
 def pack_documents(
@@ -162,10 +187,13 @@ def pack_documents(
             rows.clear()
             return made
 
-        def flush() -> None:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             placed, k = group.flush()
-            rows.extend((d, s, len(i) // 4, i, n, sequence + w, o) for d, s, i, n, w, o in placed)
+            for d, s, i, n, w, o in placed:
+                rows.append((d, s, len(i) // 4, i, n, sequence + w, o))
+                if len(rows) > ROWS:
+                    yield batch()
             sequence += k
 
         for whole in batches:
@@ -183,11 +211,11 @@ def pack_documents(
                     if full < n:
                         group.add(doc_id, full, ids[4 * full :], n)
                     if group.total >= windows_a_group * capacity:
-                        flush()
+                        yield from flush()
                     if len(rows) > ROWS:
                         yield batch()
-        if group.pieces:
-            flush()
+        if group.items:
+            yield from flush()
         if rows:
             yield batch()
 

@@ -135,3 +135,24 @@ def test_stages_carry_other_columns(spark, sf_dir):
         columns = docs.columns
         docs = stage(spark, docs, sf_dir)
         assert docs.count() > 0 and (name == "packing" or docs.columns == columns)
+
+
+def test_stages_with_ids_of_text(spark, sf_dir):
+    """Ids of another type, null and repeated: no stage fails or loses a text."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [("1", a), ("2", a + " more"), ("x", b), (None, b + " more"), (None, "lonely words only here"), ("2", "other words altogether in this row")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id string, text string, lang string, source string, n_chars long")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert {("1", a), (None, "lonely words only here"), ("2", "other words altogether in this row")} <= left and len(left) == 4
+    assert sum(t in (b, b + " more") for _, t in left) == 1
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() > 0
+
+
+def test_exact_stage_of_rows_that_differ_elsewhere(spark, sf_dir):
+    """The same row stays however the rows are dealt."""
+    rows = [(1, "t", "en", "s2", 5), (1, "t", "en", "s1", 5), (1, "t", "de", "s9", 5)]
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        assert [(r.lang, r.source) for r in corpus_pipeline.exact_dedup(spark, docs, sf_dir).collect()] == [("de", "s9")]

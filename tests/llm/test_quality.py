@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,9 @@ def test_batches_do_not_matter(spark, monkeypatch, cells):
     monkeypatch.setattr(langid, "CELLS", cells)
     got = model.score(texts)
     assert [x for x, _ in got] == [x for x, _ in want] and all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got, want))
+
+
+def test_numbers_and_marks_are_no_letters(spark):
+    model = langid.Model(["de", "en"], np.zeros(2), np.zeros((langid.BUCKETS, 2), np.float32))
+    texts = ["² ½", "Ⅷ ①", "12_3 !", "́", "ª", "日", "ǅ"]
+    assert [lang for lang, _ in model.score(texts)] == ["und"] * 4 + ["de"] * 3

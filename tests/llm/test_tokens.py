@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from tessella.llm import bitplanes, catalog, counting, packing, tokenizing
 
@@ -226,3 +226,28 @@ def test_count_query(spark, sf_dir, library):
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         n = len(library(r.text))
         assert got[r.doc_id] == (len(r.text.encode()), n, n > 2048)
+
+
+def test_a_group_of_one_token_documents_is_bounded():
+    """Half a million pieces of one id: few items to difference, and full windows."""
+    group = packing._Group(2048, 1024, 8, 0.003)
+    for i in range(524_288):
+        group.add(i, 0, b"\1\0\0\0", 1)
+    items = len(group.items)
+    placed, k = group.flush()
+    fill = np.zeros(k, np.int64)
+    seen = np.zeros(524_288, bool)
+    for doc, _, ids, _, w, offset in placed:
+        assert offset == fill[w] and not seen[doc]
+        fill[w] += len(ids) // 4
+        seen[doc] = True
+    assert seen.all() and fill.max() <= 2048 and 1 - fill.sum() / (2048 * k) < 0.02
+    # Two numbers a window for every item, eight bytes each.
+    assert items * k * 16 < 80 << 20
+
+
+def test_packing_a_partition_of_empty_texts(spark):
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").alias("text")).coalesce(1)
+    out = packing.pack_documents(df, catalog.tokenizer_path(catalog.WORDS))
+    r = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).agg(F.sum("n").alias("n"), F.max("end").alias("most"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") != F.col("end")).alias("gaps")).first()
+    assert r.n == 60_000 and r.most <= 2048 and r.gaps == 0 and 1 - r.n / (2048 * r.k) < 0.04
