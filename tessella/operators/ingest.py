@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.operators.segments import Segments
-from tessella.session import spread
+from tessella.operators.substrings import contains_pairs
 
 
 def newest_complete_run(runs: DataFrame) -> DataFrame:
@@ -158,66 +154,25 @@ def archive_backfill(archived: DataFrame, source: DataFrame, complete: DataFrame
 def resolve_owner(items: DataFrame, owners: DataFrame, *, item: str, text: str) -> DataFrame:
     """item and owner: of the owners with a signal in the text, the one with the earliest, then longest signal, then first in order.
 
-    owners: owner, signal, place; a short list, broadcast if counted to be one.
+    owners: owner, signal, place; any number of them.
     """
-    hits = items.select(item, F.lower(text).alias("__t")).join(F.broadcast(owners) if owners.count() <= 10_000 else owners, F.contains(F.col("__t"), F.col("signal")))
-    order = F.struct(F.position("signal", "__t").alias("at"), (-F.length("signal")).alias("l"), F.col("place"))
-    return hits.groupBy(item).agg(F.min_by("owner", order).alias("owner"))
+    signals = owners.select(F.struct("owner", "place").alias("needle_id"), F.col("signal").alias("needle"))
+    hits = contains_pairs(items.select(item, F.lower(text).alias("__t")), signals, doc=item, text="__t")
+    order = F.struct("at", (-F.length("needle")).alias("l"), "needle_id.place")
+    return hits.groupBy(item).agg(F.min_by("needle_id.owner", order).alias("owner"))
 
 
 def backlinks(documents: DataFrame, needles: DataFrame, *, doc: str, text: str) -> DataFrame:
-    """needle_id and doc of every document that has the needle.
-
-    A short list (counted) is searched for in one pass over each text, by an
-    Aho-Corasick automaton in Arrow batches; a handful, or more than a list, by a
-    substring join.  Null needles match nothing.
-    """
-    needles = needles.select("needle_id", "needle").where("needle is not null")
-    n = needles.count()
-    if HANDFUL < n <= LISTED and needles.where("needle = ''").isEmpty():
-        return _search(documents, needles, doc, text)
-    hit = documents.join(F.broadcast(needles) if n <= LISTED else needles, F.contains(F.col(text), F.col("needle")))
-    return hit.select("needle_id", doc)
-
-
-#: Needles up to which a substring join is as good, and up to which they are a list.
-HANDFUL, LISTED = 8, 10_000
-
-
-def _search(documents: DataFrame, needles: DataFrame, doc: str, text: str) -> DataFrame:
-    try:
-        import ahocorasick
-    except ImportError:
-        return documents.join(F.broadcast(needles), F.contains(F.col(text), F.col("needle"))).select("needle_id", doc)
-    listed: dict[str, list] = {}
-    for r in needles.collect():  # LISTED rows at most
-        listed.setdefault(r.needle, []).append(r.needle_id)
-    out = T.StructType([needles.schema["needle_id"], documents.schema[doc]])
-    shared = documents.sparkSession.sparkContext.broadcast(listed)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for needle, ids in shared.value.items():
-            automaton.add_word(needle, tuple(ids))
-        automaton.make_automaton()
-        for batch in batches:
-            found, rows = [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                hits = {x for _, ids in automaton.iter(value) for x in ids} if value else ()
-                found += hits
-                rows += [i] * len(hits)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, to_arrow_type(out[0].dataType)), batch.column(0).take(pa.array(rows))], names=out.names)
-
-    return spread(documents.select(doc, text)).mapInArrow(find, out)
+    """needle_id and doc of every document that has the needle; null needles match nothing."""
+    return contains_pairs(documents, needles, doc=doc, text=text).select("needle_id", doc)
 
 
 def alias_references(documents: DataFrame, aliases: DataFrame, *, doc: str, text: str) -> DataFrame:
     """alias and doc of every text that names an alias path, with slashes, dots and case as they may vary; each blocks the alias's removal."""
     flat = F.regexp_replace(F.lower(F.translate(text, "\\", "/")), r"(^|[\s(\[\"'`])\./", "$1")
-    short = aliases.select("alias", F.regexp_replace(F.lower("alias"), r"^\./|/+$", "").alias("needle"))
-    hit = documents.select(doc, flat.alias("__t")).join(F.broadcast(short) if short.count() <= 10_000 else short, F.contains(F.col("__t"), F.col("needle")))
-    return hit.select("alias", doc)
+    short = aliases.select(F.col("alias").alias("needle_id"), F.regexp_replace(F.lower("alias"), r"^\./|/+$", "").alias("needle"))
+    hit = contains_pairs(documents.select(doc, flat.alias("__t")), short, doc=doc, text="__t")
+    return hit.select(F.col("needle_id").alias("alias"), doc)
 
 
 def append_history(rows: DataFrame, changes: DataFrame, key: str, state: str = "status") -> DataFrame:

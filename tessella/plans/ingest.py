@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import ids
 from tessella.operators import classify as C, ingest as I
-from tessella.operators.search import few
+from tessella.operators.substrings import contains_pairs
 from tessella.plans.registry import Registry, table
 
 query = Registry()
@@ -244,7 +244,9 @@ def name_lookup(spark, sf_dir):
 
 @query("select p_partkey, n_nationkey from part, nation where contains(lower(p_brand), n_nationkey::varchar) or contains(lower(n_name), lower(p_brand))")
 def topic_match(spark, sf_dir):
-    """Either side contains the other; the nations are a bounded dimension."""
+    """Either side contains the other."""
     topics = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("long"), F.col("n_nationkey").cast("string").alias("t"))
-    q = F.lower("p_brand")
-    return table(spark, sf_dir, "part").join(few(topics), F.contains(q, F.col("t")) | F.contains(F.col("long"), q)).select("p_partkey", "n_nationkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("q"))
+    held = contains_pairs(parts, topics.select(F.col("n_nationkey").alias("needle_id"), F.col("t").alias("needle")), doc="p_partkey", text="q").select("p_partkey", F.col("needle_id").alias("n_nationkey"))
+    holds = contains_pairs(topics, parts.select(F.col("p_partkey").alias("needle_id"), F.col("q").alias("needle")), doc="n_nationkey", text="long").select(F.col("needle_id").alias("p_partkey"), "n_nationkey")
+    return held.unionByName(holds).distinct()

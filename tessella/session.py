@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,6 +54,16 @@ def small_batches(spark: SparkSession, size: str = "16m") -> None:
     reachable(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts take about `most` bytes; a longer text is a part of its own."""
+    if batch.num_rows:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def session(app: str = "tessella", **conf: str) -> SparkSession:
     """UTC, adaptive execution and skew-join splitting; partitions follow the cores in local mode."""
     cpus = os.environ.get("BENCH_CPUS", "8")
