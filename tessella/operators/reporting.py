@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.operators.cycles import cyclic_edges
 from tessella.operators.segments import Segments
-from tessella.session import durable
 
 
 def usage(log: DataFrame, *by: str, in_: str = "inputEst", out: str = "outputEst", ms: str = "ms", error: Column | None = None) -> DataFrame:
@@ -118,28 +118,11 @@ def legal_moves(log: DataFrame, key: str, state: str, moves: list[tuple[str, str
 
 
 def dependency_faults(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """key and fault: self, dangling or cycle; a cycle's members reach themselves, however long it is.  edges: key, dep.
-
-    Rows without an edge in or out are peeled off while that takes a tenth of the
-    edges or more.  Of the rest, who reaches whom within 1, 2, 4, ... steps is a
-    set of distinct pairs, a written table a round, until a round adds none: the
-    logarithm of the longest path, and no path is walked twice.
-    """
+    """key and fault: self, dangling or cycle; a cycle's members reach themselves, however long it is.  edges: key, dep; see cycles for the tables' sizes."""
     own = edges.where(F.col(key) == F.col("dep")).select(key, F.lit("self").alias("fault"))
     dangling = edges.join(rows.select(F.col(key).alias("dep")), "dep", "left_anti").select(key, F.lit("dangling").alias("fault"))
-    live = edges.where(F.col(key) != F.col("dep")).join(rows.select(F.col(key).alias("dep")), "dep", "left_semi").select(F.col(key).alias("a"), F.col("dep").alias("b")).distinct()
-    live = durable(live, "edges")
-    n, before = live.count(), None
-    while n and (before is None or n < 0.9 * before):
-        inner = live.join(live.select(F.col("a").alias("b")), "b", "left_semi").join(live.select(F.col("b").alias("a")), "a", "left_semi").select("a", "b")
-        live, before = durable(inner, "edges"), n
-        n = live.count()
-    reach, before = live, -1
-    while n != before:
-        further = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        reach, before = durable(reach.unionByName(further).distinct(), "reach"), n
-        n = reach.count()
-    return own.unionByName(dangling).unionByName(reach.where("a = b").select(F.col("a").alias(key), F.lit("cycle").alias("fault"))).distinct()
+    live = edges.where(F.col(key) != F.col("dep")).join(rows.select(F.col(key).alias("dep")), "dep", "left_semi").select(F.col(key).alias("a"), F.col("dep").alias("b"))
+    return own.unionByName(dangling).unionByName(cyclic_edges(live).select(F.col("a").alias(key), F.lit("cycle").alias("fault"))).distinct()
 
 
 def unmet_dependencies(rows: DataFrame, edges: DataFrame, key: str, *, done: str = "complete") -> DataFrame:

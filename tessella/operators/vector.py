@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from uuid import uuid4
@@ -130,6 +131,34 @@ def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
     return F.when(hull > 0, F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start)) / hull).otherwise(F.lit(0.0))
 
 
+def iou_pairs(spans: DataFrame, key: str, span: str, start: str, end: str, *, least: float = IOU) -> DataFrame:
+    """key, a, b: the pairs of spans of a key, a < b, whose IoU is `least` or more.
+
+    The hull of such a pair is at most the shorter one's length / least, and starts
+    differ by (1 - least) of it at most.  So spans are put into cells by class of
+    length (powers of 1 / least) and by start, and the shorter of a pair looks into
+    the few cells of its own class and the next that the longer can be in.  Spans
+    without length overlap with nothing; null keys and ends have no pairs.
+    """
+    rows = spans.select(F.col(key).alias("key"), F.col(span).alias("id"), F.col(start).alias("s"), F.col(end).alias("e")).withColumn("l", F.col("e") - F.col("s")).where("key is not null and l > 0")
+    near = _met(rows, least).where(iou(F.col("sx"), F.col("ex"), F.col("sy"), F.col("ey")) >= least).where("x <> y")
+    return near.select(F.col("key").alias(key), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """The candidates of iou_pairs: pairs x, y of a key that share a cell, x the shorter."""
+    step, slack = math.log(1 / least), (1 - least) / least
+    rows = rows.withColumn("class", F.floor(F.log("l") / step))
+    # A cell is half as wide as starts of its class can differ.
+    cell = lambda place, kind: F.floor(place / (slack / 2 * F.exp((kind + 1) * step)))
+    longer = rows.select("key", F.col("id").alias("y"), F.col("s").alias("sy"), F.col("e").alias("ey"), F.col("l").alias("ly"), "class", cell(F.col("s"), F.col("class")).alias("cell"))
+    # Logarithms are rounded: lengths are widened by more than that.
+    probes = rows.withColumn("other", F.explode(F.sequence(F.floor(F.log(F.col("l") * (1 - 1e-9)) / step), F.floor(F.log(F.col("l") / least * (1 + 1e-9)) / step))))
+    reach = F.col("l") * slack * (1 + 1e-9)
+    probes = probes.select("key", F.col("id").alias("x"), F.col("s").alias("sx"), F.col("e").alias("ex"), F.col("l").alias("lx"), F.col("other").alias("class"), F.explode(F.sequence(cell(F.col("s") - reach, F.col("other")), cell(F.col("s") + reach, F.col("other")))).alias("cell"))
+    return probes.join(longer, ["key", "class", "cell"]).where((F.col("lx") < F.col("ly")) | ((F.col("lx") == F.col("ly")) & (F.col("x") < F.col("y"))))
+
+
 def collapse(ranked: DataFrame, *, threshold: float = IOU) -> DataFrame:
     """Greedy collapse in rank order: query_id, id, rank and alternates of the rows that stay.
 

@@ -247,6 +247,4 @@ def latency_percentiles(spark, sf_dir):
 @query("select l1.l_orderkey, l1.l_linenumber as line_a, l2.l_linenumber as line_b from lineitem l1 join lineitem l2 on l1.l_orderkey = l2.l_orderkey and l1.l_linenumber < l2.l_linenumber where greatest(0, least(l1.l_quantity + l1.l_extendedprice / 1000, l2.l_quantity + l2.l_extendedprice / 1000) - greatest(l1.l_quantity, l2.l_quantity)) / (greatest(l1.l_quantity + l1.l_extendedprice / 1000, l2.l_quantity + l2.l_extendedprice / 1000) - least(l1.l_quantity, l2.l_quantity)) >= 0.8")
 def span_iou_pairs(spark, sf_dir):
     spans = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("s"), (F.col("l_quantity") + F.col("l_extendedprice") / 1000).alias("e"))
-    a, b = (spans.select("l_orderkey", F.col("l_linenumber").alias(f"line_{x}"), F.col("s").alias(f"s{x}"), F.col("e").alias(f"e{x}")) for x in "ab")
-    pairs = a.join(b, "l_orderkey").where("line_a < line_b")
-    return pairs.where(V.iou(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb")) >= V.IOU).select("l_orderkey", "line_a", "line_b")
+    return V.iou_pairs(spans, "l_orderkey", "l_linenumber", "s", "e").select("l_orderkey", F.col("a").alias("line_a"), F.col("b").alias("line_b"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from tessella.operators.segments import Segments
 from tessella.session import durable
 from tessella.sources.keyed import BUCKETS, KeyedTable
 
@@ -137,29 +137,30 @@ DIGEST_CALLS, DIGEST_SECONDS = 100, 300
 def digest_triggers(log: DataFrame, session: str, at: str, *ties: str, every: int = DIGEST_CALLS, seconds: float = DIGEST_SECONDS) -> DataFrame:
     """session, digest_no, at_call and at of every call that triggers a digest: `every` calls, or `seconds`, after the last one.
 
-    Each trigger depends on the one before, so sessions are walked in order, a
-    batch at a time; a task holds the last digest of the open session only.  The
-    clock of a session starts at its first call.
+    Whatever came before, a digest at one call leaves the same next one: the call
+    `every` later, or the first that is `seconds` away, as told by one running
+    count of calls and of times that far after them.  From the start of each
+    session, whose clock starts at its first call, pointers to the 1st, 2nd, 4th,
+    ... next digest reach all of them.  Sessions are never walked, and hot ones are
+    cut into segments.  Calls without a time are left out.
     """
-    kinds = {f.name: f for f in log.schema.fields}
-    out = StructType([kinds[session], StructField("digest_no", LongType()), StructField("at_call", LongType()), StructField("at", kinds[at].dataType)])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            times = batch.column(1).cast(pa.timestamp("us", tz=getattr(batch.column(1).type, "tz", None))).cast(pa.int64()).to_pylist()
-            found, where = [], []
-            for row, (key, now) in enumerate(zip(batch.column(0).to_pylist(), times)):
-                if held is None or held[0] != key:
-                    held = (key, now, 1, 0, 1)
-                    continue
-                _, since, calls, number, call = held
-                if due := now - since >= seconds * 1_000_000 or calls + 1 >= every:
-                    found.append((number + 1, call + 1))
-                    where.append(row)
-                held = (key, now if due else since, 0 if due else calls + 1, number + due, call + 1)
-            if found:
-                hit = batch.take(pa.array(where))
-                yield pa.RecordBatch.from_arrays([hit.column(0), *(pa.array(c, pa.int64()) for c in zip(*found)), hit.column(1)], names=out.names)
-
-    return log.select(session, at, *ties).repartition(session).sortWithinPartitions(session, at, *ties).mapInArrow(walk, out)
+    rows = log.where(F.col(at).isNotNull()).select(F.struct(F.col(session).alias("session")).alias("s"), F.col(at).alias("t"), *(F.col(c).alias(f"tie_{i}") for i, c in enumerate(ties)))
+    cut = Segments(rows, "s", "t", *(f"tie_{i}" for i in range(len(ties))))
+    calls = durable(cut.done(cut.running_sum(cut.rows, F.lit(1), "call")).select("s", "t", F.col("call").cast("long").alias("call")), "calls")
+    # A time stands before the calls at it: they are that far away.
+    late = calls.select("s", (F.col("t") + F.make_dt_interval(secs=F.lit(seconds))).alias("t"), F.lit(0).alias("kind"), "call")
+    both = Segments(calls.select("s", "t", F.lit(1).alias("kind"), "call").unionByName(late), "s", "t", "kind", "call")
+    counted = both.done(both.running_sum(both.rows, F.col("kind"), "before")).where("kind = 0")
+    after = F.least(F.col("call") + every, F.col("before") + 1)
+    first = counted.where("call = 1").select("s", F.lit(0).cast("long").alias("call"), F.greatest(F.lit(2), F.least(F.lit(every), F.col("before") + 1)).cast("long").alias("to"))
+    steps = counted.select("s", "call", after.cast("long").alias("to")).unionByName(first)
+    there = calls.select("s", F.col("call").alias("to"))
+    jump = durable(steps.join(there, ["s", "to"], "left_semi").select("s", "call", "to"), "jump")
+    reached, span = durable(first.select("s", "call", F.lit(0).cast("long").alias("digest_no")), "reached"), 1
+    while not jump.isEmpty():
+        further = reached.join(jump, ["s", "call"]).select("s", F.col("to").alias("call"), (F.col("digest_no") + span).alias("digest_no"))
+        reached = durable(reached.unionByName(further), "reached")
+        jump = durable(jump.join(jump.select("s", F.col("call").alias("to"), F.col("to").alias("far")), ["s", "to"]).select("s", "call", F.col("far").alias("to")), "jump")
+        span *= 2
+    found = reached.where("digest_no > 0").join(calls, ["s", "call"])
+    return found.select(F.col("s.session").alias(session), "digest_no", F.col("call").alias("at_call"), F.col("t").alias(at))
