@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.operators.reporting import numbered_rows
+from tessella.operators.segments import Segments
+from tessella.session import durable
 
 
 def ideal_gain(judgments: DataFrame, k: int) -> DataFrame:
@@ -82,21 +84,16 @@ def nearest_rank(value: Column, p: float) -> Column:
 def floor_index(rows: DataFrame, by: str, value: str, places: dict[str, float]) -> DataFrame:
     """by and, for each name, the value at place int((n - 1) * p), from 0, of the group's ascending values, rounded to 3 digits.
 
-    Values are counted first and places are found in running totals of the
-    distinct ones, so no row holds a group; equal values are one row.
+    Values are counted first, so equal ones are one row; places are found in the
+    running counts of the distinct ones, cut into segments where a group has many.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = durable(counts, "counts")
+    cut = Segments(counts, by, "__v")
+    upto = cut.done(cut.running_sum(cut.rows, F.col("__c"), "__upto"))
     sizes = counts.groupBy(by).agg(F.sum("__c").alias("__n"))
-    # Value ranges add up first, so that a group's values are sorted range by range.
-    bounds = counts.groupBy(by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).join(sizes, by)
-    placed = counts.join(bounds, by).withColumn("__b", F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1023)).otherwise(F.lit(0)).cast("int"))
-    ranges = placed.groupBy(by, "__b").agg(F.sum("__c").alias("__t"))
-    before = F.sum("__t").over(Window.partitionBy(by).orderBy("__b")) - F.col("__t")
-    placed = placed.join(ranges.withColumn("__before", before).drop("__t"), [by, "__b"])
-    upto = F.sum("__c").over(Window.partitionBy(by, "__b").orderBy("__v")) + F.col("__before")
     at = lambda p: F.floor((F.col("__n") - 1) * p)
-    found = placed.withColumn("__upto", upto)
-    return found.groupBy(by).agg(*(F.round(F.min(F.when(F.col("__upto") > at(p), F.col("__v"))), 3).alias(name) for name, p in places.items()))
+    return upto.join(sizes, by).groupBy(by).agg(*(F.round(F.min(F.when(F.col("__upto") > at(p), F.col("__v"))), 3).alias(name) for name, p in places.items()))
 
 
 def threshold_grid(values: list[float], margins: list[float], spark) -> DataFrame:

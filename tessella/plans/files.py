@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessella import schemas
-from tessella.plans.registry import Registry, table
+from tessella.plans.registry import SQL_SCORES, Registry, table
 from tessella.plans.streams import drained
 from tessella.session import durable, shared_dir
 from tessella.sources import outbox as O, readers as S
@@ -124,6 +124,32 @@ def get_guides(spark, sf_dir):
     return api.get_guides(tiers(spark, sf_dir), "N2").select("name", F.sha2("content", 256).alias("digest"))
 
 
+SQL_KNOWN = SQL_SCORES.replace("from benchmark)", "from benchmark where item_id = 7)").replace("select item_id as query_id", "select 1 as query_id")
+SQL_KNOWN = SQL_KNOWN.replace("d as (select doc_id, split_part(text, chr(10), 1) as title, text as content, lang from documents)", f"d as (select tier || '/' || name as doc_id, title, trim(content) as content from {SQL_TIERS})")
+SQL_KNOWN = SQL_KNOWN.replace("from documents)", "from d)")
+
+
+@query(f"with {SQL_KNOWN} select doc_id, score, rank from (select doc_id, round(score, 6) as score, row_number() over (order by round(score, 6) desc, title, doc_id) as rank from score join d using (doc_id)) where rank <= 10")
+def search_platform_knowledge(spark, sf_dir):
+    """The text of a benchmark item, searched for over all tiers."""
+    from tessella import api
+
+    text = table(spark, sf_dir, "benchmark").where("item_id = 7").select("text").first()[0]
+    return api.search_knowledge(tiers(spark, sf_dir), text).select("doc_id", "score", "rank")
+
+
+@query("select 'n' || item_id as name, 'section' as mode, sha256('## Part n' || item_id || chr(10) || 'of n' || item_id) as digest from benchmark where item_id = 4")
+def get_agent_section(spark, sf_dir):
+    """A section of an agent's note, asked for by its title; references are items of a tier like any other."""
+    from tessella import api
+
+    i = F.col("item_id").cast("string")
+    content = F.concat(F.lit("# Agent n"), i, F.lit("\n\nlead\n\n## Part n"), i, F.lit("\nof n"), i, F.lit("\n\n## Other\n"), "text")
+    root = write_files(table(spark, sf_dir, "benchmark").withColumn("path", F.concat(F.lit("agents/n"), i, F.lit(".md"))).withColumn("content", content), place(spark, "agents"), "path", "content")
+    known = S.knowledge(spark, {"agents": f"{root}/agents"})
+    return api.get_item(known, "agents", "n4", section="part n4").select("name", "mode", F.sha2("text", 256).alias("digest"))
+
+
 # -- logs
 
 SQL_LINES = "(select *, event_id % 10 as k from events)"

@@ -92,6 +92,24 @@ def path_classify(spark, sf_dir):
     return rows.select("page_id", F.col("kind.artifact_type").alias("artifact_type"), F.col("scope.source_scope").alias("source_scope"), F.array_join(hints, ",").alias("hints"))
 
 
+SQL_HEADS = f"(select page_id, case when page_id % 3 = 0 then 'docs/handoff/' else '' end || path as path, case page_id % 5 when 0 then 'status: closed ' when 1 then 'this was SUPERSEDED by ' when 2 then 'Verdict: pending ' when 3 then 'status: complete, superseded ' else '' end || html as head from {SQL_PATH} join (select page_id, html from pages) using (page_id))"
+
+
+@query(
+    f"""select page_id, case when len(l) = 0 then 'active' else array_to_string(list_sort(l), ',') end as hints from (select page_id, list_filter([case when contains(lower(path), 'archive') then 'archived' end,
+case when contains(lower(path), 'supersed') or contains(lower(head), 'superseded') then 'superseded' end, case when contains(lower(head), 'status: closed') or contains(lower(head), 'status: complete') then 'closed' end,
+case when contains(lower(path), 'handoff') and (contains(lower(head), 'status: requested') or contains(lower(head), 'review: requested') or contains(lower(head), 'verdict: pending')) then 'review_open' end], lambda x: x is not null) as l from {SQL_HEADS})"""
+)
+def head_hints(spark, sf_dir):
+    """Lifecycle hints from the heads of texts, as well as from paths."""
+    k = F.col("page_id") % 5
+    head = F.concat(F.when(k == 0, "status: closed ").when(k == 1, "this was SUPERSEDED by ").when(k == 2, "Verdict: pending ").when(k == 3, "status: complete, superseded ").otherwise(""), "html")
+    rows = paths(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", F.lower(head).alias("head")), "page_id")
+    rows = rows.withColumn("path", F.concat(F.when(F.col("page_id") % 3 == 0, "docs/handoff/").otherwise(""), "path"))
+    kind = C.artifact_kind(F.col("path"))["artifact_type"]
+    return rows.select("page_id", F.array_join(C.lifecycle_hints(F.col("path"), F.col("head"), kind), ",").alias("hints"))
+
+
 @query(f"select page_id, case when rtrim(path, '/') like '%7' then 'exclude' when path like '%a%' then 'allow' else 'deny' end as action, case when rtrim(path, '/') like '%7' then 'x1' when path like '%a%' then 'a1' else 'default' end as rule from {SQL_PATH}")
 def first_match_policy(spark, sf_dir):
     policy = C.first_match_policy(F.col("path"), [("x1", "*7")], [("a1", "*a*")])
@@ -104,9 +122,9 @@ def pending_units(spark, sf_dir):
     return I.pending(orders.select("o_orderkey"), orders.where("o_orderstatus = 'F'"), "o_orderkey", limit=500)
 
 
-@query("with m as (select user_id, ts, event_id from events where user_id not in (select o_custkey from orders)) select user_id, count(*) as n_events, min(ts) as oldest, arg_min(event_id, struct_pack(ts := ts, event_id := event_id)) as oldest_event from m group by user_id")
+@query("with m as (select user_id, ts, event_id from events where user_id not in (select o_custkey from orders where o_totalprice > 300000)) select user_id, count(*) as n_events, min(ts) as oldest, arg_min(event_id, struct_pack(ts := ts, event_id := event_id)) as oldest_event from m group by user_id")
 def unobserved_events(spark, sf_dir):
-    events, seen = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    events, seen = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("user_id")).distinct()
     return events.join(seen, "user_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("oldest"), F.min_by("event_id", F.struct("ts", "event_id")).alias("oldest_event"))
 
 
@@ -199,11 +217,10 @@ def newest_n_keep(spark, sf_dir):
     return I.newest_n(orders, "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"), keep=5, protected=F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "rotate")
 
 
-@query("select distinct p_brand from part where p_brand not in (select p_brand from part join lineitem on l_partkey = p_partkey where l_quantity > 45 and p_size < 3)")
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
 def inventory_completeness(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    shipped = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).join(part.where("p_size < 3"), "p_partkey")
-    return I.minus(part, "p_brand", shipped)
+    shipped = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return I.minus(table(spark, sf_dir, "part"), "p_partkey", shipped)
 
 
 @query("select regexp_replace(url, '[0-9]+', 'N', 'g') as address, min(page_id) as page_id from pages group by 1")

@@ -163,4 +163,4 @@ def digest_triggers(log: DataFrame, session: str, at: str, *ties: str, every: in
         jump = durable(jump.join(jump.select("s", F.col("call").alias("to"), F.col("to").alias("far")), ["s", "to"]).select("s", "call", F.col("far").alias("to")), "jump")
         span *= 2
     found = reached.where("digest_no > 0").join(calls, ["s", "call"])
-    return found.select(F.col("s.session").alias(session), "digest_no", F.col("call").alias("at_call"), F.col("t").alias(at))
+    return found.select(F.col("s.session").alias(session), "digest_no", F.col("call").alias("at_call"), F.col("t").alias("at"))

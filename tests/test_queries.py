@@ -21,14 +21,18 @@ def norm(v):
     return v
 
 
+#: Queries whose result is empty on the smallest tables, and not on larger ones.
+EMPTY = set()
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query(name, spark, sf_dir, duck):
     df = entry.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert cols and (got or name in EMPTY)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert cols and got is not None
         return
     cur = duck.execute(sql)
     names = [c[0] for c in cur.description]
