@@ -3,40 +3,80 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessella.operators.classify import file_name, glob_match
+from tessella.session import durable
 
 #: Characters of a text in which hints are looked for.
 HINT = 128 * 1024
 
 
+#: Times that a file is read until it did not change meanwhile.
+ATTEMPTS = 3
+
+
+def _listed(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """root, path, relative_path, length, modificationTime and content of all files below the roots, as listed now."""
+    frames = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("root", F.lit(root)) for root in roots]
+    files = reduce(DataFrame.unionByName, frames)
+    rel = F.regexp_replace(F.expr("substring(path, instr(path, trim(both '/' from regexp_replace(root, '^[a-z]+:/*', ''))) + length(trim(both '/' from regexp_replace(root, '^[a-z]+:/*', ''))))"), "^/+", "")
+    return files.withColumn("relative_path", rel)
+
+
+def stable_read(spark: SparkSession, roots: Sequence[str], wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """(root, path, relative_path, length, modificationTime, content_sha256, head of the wanted files; those that changed at every attempt).
+
+    A file counts as read when a listing after the read has its size and time as
+    before, and as many bytes were read.  Others are read again, ATTEMPTS times in
+    all; files that have gone by then are among the changed.  The times of those
+    left reach the scan, so that few other files are opened again.
+    """
+    done, left = None, None
+    for _ in range(ATTEMPTS):
+        now = _listed(spark, roots).where(wanted)
+        if left is not None:
+            since = left.agg(F.min("seen")).first()[0]
+            if since is None:
+                break
+            now = now.where(F.col("modificationTime") >= F.lit(since)).join(left.select("root", "path"), ["root", "path"], "left_semi")
+        read = durable(now.select("root", "path", "relative_path", "length", "modificationTime", F.sha2("content", 256).alias("content_sha256"), F.lower(F.substring(F.decode("content", "utf-8"), 1, HINT)).alias("head"), F.octet_length("content").alias("n_read")), "read")
+        after = _listed(spark, roots).select("root", "path", F.col("length").alias("__length"), F.col("modificationTime").alias("seen"))
+        read = durable(read.join(after, ["root", "path"], "left"), "checked")
+        same = F.col("length").eqNullSafe(F.col("__length")) & F.col("modificationTime").eqNullSafe(F.col("seen")) & (F.col("n_read") == F.col("length"))
+        good = read.where(same).drop("__length", "seen", "n_read")
+        done = good if done is None else done.unionByName(good)
+        missed = read.where(~same).select("root", "path", "relative_path", "length", "seen")
+        if left is not None:
+            # Files that were not there to be read this time stay among those left.
+            missed = missed.unionByName(left.join(read, ["root", "path"], "left_anti"))
+        left = missed
+        if left.isEmpty():
+            break
+    return done, left
+
+
 def scan_files(spark: SparkSession, roots: Sequence[str], *, includes: Sequence[str], excludes: Sequence[str] = (), prune: Sequence[str] = (), suffixes: Sequence[str] = (".md", ".txt", ".json", ".csv")) -> tuple[DataFrame, DataFrame]:
     """(catalog rows, counts by outcome) of the files below the roots: default-deny globs, pruned directory names, known suffixes.
 
     Rows: root, relative_path, byte_size, mtime, content_sha256, head (lower-cased,
-    the first 128 KiB).  Contents are read only of the files that pass, and a
-    path that two roots give is an error of its own (outcome duplicate).
+    the first 128 KiB).  Contents are read only of the files that pass, and until
+    they do not change meanwhile (see stable_read); those that always do have the
+    outcome changed and no row.  A path that two roots give is an error of its own
+    (outcome duplicate).
     """
-    frames = []
-    for root in roots:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        frames.append(found.withColumn("root", F.lit(root)))
-    files = frames[0]
-    for f in frames[1:]:
-        files = files.unionByName(f)
-    rel = F.regexp_replace(F.expr("substring(path, instr(path, trim(both '/' from regexp_replace(root, '^[a-z]+:/*', ''))) + length(trim(both '/' from regexp_replace(root, '^[a-z]+:/*', ''))))"), "^/+", "")
-    files = files.withColumn("relative_path", rel)
     pruned = F.exists(F.split("relative_path", "/"), lambda p: p.isin(list(prune))) if prune else F.lit(False)
     known = F.lit(False)
     for s in suffixes:
         known = known | F.lower(file_name(F.col("relative_path"))).endswith(s)
     outcome = F.when(pruned, "pruned").when(glob_match(F.col("relative_path"), excludes), "excluded").when(~known, "suffix").when(~glob_match(F.col("relative_path"), includes, fold=True), "not-included").otherwise("cataloged")
-    marked = files.withColumn("outcome", outcome)
-    stats = marked.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
-    kept = marked.where("outcome = 'cataloged'")
-    rows = kept.select("root", "relative_path", F.col("length").alias("byte_size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("content_sha256"), F.lower(F.substring(F.decode("content", "utf-8"), 1, HINT)).alias("head"))
+    kept, changed = stable_read(spark, roots, outcome == "cataloged")
+    others = _listed(spark, roots).withColumn("outcome", outcome).where("outcome <> 'cataloged'").select("outcome", "length")
+    named = others.unionByName(kept.select(F.lit("cataloged").alias("outcome"), "length")).unionByName(changed.select(F.lit("changed").alias("outcome"), "length"))
+    stats = named.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    rows = kept.select("root", "relative_path", F.col("length").alias("byte_size"), F.col("modificationTime").alias("mtime"), "content_sha256", "head")
     twice = kept.groupBy("relative_path").count().where("count > 1")
     return rows, stats.unionByName(twice.agg(F.lit("duplicate").alias("outcome"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("bytes")).where("n > 0"))
 
