@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tessella.functions import markdown as M, text as X
 from tessella.operators import classify as C, reporting as R, search as S, vector as V
+from tessella.session import durable
 
 
 def list_items(knowledge: DataFrame, tier: str) -> DataFrame:
@@ -70,6 +71,83 @@ def search_artifacts(spans: DataFrame, queries: DataFrame, *, limit: int = 10, *
     return S.top_k(capped.withColumnRenamed("rank", "fusion_rank"), limit, "fusion_rank")
 
 
+MODES = ("vector", "lexical", "hybrid", "hybrid-rerank")
+#: Reasons why a candidate is not a result.
+NOT_CURRENT, NO_SOURCE, OTHER_HASH = "not-current", "source-missing", "span-hash-differs"
+
+
+def retrieve(
+    spans: DataFrame, queries: DataFrame, current: DataFrame, *, mode: str = "hybrid-rerank", limit: int = 10, scorer: V.Reranker | None = None, policy: dict[str, float] | None = None, **filters: object
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, decisions, failures) of a search whose results are read back from their sources before any is given.
+
+    spans: span_id, artifact_id, revision_id, span_sha256, start, end (characters
+    from 0), heading, content, vector, tokens (array), identifiers (array) and
+    filter columns; queries: query_id, text, vector; current: artifact_id,
+    revision_id and content of the catalog's current sources.
+
+    Legs by mode, fusion, collapse; the scorer sees path, heading and content of
+    the first candidates that are left.  A candidate counts if its revision is the
+    artifact's current one and the source's text at its place has its hash; of
+    these, each artifact has two at most.  With a policy (exact_identifier_cross_min,
+    agreement_cross_min, single_channel_cross_min, cross_margin_min) a query is
+    answered only if the first verified candidate passes it.
+
+    results: query_id, rank, id, artifact_id, ... of answered queries.  decisions:
+    a row a query with its counts, features, abstained and reason.  failures:
+    query_id, id and reason.
+    """
+    if mode not in MODES or not 1 <= limit <= 25:
+        raise ValueError(f"mode is one of {MODES}, and limit 1 to 25")
+    if mode == "hybrid-rerank" and scorer is None:
+        raise ValueError("hybrid-rerank needs a scorer")
+    rows = V.equality_filters(spans, **filters)
+    asked = queries.select("query_id", X.safe_query("text").alias("text"), "vector")
+    terms = asked.select("query_id", F.explode(X.query_terms("text")).alias("term"))
+    none = spans.sparkSession.createDataFrame([], T.StructType([asked.schema["query_id"], T.StructField("id", spans.schema["span_id"].dataType), T.StructField("rank", T.IntegerType())]))
+    vector = none if mode == "lexical" else V.knn(rows, asked, k=V.VECTOR, id_col="span_id", query_id="query_id")
+    lexical = none if mode == "vector" else S.top_k(S.bm25_scores(rows, terms, [("tokens", 1.0)], id_col="span_id"), V.LEXICAL, "bm25", "id")
+    fused = durable(V.fuse(vector.select("query_id", "id", "rank"), lexical.select("query_id", "id", "rank")), "fused")
+    named = rows.select(F.col("span_id").alias("id"), "artifact_id", "revision_id", "span_sha256", "start", "end", "heading", "content", "identifiers")
+    placed = durable(fused.join(named, "id").withColumnRenamed("fusion_rank", "rank"), "placed")
+    kept = V.collapse(placed.select("query_id", "id", "rank", "revision_id", "span_sha256", "start", "end"))
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).drop("rank")
+    left = kept.join(placed.withColumnRenamed("rank", "fusion_rank"), ["query_id", "id"]).join(asked.select("query_id", F.col("text").alias("query")), "query_id")
+    if mode == "hybrid-rerank":
+        text = F.concat_ws("\n", F.coalesce(F.col("artifact_id").cast("string"), F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("content", F.lit("")))
+        ranked = V.rerank(left.withColumn("content", text), scorer, place="place")
+    else:
+        ranked = left.withColumns({"cross_score": F.lit(None).cast("double"), "cross_rank": F.lit(None).cast("int"), "final_rank": F.col("place")})
+    ranked = durable(ranked, "ranked")
+    # Sources of the candidates only are read, and each span is hashed where it is cut.
+    now = current.select("artifact_id", F.col("revision_id").alias("__revision"), F.col("content").alias("__source")).join(ranked.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    cut = F.sha2(F.substring(F.col("__source"), F.col("start") + 1, F.col("end") - F.col("start")), 256)
+    state = F.when(~F.col("revision_id").eqNullSafe(F.col("__revision")), NOT_CURRENT).when(F.col("__source").isNull(), NO_SOURCE).when(cut != F.col("span_sha256"), OTHER_HASH)
+    checked = durable(ranked.join(now, "artifact_id", "left").withColumn("reason", state).drop("__source", "__revision", "content"), "checked")
+    good = V.cap(checked, "artifact_id", verified=F.col("reason").isNull(), rank="final_rank")
+    good = good.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("final_rank"))).where(F.col("rank") <= (max(limit, 2) if policy else limit))
+    good = durable(good, "verified")
+    exact = F.exists(F.filter(X.query_terms("query"), lambda t: t.rlike(X.IDENTIFIER)), lambda t: F.array_contains("identifiers", t))
+    first = good.where("rank = 1").select("query_id", "cross_score", F.coalesce(exact, F.lit(False)).alias("exact"), (F.col("vector_rank").isNotNull() & F.col("lexical_rank").isNotNull()).alias("agree"))
+    margin = good.where("rank = 2").select("query_id", F.col("cross_score").alias("__second"))
+    counts = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    decided = asked.select("query_id")
+    for df, name in ((fused, "n_union"), (kept, "n_collapsed"), (good, "n_verified"), (checked.where("reason is not null"), "n_failed")):
+        decided = decided.join(counts(df, name), "query_id", "left")
+    decided = decided.na.fill(0, ["n_union", "n_collapsed", "n_verified", "n_failed"]).join(first, "query_id", "left").join(margin, "query_id", "left")
+    decided = decided.withColumn("cross_margin", F.col("cross_score") - F.col("__second")).drop("__second").na.fill(False, ["exact", "agree"])
+    has = F.col("n_verified") > 0
+    why = F.when(~has, "no-candidate")
+    if policy:
+        limits = [policy[k] for k in ("exact_identifier_cross_min", "agreement_cross_min", "single_channel_cross_min", "cross_margin_min")]
+        why = V.abstention(has, F.col("cross_score"), F.col("cross_margin"), F.col("exact"), F.col("agree"), *limits)
+    reason = F.when(~has & (F.col("n_failed") > 0), "no-verified-result").otherwise(why)
+    decided = durable(decided.withColumn("reason", reason).withColumn("abstained", F.col("reason").isNotNull()), "decided")
+    answered = good.where(F.col("rank") <= limit).join(decided.where("not abstained").select("query_id"), "query_id", "left_semi")
+    results = answered.select("query_id", "rank", "id", "artifact_id", "revision_id", "span_sha256", "alternates", "vector_rank", "lexical_rank", "fusion_rank", "cross_score", "cross_rank", "final_rank")
+    return results, decided, checked.where("reason is not null").select("query_id", "id", "reason")
+
+
 def get_artifact(documents: DataFrame, path: str, max_chars: int = 12_000) -> DataFrame:
     """A document by path: content up to max_chars (256 to 50 000), whether it is cut, and whether its hash still holds."""
     if not 256 <= max_chars <= 50_000:

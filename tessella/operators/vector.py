@@ -188,10 +188,10 @@ def collapse(ranked: DataFrame, *, threshold: float = IOU) -> DataFrame:
 Reranker = Callable[[str, Sequence[str]], Sequence[float]]
 
 
-def rerank(ranked: DataFrame, scorer: Reranker, *, most: int = RERANK) -> DataFrame:
+def rerank(ranked: DataFrame, scorer: Reranker, *, most: int = RERANK, place: str = "fusion_rank") -> DataFrame:
     """ranked (query_id, query, id, content, fusion_rank) with cross_score, cross_rank and final_rank.
 
-    The scorer sees each query's first `most` rows; they are ordered by the
+    The scorer sees each query's first `most` rows by `place`; they are ordered by the
     blend of both ranks, the others follow.  A scorer must give a finite score
     for every row.
     """
@@ -204,7 +204,7 @@ def rerank(ranked: DataFrame, scorer: Reranker, *, most: int = RERANK) -> DataFr
             raise ValueError("the reranker must give a finite score for every row")
         return pdf[["query_id", "id"]].assign(cross_score=got)
 
-    head = ranked.where(F.col("fusion_rank") <= most)
+    head = ranked.where(F.col(place) <= most)
     scored = head.groupBy("query_id").applyInPandas(score, schema)
     crossed = scored.withColumn("cross_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cross_score"), "id")))
     out = ranked.join(crossed, ["query_id", "id"], "left")

@@ -10,6 +10,7 @@ from tessella.operators import classify as C, evaluate as E, ingest as I, regist
 from tessella.plans.registry import SQL_SCORES, Registry, sql_terms, table, titled
 from tessella.plans.reporting import PORTABLE, SQL_PLANTED, _re2, planted
 from tessella.plans.search import PROBE, SQL_TOP10, benchmark, labelled_hits, points, probes
+from tessella.session import durable
 
 query = Registry()
 
@@ -461,6 +462,39 @@ def collapse_greedy(spark, sf_dir):
 
 # -- the tool surface
 
+#: Least scores of the answers that are given.
+ANSWERED = {"exact_identifier_cross_min": 0.2, "agreement_cross_min": 0.3, "single_channel_cross_min": 0.6, "cross_margin_min": 0.02}
+
+
+def word_share(q, texts):
+    """A stand-in scorer: the share of the query's words that the text has."""
+    words = set(q.lower().split())
+    return [len(words & set(t.lower().split())) / max(1, len(words)) for t in texts]
+
+
+def letters(text):
+    """A stand-in embedding: how often each letter occurs."""
+    return F.array(*((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+
+
+@query()
+def artifact_search_full(spark, sf_dir):
+    """Exact spans of all documents, searched by every benchmark text: legs, fusion, collapse, rerank, source check, cap and abstention.
+
+    Every seventh document has a newer revision, and every eleventh one's source was changed.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = M.exact_spans(docs, id_col="doc_id", text_col="text", counter=M.word_counter)
+    spans = durable(cut.select(
+        F.concat_ws("/", "doc_id", "span_index").alias("span_id"), F.col("doc_id").alias("artifact_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("revision_id"), "span_sha256",
+        F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), F.lit(None).cast("string").alias("heading"), "content", letters(F.col("content")).alias("vector"), X.tokenize("content").alias("tokens"), X.identifiers("content").alias("identifiers"),
+    ), "spans")
+    k = F.col("doc_id")
+    current = docs.select(k.alias("artifact_id"), F.concat(F.when(k % 7 == 0, "newer").otherwise("r"), k.cast("string")).alias("revision_id"), F.when(k % 11 == 0, F.concat(F.lit("!"), "text")).otherwise(F.col("text")).alias("content"))
+    queries = benchmark(spark, sf_dir).select("query_id", "text", letters(F.col("text")).alias("vector"))
+    results, decisions, _ = api.retrieve(spans, queries, current, scorer=word_share, policy=ANSWERED)
+    return decisions.join(results.select("query_id", "rank", "id"), "query_id", "left").select("query_id", "abstained", "reason", "n_verified", "n_failed", "rank", "id")
+
 
 @query("select 'catalog' as part, case when doc_id % 3 = 0 then 'plan' else 'document' end as kind, count(*) as n from documents group by 2 union all select 'checkpoint', 'vector/t/' || o_orderstatus, count(*) from orders group by 2")
 def artifact_status(spark, sf_dir):
