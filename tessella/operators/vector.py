@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.session import shared_dir
+from tessella.session import shared_path
 
 # Candidates by channel, of the union, and for the reranker; fusion constant; results of an artifact; overlap of duplicates; weights of the blend.
 LEXICAL, VECTOR, UNION, RERANK, RRF_K, PER_ARTIFACT, IOU, CROSS_WEIGHT, FUSION_WEIGHT = 64, 64, 96, 24, 60, 2, 0.80, 0.75, 0.25
@@ -59,7 +58,7 @@ def knn(points: DataFrame, queries: DataFrame, *, k: int = VECTOR, id_col: str =
         if not named:
             return points.sparkSession.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
         return ranked(_search(points.select(id_col, vector), named, out, k, digits)[0])
-    base = f"{shared_dir(points.sparkSession)}/knn-{uuid4().hex}"
+    base = shared_path(points.sparkSession, "knn")
     for named in _blocks(rows.toLocalIterator()):
         found, shared = _search(points.select(id_col, vector), named, out, k, digits)
         found.write.mode("append").parquet(base)

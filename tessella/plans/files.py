@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tessella import schemas
 from tessella.plans.registry import SQL_SCORES, Registry, table
 from tessella.plans.streams import drained
-from tessella.session import durable, shared_dir
+from tessella.session import durable, shared_path
 from tessella.sources import outbox as O, readers as S
 from tessella.streaming import consumer as W
 
@@ -23,8 +22,7 @@ query = Registry()
 FEW_BUCKETS = 8
 
 
-def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+place = shared_path
 
 
 def write_files(rows: DataFrame, root: str, name: str, content: str) -> str:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.plans.registry import Registry, table
-from tessella.session import shared_dir
+from tessella.session import shared_path
 from tessella.streaming import consumer as S
 
 query = Registry()
@@ -23,7 +21,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(df: DataFrame, mode: str) -> DataFrame:
     """The stream's rows once it has read all there is, as a table in the cluster's shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     schema = df.schema
 
     numbers = []
@@ -55,7 +53,7 @@ def stream_sliding_windows(spark, sf_dir):
 @query("select event_id::varchar as event_id, event_type from events")
 def stream_consume(spark, sf_dir):
     """Each event consumed once, its type kept by `apply`."""
-    path = f"{shared_dir(spark)}/consume-{uuid.uuid4().hex}"
+    path = shared_path(spark, "consume")
     out = f"{path}/applied"
 
     def apply(batch: DataFrame, version: int) -> None:

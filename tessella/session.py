@@ -10,6 +10,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,9 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders made in the shared one by this process and not yet removed.
+_made: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which clean() removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean() -> int:
+    """Removes what this process left in the shared folder, but for indexes; results that read it can no longer be read.
+
+    Results read their tables when they are used, so only the caller knows when to
+    do this: after the last one is written or collected.
+    """
+    removed = 0
+    while _made:
+        store, path = fs.FileSystem.from_uri(_made.pop())
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+            removed += 1
+    return removed
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

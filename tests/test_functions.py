@@ -151,3 +151,12 @@ def test_exact_spans(spark):
 def test_overlap_tail_is_the_cutters(spark):
     for t in ("", "short", "x" * 50, "aa bb " + "c" * 30, "line\n" + "d" * 30, "e" * 30 + " f"):
         assert (one(spark, X.overlap_tail("t", 20), t=t) or "") == M.tail(t, 20)
+
+
+def test_tables_left_behind_are_removed(spark, tmp_path):
+    from tessella import session
+
+    session.clean()
+    before = session.shared_path(spark, "x")
+    table = session.durable(spark.range(3), "left")
+    assert table.count() == 3 and session.clean() == 1 and session.clean() == 0 and not session._made and before
