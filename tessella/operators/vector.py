@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.session import shared_path
+from tessella.session import durable, shared_path
 
 # Candidates by channel, of the union, and for the reranker; fusion constant; results of an artifact; overlap of duplicates; weights of the blend.
 LEXICAL, VECTOR, UNION, RERANK, RRF_K, PER_ARTIFACT, IOU, CROSS_WEIGHT, FUSION_WEIGHT = 64, 64, 96, 24, 60, 2, 0.80, 0.75, 0.25
@@ -111,6 +111,108 @@ def _search(points: DataFrame, named: list[Row], out: T.StructType, k: int, digi
     return points.mapInArrow(search, out), shared
 
 
+#: Vectors of the sample that centroids are fitted on, points of a list, points that one task compares, and the share of the nearest that probes shall find in the sample.
+FIT, LIST, CHUNK, TARGET = 20_000, 1000, 50_000, 0.97
+
+
+class PartitionIndex:
+    """Points in lists by their nearest of some centroids; a search computes exact cosines inside the lists nearest to its query only.
+
+    Centroids come from a bounded sample (FIT vectors, whole lists in turn), and so
+    does the number of lists probed: the fewest by which the sample's own queries
+    find TARGET of their nearest.  Every point is in a list, in parts of bounded
+    size, and lists are directories, so that others are not read.
+    """
+
+    def __init__(self, points: DataFrame, path: str, *, k: int = 10, id_col: str = "point_id", vector: str = "vector"):
+        self.spark, self.path, self.id_type = points.sparkSession, path, points.schema[id_col].dataType
+        rows = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col(vector).isNotNull())
+        n = rows.count()
+        drawn = rows if n <= FIT else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1 << 30) * FIT // n).limit(2 * FIT)
+        sample = _units(np.array([r.v for r in drawn.orderBy("id").collect()], np.float64).reshape(-1, len(drawn.first().v) if n else 1))
+        self.centroids = _centroids(sample, max(1, min(len(sample), -(-n // LIST) if n > LIST * 16 else round(len(sample) ** 0.5))))
+        self.probes = _probes(sample, self.centroids, k)
+        shared, parts = self.spark.sparkContext.broadcast(self.centroids), max(1, -(-n // (CHUNK * len(self.centroids) or 1)))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = _units(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((v @ shared.value.T).argmax(axis=1) if len(v) else [], pa.int64())], names=["id", "v", "list"])
+
+        out = T.StructType([*rows.schema.fields, T.StructField("list", T.LongType())])
+        placed = rows.mapInArrow(place, out).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        placed.repartition("list", "part").write.partitionBy("list").parquet(path)
+
+    def search(self, queries: DataFrame, k: int, *, probes: int | None = None, query_id: str = "query_id", vector: str = "vector", digits: int = 5) -> DataFrame:
+        """query_id, id, score and rank of the k nearest points in the lists that are probed; all lists (probes: their number) give the exact result."""
+        most, shared = min(probes or self.probes, len(self.centroids)), self.spark.sparkContext.broadcast(self.centroids)
+        asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = _units(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1))
+                if len(v):
+                    lists = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :most]
+                    rows = pa.array(np.repeat(np.arange(len(v)), most))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lists.ravel().astype(np.int64))], names=["query_id", "q", "list"])
+
+        met = durable(asked.mapInArrow(nearest, T.StructType([*asked.schema.fields, T.StructField("list", T.LongType())])), "probes")
+        lists = [r.list for r in met.select("list").distinct().collect()]  # a number a list at most
+        points = self.spark.read.parquet(self.path).where(F.col("list").isin(lists))
+        out = T.StructType([asked.schema["query_id"], T.StructField("id", self.id_type), T.StructField("score", T.DoubleType())])
+
+        def compare(points: pa.Table, queries: pa.Table) -> pa.Table:
+            v, q = (_units(np.array(t[c].to_pylist(), np.float64)) if t.num_rows else np.zeros((0, 1)) for t, c in ((points, "v"), (queries, "q")))
+            if not len(v) or not len(q):
+                return pa.table({"query_id": queries["query_id"].slice(0, 0), "id": points["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+            score = np.round(q @ v.T, digits) + 0.0
+            # All that tie with the k-th stay, so that ties are ranked over all lists.
+            floor = -np.partition(-score, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+            i, j = np.nonzero(score >= floor[:, None])
+            return pa.table({"query_id": queries["query_id"].combine_chunks().take(pa.array(i)), "id": points["id"].combine_chunks().take(pa.array(j)), "score": score[i, j]})
+
+        parts = self.spark.read.parquet(self.path).where(F.col("list").isin(lists)).select(F.col("list").cast("long").alias("list"), "part").distinct()
+        dealt = met.join(parts, "list")
+        found = points.select(F.col("list").cast("long").alias("list"), "part", "id", "v").groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(compare, out)
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(v, axis=1, keepdims=True) if len(v) else np.ones((0, 1))
+    return v / np.where(norm > 0, norm, 1)
+
+
+def _centroids(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from evenly spaced vectors of the sample; empty lists keep their centroid."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]))
+    at = sample[np.linspace(0, len(sample) - 1, n).astype(int)]
+    for _ in range(rounds):
+        near = (sample @ at.T).argmax(axis=1)
+        total = np.zeros_like(at)
+        np.add.at(total, near, sample)
+        at = np.where(np.bincount(near, minlength=n)[:, None] > 0, _units(total), at)
+    return at
+
+
+def _probes(sample: np.ndarray, centroids: np.ndarray, k: int, queries: int = 200) -> int:
+    """The fewest lists by which evenly spaced vectors of the sample find TARGET of their k nearest in it."""
+    if not len(sample):
+        return 1
+    asked = sample[np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)]
+    near = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, :k]
+    home = (sample @ centroids.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1, kind="stable")
+    needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)))]) + 1
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: queries and the share of their exact neighbours that were found."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def fuse(vector: DataFrame, lexical: DataFrame, *, id_col: str = "id", limit: int = UNION) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: query_id, id, vector_rank, lexical_rank, fusion_score and fusion_rank.
 

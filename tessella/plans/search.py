@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions import text as X
 from tessella.operators import evaluate as E, index as I, search as S, vector as V
-from tessella.session import shared_dir, spread
+from tessella.session import shared_dir, shared_path, spread
 from tessella.plans.registry import SQL_SCORES, SQL_TFIDF, Registry, sql_terms, sql_tokens, table, titled
 
 query = Registry()
@@ -142,6 +142,24 @@ def vector_knn_topk(spark, sf_dir):
     return nearest(spark, sf_dir, V.VECTOR)
 
 
+def partition_index(spark: SparkSession, sf_dir: str) -> V.PartitionIndex:
+    return V.PartitionIndex(points(spark, sf_dir), shared_path(spark, "vectors"))
+
+
+@query(f"select count(*) as n_queries, true as reached from embeddings where vec_id % {PROBE} = 0")
+def vector_index_recall(spark, sf_dir):
+    """Whether the index finds nine tenths or more of every 20th point's ten nearest."""
+    found = partition_index(spark, sf_dir).search(probes(points(spark, sf_dir)), 10)
+    return V.recall(found, nearest(spark, sf_dir, 10)).select("n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(f"with {SQL_KNN} select query_id, id, score + 0.0 as score, row_number() over (partition by query_id order by score desc, id) as rank from pair qualify rank <= 10")
+def vector_index_exact(spark, sf_dir):
+    """All lists probed: the exact result."""
+    index = partition_index(spark, sf_dir)
+    return index.search(probes(points(spark, sf_dir)), 10, probes=len(index.centroids))
+
+
 @query(f"with {SQL_KNN} select query_id, id, score + 0.0 as score, row_number() over (partition by query_id order by score desc, id) as rank from pair where label = 1 qualify rank <= 20")
 def vector_filtered_knn(spark, sf_dir):
     p = points(spark, sf_dir)
