@@ -38,9 +38,9 @@ IMPLIED = {
     "li": (frozenset({"li"}), frozenset({"ol", "ul", "menu"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "tr": (frozenset({"tr", "td", "th"}), frozenset({"table", "thead", "tbody", "tfoot"})),
-    "td": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
-    "th": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+    "tr": (frozenset({"tr", "td", "th", "caption", "colgroup"}), frozenset({"table", "thead", "tbody", "tfoot"})),
+    "td": (frozenset({"td", "th", "caption", "colgroup"}), frozenset({"table", "tr"})),
+    "th": (frozenset({"td", "th", "caption", "colgroup"}), frozenset({"table", "tr"})),
     "thead": (frozenset({"thead", "tbody", "tfoot", "caption", "colgroup"}), frozenset({"table"})),
     "tbody": (frozenset({"thead", "tbody", "tfoot", "caption", "colgroup"}), frozenset({"table"})),
     "tfoot": (frozenset({"thead", "tbody", "tfoot", "caption", "colgroup"}), frozenset({"table"})),
@@ -58,11 +58,11 @@ SILENT_INPUTS = frozenset("hidden password checkbox radio file image color range
 #: Blanks that alignment and indentation may add: so many a character of the page, and some for small pages.  A table or list beyond that is not aligned.
 PADDING, LEAST_PADDING = 8, 4096
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>?", re.S)
+# An attribute's value is quoted, to the page's end if its mark is not closed, or reaches to a blank, whatever marks are in it.
+_VALUE = r"\s*=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?"
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+>?", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-GONE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
-VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -123,6 +123,10 @@ def build(html: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
+        if tag in ("td", "th") and node.tag in ("table", "thead", "tbody", "tfoot"):
+            # Cells imply their row.
+            node.children.append(Node("tr", "", node))
+            node = node.children[-1]
         if node.depth >= DEEPEST:
             node = node.parent
         new = Node(tag, token[len(tag) + 1 :].rstrip(">"), node)
@@ -151,13 +155,30 @@ def foreign(node: Node | None) -> str | None:
     return None
 
 
+def declared(style: str) -> dict[str, str]:
+    """The declarations of a style attribute: of one property the last, but that an important one stays."""
+    out: dict[str, str] = {}
+    fixed = set()
+    for part in style.lower().split(";"):
+        name, colon, value = part.partition(":")
+        name, value, important = name.strip(), value.strip(), False
+        if value.endswith("important") and value[:-9].rstrip().endswith("!"):
+            value, important = value[:-9].rstrip()[:-1].rstrip(), True
+        if colon and value and (important or name not in fixed):
+            out[name] = value
+            if important:
+                fixed.add(name)
+    return out
+
+
 def gone(node: Node, a: dict[str, str]) -> bool:
     """Whether an element takes no place at all, with what it holds."""
     if node.tag in HIDDEN:
         return True
     if node.tag in FOREIGN_HIDDEN and (kind := foreign(node.parent)) and node.tag in FOREIGN[kind]:
         return True
-    return "hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or bool(GONE.search(a.get("style", ""))) or node.tag == "dialog" and "open" not in a
+    style = declared(a["style"]) if "style" in a else {}
+    return "hidden" in a or style.get("display") == "none" or style.get("content-visibility") == "hidden" or node.tag == "dialog" and "open" not in a
 
 
 def _field(node: Node, a: dict[str, str]) -> str:
@@ -198,8 +219,8 @@ def prune(root: Node) -> None:
             a = x.attributes() if x.attrs and not x.attrs.isspace() else {}
             if gone(x, a):
                 continue
-            said = VISIBILITY.findall(a.get("style", ""))
-            seen = said[-1].lower() == "visible" if said else shown
+            said = declared(a["style"]).get("visibility") if "style" in a else None
+            seen = said == "visible" if said in ("visible", "hidden", "collapse") else shown
             if x.tag == "details" and "open" not in a:
                 x.children = [c for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1]
             elif x.tag == "select":
@@ -339,10 +360,15 @@ def _inner(node: Node, blanks: _Blanks) -> list[str]:
     return out.end()
 
 
+def _number(text: str | None, default: int) -> int:
+    return int(text) if text and re.fullmatch(r"\s*[-+]?\d{1,9}", text) else default
+
+
 def _list(node: Node, out: _Layout) -> None:
     attributes = node.attributes() if node.attrs.strip() else {}
-    start = attributes.get("start", "1")
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    step = -1 if "reversed" in attributes else 1
+    first = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if step < 0 else 1
+    number = _number(attributes.get("start"), first)
     for child in node.children:
         if isinstance(child, str):
             out.text(child)
@@ -351,8 +377,10 @@ def _list(node: Node, out: _Layout) -> None:
             holder.children = [child]
             out.lay(_inner(holder, out.blanks), "  ", "  ")
         else:
+            if node.tag == "ol" and "value" in child.attrs.lower():
+                number = _number(child.attributes().get("value"), number)
             mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            number += step
             lines = _inner(child, out.blanks)
             if lines:
                 out.lay(lines, mark, " " * len(mark))

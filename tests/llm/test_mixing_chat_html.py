@@ -189,7 +189,16 @@ PAGES = [
     ("<table><tr><td colspan=2>wide<td>c</tr><tr><td>a<td>b<td>d</table>", "wide  | c\na | b | d"),
     ("<table><tr><td>layout only</td></tr></table>", "layout only"),
     ("<script>var x = '<p>no</p>';</script>yes<style>p{}</style><noscript>n</noscript>", "yes"),
-    ("<p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><p style=\"visibility:hidden\">no</p>yes", "yes"),
+    ("<p hidden>no</p><p style='display: none'>no</p><p style=\"visibility:hidden\">no</p>yes", "yes"),
+    ("<p aria-hidden=true>shown</p><p style='display:none;display:block'>too</p><p style='display:none !important; display:block'>no</p><p style='DISPLAY:block;display:none'>no</p>", "shown\n\ntoo"),
+    ("<p style='visibility:hidden;visibility:visible'>a</p><p style='visibility:visible; visibility : hidden'>no</p>", "a"),
+    ("<table><caption>cap<tr><td>1<td>2</table>", "cap\n1 | 2"),
+    ("<table><caption>cap<td>1<td>2</table>", "cap\n1 | 2"),
+    ("<a href=it's>link</a> <a title=\"a>b\" x='c>d' y>two</a> <a = b>three</a><a href=/x/>four</a>", "link two threefour"),
+    ("before<a title=\"x>text</a>", "before"),
+    ("before<p class='y>text</p>", "before"),
+    ("<ol reversed><li>a<li>b<li value=7>c<li>d</ol>", "4. a\n3. b\n7. c\n6. d"),
+    ("<ol start=3><li>a<li value=x>b<li value=-2>c<li>d</ol><ul><li value=9>e</ul>", "3. a\n4. b\n-2. c\n-1. d\n\n- e"),
     ("<template><p>no</p></template><!-- no -->a<!-- <p>no -->b", "ab"),
     ("a<br>b<br><br>c", "a\nb\n\nc"),
     ("<pre>  x\n    y\n</pre>z", "  x\n    y\n\nz"),
