@@ -62,7 +62,8 @@ def as_of(points: DataFrame, versions: DataFrame, key: str, at: str, created: st
     # Where times are equal, versions stand before points.
     olds = v.select(key, F.col(created).alias("__at"), F.lit(0).alias("__kind"), F.struct("__v", "__n").alias("__version"))
     news = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*names).alias("__point"))
-    cut = Segments(olds.unionByName(news, allowMissingColumns=True), key, "__at", "__kind")
+    sizes = versions.select(key).unionByName(points.select(key))
+    cut = Segments(olds.unionByName(news, allowMissingColumns=True), key, "__at", "__kind", sizes=sizes)
     held = cut.last_known(cut.rows, F.col("__version"), "__held").where("__kind = 1 and __held is not null")
     return held.select("__point.*", "__held.__v.*", (F.col("__held.__n") > 1).alias("ambiguous"))
 

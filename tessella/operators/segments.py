@@ -22,19 +22,20 @@ class Segments:
     """rows of df with a segment number; fold and carry are by `group`, in the order of the columns `order`.
 
     Null groups are a group.  Rows that tie in all of `order` have no order among
-    themselves, as in a window.
+    themselves, as in a window.  sizes: a table of at least as many rows a group
+    that is cheaper to count.
     """
 
-    def __init__(self, df: DataFrame, group: str, *order: str):
+    def __init__(self, df: DataFrame, group: str, *order: str, sizes: DataFrame | None = None):
         self.group, self.order = group, order
         # Map-side counts: one row a group and task is shuffled.
-        counted = df.groupBy(F.struct(group).alias("__seg_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-        hot = durable(counted, "hot")
-        n, total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        counted = (df if sizes is None else sizes).groupBy(F.struct(group).alias("__seg_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+        n, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.cut = n > 0
         if not self.cut:
             self.rows = df.withColumn(SEGMENT, F.lit(0))
             return
+        hot = durable(counted, "hot")
         keyed = df.withColumn("__seg_key", F.struct(group))
         keys = few(hot.select("__seg_key"), n)
         ranged = keyed.join(keys, "__seg_key", "left_semi").drop("__seg_key").repartitionByRange(2 * -(-total // HOT), group, *order)

@@ -45,9 +45,10 @@ def _sampled_counts(texts: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                if t:
-                    total += np.bincount((grams(np.frombuffer(t[:HEAD], np.uint8), GRAM) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+            for part in text_slices(batch, 0):
+                # Texts stand one after the other: the few q-grams across their ends do no harm.
+                data = np.frombuffer(b"".join(t[:HEAD] for t in part.column(0).cast(pa.binary()).to_pylist() if t), np.uint8)
+                total += np.bincount((grams(data, GRAM) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
         yield pa.RecordBatch.from_pydict({"counts": pa.array([total.astype(np.uint32).tobytes()], pa.binary())})
 
     total = np.zeros(1 << COUNTER_BITS, np.int64)
