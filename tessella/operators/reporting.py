@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.operators.cycles import cyclic_edges
 from tessella.operators.segments import Segments
+from tessella.session import durable
 
 
 def usage(log: DataFrame, *by: str, in_: str = "inputEst", out: str = "outputEst", ms: str = "ms", error: Column | None = None) -> DataFrame:
@@ -102,8 +103,11 @@ def evenly_spaced(rows: DataFrame, order: str, k: int) -> DataFrame:
 
 
 def numbered_rows(rows: DataFrame, order: str) -> DataFrame:
-    """rows with `n`, from 0, in the order: rows are dealt by ranges, each range numbers its own, and the ranges' sizes are added up."""
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    """rows with `n`, from 0, in the order: rows are dealt by ranges, each range numbers its own, and the ranges' sizes are added up.
+
+    The ranges come from samples, which each reading draws anew, so the rows with their ranges are a table.
+    """
+    ranged = durable(rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     local = F.row_number().over(Window.partitionBy("__p").orderBy(order))
