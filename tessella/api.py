@@ -63,7 +63,7 @@ def search_artifacts(spans: DataFrame, queries: DataFrame, *, limit: int = 10, *
     rows = V.equality_filters(spans, **filters)
     vector = V.knn(rows, queries, k=V.VECTOR, id_col="span_id", query_id="query_id")
     terms = queries.select("query_id", F.explode(X.query_terms("text")).alias("term"))
-    lexical = S.top_k(S.bm25_scores(rows, terms, [("tokens", 1.0)], id_col="span_id"), V.LEXICAL, "bm25", "id")
+    lexical = S.bm25_top(rows, terms, [("tokens", 1.0)], V.LEXICAL)
     fused = V.fuse(vector, lexical)
     placed = fused.join(rows.select(F.col("span_id").alias("id"), "artifact_id", "revision_id", "span_sha256", "start", "end"), "id").withColumnRenamed("fusion_rank", "rank")
     kept = V.collapse(placed.select("query_id", "id", "rank", "revision_id", "span_sha256", "start", "end"))
@@ -106,7 +106,7 @@ def retrieve(
     terms = asked.select("query_id", F.explode(X.query_terms("text")).alias("term"))
     none = spans.sparkSession.createDataFrame([], T.StructType([asked.schema["query_id"], T.StructField("id", spans.schema["span_id"].dataType), T.StructField("rank", T.IntegerType())]))
     vector = none if mode == "lexical" else V.knn(rows, asked, k=V.VECTOR, id_col="span_id", query_id="query_id")
-    lexical = none if mode == "vector" else S.top_k(S.bm25_scores(rows, terms, [("tokens", 1.0)], id_col="span_id"), V.LEXICAL, "bm25", "id")
+    lexical = none if mode == "vector" else S.bm25_top(rows, terms, [("tokens", 1.0)], V.LEXICAL)
     fused = durable(V.fuse(vector.select("query_id", "id", "rank"), lexical.select("query_id", "id", "rank")), "fused")
     named = rows.select(F.col("span_id").alias("id"), "artifact_id", "revision_id", "span_sha256", "start", "end", "heading", "content", "identifiers")
     placed = durable(fused.join(named, "id").withColumnRenamed("fusion_rank", "rank"), "placed")

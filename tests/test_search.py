@@ -182,3 +182,51 @@ def test_identifiers_of_every_document(spark, tmp_path):
     want = {(i, t) for i, x in enumerate(texts) for t in list(dict.fromkeys(t for t in re.findall(X.TERM, x or "") if re.search(X.IDENTIFIER, t)))[:64]}
     got = [tuple(r) for r in search.query.queries["identifier_tokens"](spark, str(tmp_path)).select("doc_id", "identifier").collect()]
     assert len(got) == 66 and set(got) == want
+
+
+def test_a_search_holds_no_more_than_a_few_rows_a_query():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    # Points that come ever nearer to the queries, and copies: the most that a search can meet.
+    near = np.concatenate([np.sort(rng.random(6000)), np.full(6000, 0.5)]).repeat(2)[:16_000]
+    scores = near + rng.normal(scale=1e-4, size=(V.TILE, 1))
+    tracemalloc.start()
+    best = V._Best(V.TILE, 10)
+    for i in range(0, 16_000, V.TILE):
+        best.add(scores[:, i : i + V.TILE].copy(), np.arange(i, min(i + V.TILE, 16_000)), 5)
+    q, score, name = best.cut()
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    rounded = np.round(scores, 5) + 0.0
+    for r in range(0, V.TILE, 97):
+        want = sorted(range(16_000), key=lambda j: (-rounded[r, j], j))[:10]
+        assert name[q == r].tolist() == want and score[q == r].tolist() == rounded[r, want].tolist()
+
+
+def test_points_are_searched_by_no_more_tasks_than_cores(spark):
+    many = spark.range(0, 400, numPartitions=80).select(F.col("id").alias("point_id"), F.array((F.col("id") % 7 - 3).cast("double"), F.lit(1.0)).alias("vector"))
+    assert V._dealt(many).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = V.knn(many, many.where("point_id = 6").withColumnRenamed("point_id", "query_id"), k=3)
+    assert [r.id for r in got.orderBy("rank").collect()] == [6, 13, 20]
+
+
+def test_judgments_do_not_grow_with_a_label(spark):
+    from tessella.plans.search import judgments
+
+    p = spark.range(2000).select(F.col("id").alias("point_id"), F.array(F.lit(1.0)).alias("vector"), (F.col("id") % 2).alias("label"))
+    hits = spark.createDataFrame([(0, 1998, 0, 0, 1), (0, 7, 1, 0, 2), (20, 0, 0, 0, 1)], "query_id long, id long, label long, query_label long, rank int")
+    got = {}
+    for r in judgments(p, hits, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert len(got) == 100 and max(map(len, got.values())) <= 21
+    assert got[0] == {*range(2, 22, 2), 1998} and got[20] == {*range(0, 20, 2)}
+
+
+def test_queries_of_the_same_terms_are_scored_once(spark):
+    rows = spark.createDataFrame([(i, ["a"] if i % 2 else ["a", "b"]) for i in range(40)], "span_id long, tokens array<string>")
+    terms = spark.createDataFrame([(q, t) for q in range(6) for t in (("a",) if q % 2 else ("b", "a"))], "query_id long, term string")
+    want = S.top_k(S.bm25_scores(rows, terms, [("tokens", 1.0)]), 5, "bm25", "id").select("query_id", "id", "bm25", "rank")
+    assert sorted(map(tuple, S.bm25_top(rows, terms, [("tokens", 1.0)], 5).collect())) == sorted(map(tuple, want.collect()))
