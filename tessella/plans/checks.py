@@ -434,8 +434,9 @@ def rerank_blend(spark, sf_dir):
     from tessella.operators import search as S
 
     docs, queries = titled(spark, sf_dir), benchmark(spark, sf_dir)
-    found = S.tfidf_search(docs, queries, k=30).withColumnRenamed("rank", "fusion_rank").withColumnRenamed("doc_id", "id")
-    rows = found.join(docs.select(F.col("doc_id").alias("id"), "content"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    # A table, as the head and the whole list both read it.
+    found = durable(S.tfidf_search(docs, queries, k=30).withColumnRenamed("rank", "fusion_rank").withColumnRenamed("doc_id", "id"), "found")
+    rows = docs.select(F.col("doc_id").alias("id"), "content").join(S.few(found), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
 
     def share(q, texts):
         words = set(q.lower().split())

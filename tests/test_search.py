@@ -230,3 +230,13 @@ def test_queries_of_the_same_terms_are_scored_once(spark):
     terms = spark.createDataFrame([(q, t) for q in range(6) for t in (("a",) if q % 2 else ("b", "a"))], "query_id long, term string")
     want = S.top_k(S.bm25_scores(rows, terms, [("tokens", 1.0)]), 5, "bm25", "id").select("query_id", "id", "bm25", "rank")
     assert sorted(map(tuple, S.bm25_top(rows, terms, [("tokens", 1.0)], 5).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_scores_of_a_document_are_summed_where_its_postings_are(spark):
+    """No row a query and document is shuffled: documents are dealt once, by id."""
+    import re
+
+    d = docs(spark, *((i, f"t{i}", f"apple w{i % 5} w{i % 3}") for i in range(60)))
+    terms = S.query_tokens(asked(spark, "apple w1", "w2 w0"))
+    scores = S.tfidf_scores(S.postings(d, terms), terms, 60, cut=True)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", scores._jdf.queryExecution().executedPlan().toString())
