@@ -49,3 +49,18 @@ def test_other_lists_are_not_read_and_empty_tables(spark, tmp_path):
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None)], "point_id long, vector array<double>")
     got = V.PartitionIndex(zero, f"file://{tmp_path}/zero").search(zero.where("point_id = 2").withColumnRenamed("point_id", "query_id"), 5, probes=9)
     assert sorted((r.id, r.score) for r in got.collect()) == [(1, 0.0), (2, 1.0)]
+
+
+@pytest.mark.parametrize("bytes_", [64 << 20, 3000])
+def test_a_query_is_one_row_whatever_it_probes(spark, tmp_path, monkeypatch, bytes_):
+    made, kept = [], V.durable
+    monkeypatch.setattr(V, "durable", lambda df, name: made.append(kept(df, name)) or made[-1])
+    monkeypatch.setattr(V, "QUERY_BYTES", bytes_)
+    v, df = points(spark, 900)
+    asked = df.where("point_id % 20 = 0").withColumnRenamed("point_id", "query_id")
+    index = V.PartitionIndex(df, f"file://{tmp_path}/lists")
+    got = {}
+    for r in index.search(asked, 10, probes=len(index.centroids)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == exact(v, list(range(0, 900, 20)), 10)
+    assert sum(df.count() for df in made) == 45 < 45 * len(index.centroids)
