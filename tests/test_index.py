@@ -108,3 +108,34 @@ def test_a_changed_table_gets_another_index(spark, tmp_path):
     assert I.documents_key(spark, table) == key
     corpus(spark, 11).write.mode("append").parquet(table)
     assert I.documents_key(spark, table) != key
+
+
+def test_tasks_grow_with_the_documents_and_hits_are_not_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 10)
+    docs, path = corpus(spark, 400), f"file://{tmp_path}/index"
+    assert I.blocks_of(docs, 40).rdd.getNumPartitions() == 40
+    I.append(docs, path, 0)
+    index, q = I.Index(spark, path), asked(spark)
+    assert max(len(r.docs) for r in index.postings(q, 20).collect()) < 40
+    kept = []
+    met = index._met
+    monkeypatch.setattr(index, "_met", lambda *a: kept.append(met(*a)) or kept[-1])
+    index.tfidf(q, 5, "doc_id").collect()
+    plan = kept[-1].groupBy("block", "query_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan.split("REPARTITION_BY_NUM")[0], plan
+    assert kept[-1].rdd.getNumPartitions() >= index.n_blocks
+
+
+def test_tokens_of_odd_texts_and_repeated_ids(spark, tmp_path):
+    texts = ["Straße Kelvin İip a_b-c w1_w2\tw1 w3 x\u0000yy \U0001d400w9", "w1 W1, w1; -- - --w4 éw5éw6", None]
+    docs = spark.createDataFrame([(i, (t or "").split(" ")[0] + " alpha-w3", t, "s1", None) for i, t in enumerate(texts)] + [(1, "beta-w7 w1", "w1 w9", "s2", "en")], "doc_id long, title string, content string, source string, lang string")
+    path = f"file://{tmp_path}/index"
+    I.append(docs, path, 0)
+    from tessella.functions import text as X
+
+    words = docs.select("doc_id", F.explode(F.concat(X.tokenize(F.coalesce("content", F.lit(""))), X.tokenize("title"), X.expand_title(X.tokenize("title")), F.array_compact(F.array(F.lower("source"), F.lower("lang"))))).alias("term"))
+    got = spark.read.parquet(f"{path}/postings").where("term is not null").select(F.explode("docs.doc_id").alias("doc_id"), "term")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, words.distinct().collect()))
+    counts = docs.select("doc_id", F.explode(X.tokenize("content")).alias("term")).groupBy("doc_id", "term").count()
+    tf = spark.read.parquet(f"{path}/postings").where("term is not null").select("term", F.explode("docs").alias("d")).where("d.tf > 0").select("d.doc_id", "term", "d.tf")
+    assert sorted(map(tuple, tf.collect())) == sorted(map(tuple, counts.collect()))
