@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.text import scan_text
-from tessella.session import spread
+from tessella.session import small_batches, spread
 
 
 class Rule(NamedTuple):
@@ -109,6 +109,7 @@ def matched_rules(text: Column, rules: tuple[Rule, ...] = SAFETY) -> Column:
 
 def safety_scan(df: DataFrame, *, id_col: str, text_col: str, rules: tuple[Rule, ...] = SAFETY, normalise: bool = True) -> DataFrame:
     """id, rule_id, cls, sub, severity, start and end of the first match of each rule that a text matches."""
+    small_batches(df.sparkSession)
     text = scan_text(text_col) if normalise else F.col(text_col)
     rows = spread(df).select(F.col(id_col), text.alias("__t")).withColumn("__l", F.lower("__t"))
 

@@ -160,3 +160,24 @@ def test_tables_left_behind_are_removed(spark, tmp_path):
     before = session.shared_path(spark, "x")
     table = session.durable(spark.range(3), "left")
     assert table.count() == 3 and session.clean() == 1 and session.clean() == 0 and not session._made and before
+
+
+def test_texts_are_normalised_a_part_at_a_time(spark):
+    import unicodedata
+
+    import pyarrow as pa
+
+    from tessella.operators import scan as P
+    from tessella.session import text_slices
+
+    texts = ["plain " * 200_000, None, "ﬁne Ａ " * 200_000, "é" * 5, "", "é"]
+    a = pa.array(texts)
+    assert len(list(text_slices(pa.record_batch([a], ["t"]), 0))) > 1
+    assert X.normalised(a).to_pylist() == [t and unicodedata.normalize("NFKC", t) for t in texts] and X.normalised(a.slice(0, 0)).to_pylist() == []
+    plain = pa.array(["abc", None])
+    assert X.normalised(plain).buffers()[2].address == plain.buffers()[2].address
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.n for r in df.select("i", X.nfkc("t").alias("n")).collect()} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    P.safety_scan(df, id_col="i", text_col="t")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16m"
