@@ -82,8 +82,8 @@ def retrieve(
     """(results, decisions, failures) of a search whose results are read back from their sources before any is given.
 
     spans: span_id, artifact_id, revision_id, span_sha256, start, end (characters
-    from 0), heading, content, vector, tokens (array), identifiers (array) and
-    filter columns; queries: query_id, text, vector; current: artifact_id,
+    from 0), heading, content, vector, tokens (array), identifiers (array; without
+    it, those of the candidates' content) and filter columns; queries: query_id, text, vector; current: artifact_id,
     revision_id and content of the catalog's current sources.
 
     Legs by mode, fusion, collapse; the scorer sees path, heading and content of
@@ -108,8 +108,10 @@ def retrieve(
     vector = none if mode == "lexical" else V.knn(rows, asked, k=V.VECTOR, id_col="span_id", query_id="query_id")
     lexical = none if mode == "vector" else S.bm25_top(rows, terms, [("tokens", 1.0)], V.LEXICAL)
     fused = durable(V.fuse(vector.select("query_id", "id", "rank"), lexical.select("query_id", "id", "rank")), "fused")
-    named = rows.select(F.col("span_id").alias("id"), "artifact_id", "revision_id", "span_sha256", "start", "end", "heading", "content", "identifiers")
-    placed = durable(fused.join(named, "id").withColumnRenamed("fusion_rank", "rank"), "placed")
+    given = [c for c in ("identifiers",) if c in rows.columns]
+    named = rows.select(F.col("span_id").alias("id"), "artifact_id", "revision_id", "span_sha256", "start", "end", "heading", "content", *given)
+    placed = fused.join(named, "id").withColumnRenamed("fusion_rank", "rank")
+    placed = durable(placed if given else placed.withColumn("identifiers", X.identifiers("content")), "placed")
     kept = V.collapse(placed.select("query_id", "id", "rank", "revision_id", "span_sha256", "start", "end"))
     kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).drop("rank")
     left = kept.join(placed.withColumnRenamed("rank", "fusion_rank"), ["query_id", "id"]).join(asked.select("query_id", F.col("text").alias("query")), "query_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella import api
@@ -473,8 +475,14 @@ def word_share(q, texts):
 
 
 def letters(text):
-    """A stand-in embedding: how often each letter occurs."""
-    return F.array(*((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+    """A stand-in embedding: how often each letter occurs; as a model's, it is made a batch at a time."""
+
+    def embed(texts: pa.Array) -> pa.Array:
+        one = lambda t: np.bincount(np.frombuffer(t, np.uint8), minlength=256)[97:123]
+        counts = np.array([np.full(26, np.nan) if t is None else one(t) for t in texts.cast(pa.binary()).to_pylist()], np.float64).reshape(-1)
+        return pa.ListArray.from_arrays(np.arange(0, len(counts) + 1, 26, dtype=np.int32), pa.array(counts, from_pandas=True))
+
+    return F.arrow_udf(embed, "array<double>")(text)
 
 
 @query()
@@ -487,7 +495,7 @@ def artifact_search_full(spark, sf_dir):
     cut = M.exact_spans(docs, id_col="doc_id", text_col="text", counter=M.word_counter)
     spans = durable(cut.select(
         F.concat_ws("/", "doc_id", "span_index").alias("span_id"), F.col("doc_id").alias("artifact_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("revision_id"), "span_sha256",
-        F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), F.lit(None).cast("string").alias("heading"), "content", letters(F.col("content")).alias("vector"), X.tokenize("content").alias("tokens"), X.identifiers("content").alias("identifiers"),
+        F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), F.lit(None).cast("string").alias("heading"), "content", letters(F.col("content")).alias("vector"), X.tokenize("content").alias("tokens"),
     ), "spans")
     k = F.col("doc_id")
     current = docs.select(k.alias("artifact_id"), F.concat(F.when(k % 7 == 0, "newer").otherwise("r"), k.cast("string")).alias("revision_id"), F.when(k % 11 == 0, F.concat(F.lit("!"), "text")).otherwise(F.col("text")).alias("content"))

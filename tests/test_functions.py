@@ -181,3 +181,11 @@ def test_texts_are_normalised_a_part_at_a_time(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     P.safety_scan(df, id_col="i", text_col="t")
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16m"
+
+
+def test_tokens_are_extracted_as_texts_are_split(spark):
+    rows = spark.createDataFrame([("A_b-c  x yy\u00c9z9 -- the 42! \u0130a\n",), ("a" * 300_000 + " b",), ("",), (None,)], "t string")
+    split = F.filter(F.split(X.token_text("t"), " "), X.is_token)
+    assert rows.where(~X.tokenize("t").eqNullSafe(split)).count() == 0
+    # No blank is put in for what stands between tokens.
+    assert "regexp_replace" not in rows.select(X.tokenize("t"))._jdf.queryExecution().executedPlan().toString()

@@ -117,3 +117,33 @@ def test_arguments(spark):
     for bad in ({"mode": "other"}, {"limit": 0}, {"limit": 26}, {"scorer": None}):
         with pytest.raises(ValueError):
             api.retrieve(None, None, None, **{"scorer": word_share, **bad})
+
+
+def test_identifiers_of_candidates_are_made_from_their_content(spark):
+    spans, queries, sources = fixture()
+    s = spark.createDataFrame(spans, "span_id string, artifact_id string, revision_id string, span_sha256 string, start int, end int, heading string, content string, vector array<double>, tokens array<string>, identifiers array<string>")
+    q = spark.createDataFrame(queries, "query_id int, text string, vector array<double>")
+    c = spark.createDataFrame([(a, *x) for a, x in sources.items()], "artifact_id string, revision_id string, content string")
+    given, made = (sorted(map(tuple, api.retrieve(x, q, c, scorer=word_share, policy=POLICY)[1].collect()), key=repr) for x in (s, s.drop("identifiers")))
+    assert given == made
+
+
+def test_words_are_counted_as_the_pattern_finds_them():
+    import re
+
+    from tessella.functions.markdown import word_counter
+
+    count, pattern, rng = word_counter(), re.compile(r"\w+|[^\w\s]"), random.Random(5)
+    signs = [chr(i) for i in range(260)] + list("\u0301\u0661\u2014\u2028\u3000\u4e2d\U0001f642")
+    for n in range(3000):
+        text = "".join(rng.choice(signs[: (128, 256, 300)[n % 3]]) for _ in range(n % 30))
+        assert count(text) == len(pattern.findall(text)), repr(text)
+
+
+def test_letters(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.plans.checks import letters
+
+    rows = spark.createDataFrame([("abBa\u00e4 zz\n",), ("",), (None,)], "t string").select("t", letters(F.col("t")).alias("v"))
+    assert [r.v for r in rows.collect()] == [[2.0, 1.0] + [0.0] * 23 + [2.0], [0.0] * 26, [None] * 26]

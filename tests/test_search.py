@@ -240,3 +240,32 @@ def test_scores_of_a_document_are_summed_where_its_postings_are(spark):
     terms = S.query_tokens(asked(spark, "apple w1", "w2 w0"))
     scores = S.tfidf_scores(S.postings(d, terms), terms, 60, cut=True)
     assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", scores._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_are_scored_where_they_are(spark, monkeypatch):
+    """No row a query and id is shuffled, and neither tasks nor tiles change a result; ties go by id."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    data = [(f"s{i}", [rng.choice("abcdefgh") for _ in range(i % 9)] if i % 31 else None, ["z"] if i % 4 else []) for i in range(300)]
+    data += [(f"t{i}", ["c", "a", "e", "a"], []) for i in range(40)]
+    rows = spark.createDataFrame(data, "span_id string, tokens array<string>, more array<string>")
+    terms = spark.createDataFrame([(q, t) for q in range(7) for t in {*"abcdefghz"[q : q + 3], "a", "none"}] + [(9, "none")], "query_id int, term string")
+    columns = [("tokens", 1.0), ("more", 2.0)]
+    monkeypatch.setattr(S.V, "TILE", 64)
+    plan = S.bm25_top(rows, terms, columns, 20)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, id", plan)
+    first = sorted(map(tuple, S.bm25_top(rows, terms, columns, 20).collect()))
+    monkeypatch.setattr(S.V, "TILE", 3)
+    monkeypatch.setattr(S, "SUMS", 4)
+    assert first == sorted(map(tuple, S.bm25_top(rows.repartition(3), terms, columns, 20).collect()))
+    scores = S.bm25_scores(rows, terms, columns).withColumn("bm25", F.round("bm25", 9))
+    want = sorted((r.query_id, r.rank, r.id, r.bm25) for r in S.top_k(scores, 20, "bm25", "id").collect())
+    assert sorted((q, rank, i, round(s, 9)) for q, i, s, rank in first) == want and len({q for q, *_ in first}) == 7
+    monkeypatch.setattr(S, "FEW", 0)
+    joined = {(r.query_id, r.rank): r.bm25 for r in S.bm25_top(rows, terms, columns, 20).collect()}
+    assert joined == {(q, rank): pytest.approx(s) for q, _, s, rank in first}
+    none = spark.createDataFrame([(1, "x")], "query_id int, term string")
+    monkeypatch.undo()
+    assert S.bm25_top(rows, none, columns, 5).count() == S.bm25_top(rows.where("tokens is null"), terms, columns, 5).count() == S.bm25_top(rows, none.limit(0), columns, 5).count() == 0
