@@ -269,3 +269,13 @@ def test_rows_are_scored_where_they_are(spark, monkeypatch):
     none = spark.createDataFrame([(1, "x")], "query_id int, term string")
     monkeypatch.undo()
     assert S.bm25_top(rows, none, columns, 5).count() == S.bm25_top(rows.where("tokens is null"), terms, columns, 5).count() == S.bm25_top(rows, none.limit(0), columns, 5).count() == 0
+
+
+def test_categories_are_measured_over_all_points(spark, tmp_path):
+    from tessella.plans.search import rank_metrics_by_category
+
+    # Odd points of label 1, none of which is a multiple of 20, and one of label 2, whose own kind has no other.
+    rows = [(i, [math.cos(i), math.sin(i)], i % 2) for i in range(50)] + [(51, [1.0, 0.0], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.label: r for r in rank_metrics_by_category(spark, str(tmp_path)).collect()}
+    assert {label: r.n_queries for label, r in got.items()} == {0: 25, 1: 25}
