@@ -479,7 +479,8 @@ def letters(text):
 
     def embed(texts: pa.Array) -> pa.Array:
         one = lambda t: np.bincount(np.frombuffer(t, np.uint8), minlength=256)[97:123]
-        counts = np.array([np.full(26, np.nan) if t is None else one(t) for t in texts.cast(pa.binary()).to_pylist()], np.float64).reshape(-1)
+        parts = (texts.slice(i, 256).cast(pa.binary()).to_pylist() for i in range(0, len(texts), 256))
+        counts = np.array([np.full(26, np.nan) if t is None else one(t) for part in parts for t in part], np.float64).reshape(-1)
         return pa.ListArray.from_arrays(np.arange(0, len(counts) + 1, 26, dtype=np.int32), pa.array(counts, from_pandas=True))
 
     return F.arrow_udf(embed, "array<double>")(text)
